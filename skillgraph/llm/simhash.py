@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import materialize, sorted_groups, spanning_edges
@@ -221,3 +221,17 @@ def near_duplicates(docs: DataFrame, distance: int = 2, width: int = 3, id_col:
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     members = named.select("fp", "component").join(least, "component").select("fp", "component_id")
     return rows.join(members, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with one row of each group of near duplicates: that of the smallest id.
+
+    Of rows that repeat this id the one of the smallest text hash stays. Rows with a null id cannot be
+    named and stay as they are.
+    """
+    named = docs.where(F.col(id_col).isNotNull())
+    kept = near_duplicates(named, distance, id_col=id_col, text_col=text_col).select(F.col("component_id").alias("__kept")).distinct()
+    chosen = named.join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
+    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
+    chosen = chosen.withColumn("__place", F.row_number().over(first)).where("__place = 1").drop("__place")
+    return chosen.unionByName(docs.where(F.col(id_col).isNull()))
