@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import written
+
 #: A chunk ends after a line with probability one in so many.
 DIVISOR = 3
 #: Chunks of fewer lines are never removed.
@@ -65,7 +67,8 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LI
         return rows.withColumn("own", F.struct("__doc", "__mark", "idx")).select("hash", "own", *(["body"] if bodies else []))
 
     repeated = exploded(False).groupBy("hash").agg(F.min("own").alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
-    candidates = exploded(True).join(repeated, "hash")
+    # written once: the bytes of repeated chunks are read from two sides
+    candidates = written(exploded(True).join(repeated, "hash"), "chunks")
     firsts = candidates.where("own = first").groupBy("hash").agg(F.any_value("body").alias("first_body"))
     same = candidates.where("own <> first").join(firsts, "hash").where("body = first_body")
     removed = same.groupBy(F.col("own.__doc").alias("__doc"), F.col("own.__mark").alias("__mark")).agg(F.collect_set("own.idx").alias("__removed"))
