@@ -72,8 +72,10 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LI
     firsts = candidates.where("own = first").groupBy("hash").agg(F.any_value("body").alias("first_body"))
     same = candidates.where("own <> first").join(firsts, "hash").where("body = first_body")
     removed = same.groupBy(F.col("own.__doc").alias("__doc"), F.col("own.__mark").alias("__mark")).agg(F.collect_set("own.idx").alias("__removed"))
-    left, right = docs.withColumn("__mark", F.xxhash64(F.col(text_col))).alias("d"), removed.alias("r")
-    joined = left.join(right, F.col(f"d.{id_col}").eqNullSafe(F.col("r.__doc")) & (F.col("d.__mark") == F.col("r.__mark")), "left")
-    kept = F.filter(_chunks(F.col(f"d.{text_col}"), divisor, True), lambda c: ~F.array_contains(F.col("r.__removed"), c["idx"]))
-    text = F.when(F.col("r.__removed").isNull(), F.col(f"d.{text_col}")).otherwise(F.array_join(F.transform(kept, lambda c: c["body"]), "\n"))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns])
+    # the row travels as one column, so no name of its own can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("__d"), F.xxhash64(F.col(text_col)).alias("__k"))
+    joined = rows.join(removed, F.col("__d").eqNullSafe(F.col("__doc")) & (F.col("__k") == F.col("__mark")), "left")
+    whole = F.col("row").getField(text_col)
+    kept = F.filter(_chunks(whole, divisor, True), lambda c: ~F.array_contains(F.col("__removed"), c["idx"]))
+    text = F.when(F.col("__removed").isNull(), whole).otherwise(F.array_join(F.transform(kept, lambda c: c["body"]), "\n"))
+    return joined.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

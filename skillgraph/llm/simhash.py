@@ -230,8 +230,9 @@ def one_of_each_group(docs: DataFrame, distance: int = 2, id_col: str = "doc_id"
     named and stay as they are.
     """
     named = docs.where(F.col(id_col).isNotNull())
-    kept = near_duplicates(named, distance, id_col=id_col, text_col=text_col).select(F.col("component_id").alias("__kept")).distinct()
-    chosen = named.join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    chosen = chosen.withColumn("__place", F.row_number().over(first)).where("__place = 1").drop("__place")
-    return chosen.unionByName(docs.where(F.col(id_col).isNull()))
+    kept = near_duplicates(named, distance, id_col=id_col, text_col=text_col).select("component_id").distinct()
+    # the row travels as one column, so no name of its own can clash
+    rows = named.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("component_id"), F.xxhash64(text_col).alias("k"))
+    first = Window.partitionBy("component_id").orderBy("k")
+    chosen = rows.join(kept, "component_id", "left_semi").withColumn("place", F.row_number().over(first)).where("place = 1")
+    return chosen.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))

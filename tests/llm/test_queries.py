@@ -1,0 +1,41 @@
+"""The registered queries of the subpackage and the pipeline, on the smallest tables."""
+
+from pathlib import Path
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+
+SF = "/root/testdata/sf0.001"
+NAMES = sorted(n for n in entry.queries() if n.startswith("op"))
+
+
+def test_one_query_for_each_operator():
+    assert {n.split("_")[0] for n in NAMES} == {f"op{i}" for i in range(1, 11)}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query(spark, name):
+    found = entry.queries()[name](spark, SF).toPandas()
+    assert len(found)
+    if name in entry.oracle_sql():
+        con = duckdb.connect()
+        for path in Path(SF).iterdir():
+            con.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+        want = con.sql(entry.oracle_sql()[name]).df()
+        key = lambda df: sorted(map(str, df[sorted(df.columns)].astype(object).where(df.notna(), None).values.tolist()))
+        assert key(found) == key(want)
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "SimHash near-dedup", "substring dedup", "packing"]
+    pieces = corpus_pipeline.run(spark, SF).toPandas()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas().set_index("doc_id")["quality"]
+    kept = set(pieces["doc_id"])
+    assert kept <= {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert not [i for i in kept if labels.get(i, 1) == 0]
+    assert (pieces.groupby("doc_id")["length"].sum() == pieces.groupby("doc_id")["doc_tokens"].first()).all()
