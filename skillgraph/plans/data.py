@@ -113,13 +113,13 @@ def _(v: Views):
 
 @query(
     "a17_parse_run_log",
-    "SELECT 'm' || (event_id % 3) AS model, user_id::INTEGER AS seed, event_type AS variant, CASE WHEN value >= 5 THEN round(value, 2) END AS auc, round(value / 2, 2) AS acc FROM events WHERE event_id % 5 <> 0",
+    "SELECT 'm' || (event_id % 3) AS model, user_id::INTEGER AS seed, event_type AS variant, CASE WHEN value >= 5 THEN floor(value * 100) / 100 END AS auc, floor(value * 50) / 100 AS acc FROM events WHERE event_id % 5 <> 0",
     digits=("auc", "acc"),
 )
 def _(v: Views):
-    two = lambda c: F.round(c, 2).cast("string")
+    two = lambda c: (F.floor(c * 100) / 100).cast("string")
     auc = F.when(F.col("value") >= 5, two(F.col("value"))).otherwise("nan")
-    line = F.concat(F.lit("Model=m"), F.col("event_id") % 3, F.lit(" Seed="), F.col("user_id"), F.lit(" Variant="), F.col("event_type"), F.lit(" AUC="), auc, F.lit(" ACC="), two(F.col("value") / 2))
+    line = F.concat(F.lit("Model=m"), F.col("event_id") % 3, F.lit(" Seed="), F.col("user_id"), F.lit(" Variant="), F.col("event_type"), F.lit(" AUC="), auc, F.lit(" ACC="), (F.floor(F.col("value") * 50) / 100).cast("string"))
     lines = v.table("events").select(F.when(F.col("event_id") % 5 == 0, F.lit("noise")).otherwise(line).alias("value"))
     return tables.parse_run_log(lines)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .._session import materialize
-from ..operators import graph, profile, relations
+from ..functions.columns import hashed_unit
+from ..operators import graph, relations
 from .fixtures import SEED, Views, query, unit_sql
 
 
@@ -47,7 +48,10 @@ def _(v: Views):
 
 @query("d4_break_cycles", None)
 def _(v: Views):
-    return graph.break_cycles(_cyclic_edges(v))
+    # the order's edges and a few of them turned round, lighter than the rest
+    edges = v.pre.select("src", "dst", "weight")
+    back = edges.where(hashed_unit(F.col("src"), F.col("dst"), F.lit(SEED)) < 0.006).select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.5).alias("weight"))
+    return graph.break_cycles(edges.unionByName(back))
 
 
 @query("d5_transitive_reduction", "SELECT a.skill_id AS src, b.skill_id AS dst FROM rk a JOIN rk b ON b.r = a.r + 1", "rk")
