@@ -3,21 +3,34 @@
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import sorted_groups
+from .packing import byte_alphabet
 
-CACHED_WORDS = 300_000
+#: Words of a generation of the cache; two are kept.
+CACHED_WORDS = 250_000
+#: Ends a word in the fast encoding; settled texts do not hold it.
+END = "\x00"
 #: Code points whose letter, digit, space and lower-case rules no Unicode version or library disputes.
-_SETTLED = regex.compile(r"[\t\n\r\x20-\x7e¡-¬®-įĲ-ňŊ-ž‐-‧‰-⁞]*+")
+_SETTLED_RANGES = r"\t\n\r\x20-\x7e¡-¬®-įĲ-ňŊ-ž‐-‧‰-⁞"
+_SETTLED = re.compile(f"[{_SETTLED_RANGES}]*+")
+
+
+def _settled_class(kind: str) -> str:
+    """The settled characters of a Unicode category, for a pattern's brackets."""
+    member = re.compile(f"[{_SETTLED_RANGES}]")
+    return "".join(chr(c) for c in range(0x2100) if unicodedata.category(chr(c))[0] == kind and member.match(chr(c)))
 
 
 class Codec:
@@ -41,8 +54,12 @@ class Codec:
         self.token = [""] * (max(vocab.values()) + 1)
         for content, i in vocab.items():
             self.token[i] = content
+        suffix = described["model"].get("end_of_word_suffix")
+        self.word_end = np.array([bool(suffix) and t.endswith(suffix) for t in self.token])
+        self.fast = self._fast_words(described)
         self.joined = described["decoder"] is None  # without a decoder, tokens are joined by spaces
-        self.cache: dict[str, list[int]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @staticmethod
     def _word_pattern(described: dict):
@@ -52,35 +69,74 @@ class Codec:
         kinds = [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in parts] == ["Split", "ByteLevel"]
         if not kinds or not parts[0]["invert"] or parts[0]["behavior"] != "Removed" or parts[1]["use_regex"] or parts[1]["add_prefix_space"]:
             return None
-        return regex.compile(parts[0]["pattern"]["Regex"])
+        pattern = parts[0]["pattern"]["Regex"]
+        if set(re.findall(r"\\(p\{\w+\}|\w)", pattern)) - {"p{L}", "p{N}", "s"}:
+            return None
+        return re.compile(pattern.replace(r"\p{L}", _settled_class("L")).replace(r"\p{N}", _settled_class("N")))
 
     def settled(self, text: str) -> bool:
-        return self.words is not None and _SETTLED.fullmatch(text) is not None and not any(s in text for s in self.specials)
+        return self.words is not None and _SETTLED.fullmatch(text) is not None and not any(x in text for x in self.specials)
 
     def by_library(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text, as little-endian unsigned 32-bit numbers."""
         if not self.settled(text):
-            return self.by_library(text)
-        words, cache = self.words.findall(text.lower()), self.cache
-        fresh = [w for w in set(words) if w not in cache]
+            return np.array(self.by_library(text), dtype="<u4").tobytes()
+        words, young = self.words.findall(text.lower()), self.young
+        fresh = {w for w in words if w not in young}
         if fresh:
-            if len(cache) + len(fresh) > CACHED_WORDS:
-                cache.clear()
-                fresh = list(set(words))
-            encoded = self.library.encode_batch_fast(fresh, add_special_tokens=False)
-            cache.update(zip(fresh, (e.ids for e in encoded)))
-        ids: list[int] = []
-        for word in words:
-            ids += cache[word]
-        return ids
-
-    def decode(self, ids: list[int]) -> str:
+            if len(young) > CACHED_WORDS:
+                self.old, self.young = young, {}
+                young, fresh = self.young, set(words)
+            old = self.old
+            kept = [w for w in fresh if w in old]
+            young.update((w, old[w]) for w in kept)
+            fresh.difference_update(kept)
+            young.update(self._encoded_words(list(fresh)))
+        return b"".join([young[w] for w in words])
+
+    def _fast_words(self, described: dict):
+        """(tiktoken encoding of words ended by END, id of each of its ranks), or None if the merges do not allow it.
+
+        The end mark joins the last byte before any merge, as the model's own suffix does; each merge
+        must make a token of its own, so that a pair is known by what it makes.
+        """
+        model, alphabet = described["model"], byte_alphabet()
+        suffix = model.get("end_of_word_suffix")
+        raw = lambda t: bytes(alphabet[c] for c in t.removesuffix(suffix)) + (END.encode() if t.endswith(suffix) else b"")
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = ["".join((x.removesuffix(suffix) if i == 0 else x) for i, x in enumerate(p)) for p in pairs] if suffix else []
+        vocab = model["vocab"]
+        if self.words is None or not made or len(set(made)) < len(made) or not all(t in vocab for t in made):
+            return None
+        single = {bytes([v]): c for c, v in alphabet.items()}
+        order = [(x + END.encode(), c + suffix) for x, c in single.items()] + list(single.items()) + [(raw(t), t) for t in made]
+        ranks = {x: i for i, (x, _) in enumerate(order)}
+        if len(ranks) < len(order) or not all(t in vocab for _, t in order):
+            return None
+        encoding = tiktoken.Encoding("words", pat_str=f"[^{END}]+{END}", mergeable_ranks=ranks, special_tokens={})
+        return encoding, np.array([vocab[t] for _, t in order], dtype="<u4")
+
+    def _encoded_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each word with its ids: all in one call, told apart by the tokens that end a word."""
+        if self.fast is not None:
+            encoding, id_of = self.fast
+            ids = id_of[encoding.encode_to_numpy("".join([w + END for w in words]), disallowed_special=())]
+            ends = (4 * (np.flatnonzero(self.word_end[ids]) + 1)).tolist()
+            if len(ends) == len(words) and (not ends or ends[-1] == 4 * len(ids)):
+                raw = ids.tobytes()
+                return zip(words, (raw[a:b] for a, b in zip([0, *ends], ends)))
+        encoded = self.library.encode_batch_fast(words, add_special_tokens=False)
+        return ((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(words, encoded))
+
+    def decode(self, ids: bytes) -> str:
+        numbers = np.frombuffer(ids, dtype="<u4").tolist()
         if not self.joined:
-            return self.library.decode(ids, skip_special_tokens=False)
+            return self.library.decode(numbers, skip_special_tokens=False)
         token = self.token
-        return " ".join([token[i] for i in ids])
+        return " ".join([token[i] for i in numbers])
 
     def normalized(self, text: str) -> str:
         return self.library.normalizer.normalize_str(text) if self.library.normalizer else text
@@ -229,7 +285,7 @@ def encode_documents(
             for batch in batches:
                 for doc, text in zip(batch.column(0), batch.column(1)):
                     ids = code.encode(text.as_py())
-                    yield doc.as_py(), len(ids), np.array(ids, dtype="<u4").tobytes(), code.decode(ids)
+                    yield doc.as_py(), len(ids) // 4, ids, code.decode(ids)
 
         yield from _batches(rows(), _OUT_ARROW)
 
@@ -270,15 +326,15 @@ def encode_documents(
         for group in sorted_groups(frames, ["row"]):
             first = group.iloc[0]
             if first["at"] < 0:
-                ids = np.frombuffer(first["ids"], dtype="<u4").tolist()
+                ids = first["ids"]
             else:
                 text, parts = "".join(group["text"]), []
                 for at, until, raw, spans in zip(group["at"], group["until"], group["ids"], group["spans"]):
                     ends = np.frombuffer(spans, dtype="<u4").reshape(-1, 2).astype(int) + at
                     parts.append((at, until, list(zip(np.frombuffer(raw, dtype="<u4").tolist(), ends[:, 0].tolist(), ends[:, 1].tolist()))))
-                ids = code.tree(text, parts)
+                ids = np.array(code.tree(text, parts), dtype="<u4").tobytes()
             doc = None if pd.isna(first["doc_id"]) else int(first["doc_id"])
-            yield pd.DataFrame({"doc_id": pd.array([doc], dtype="Int64"), "n_tokens": [len(ids)], "ids": [np.array(ids, dtype="<u4").tobytes()], "decoded": [code.decode(ids)]})
+            yield pd.DataFrame({"doc_id": pd.array([doc], dtype="Int64"), "n_tokens": [len(ids) // 4], "ids": [ids], "decoded": [code.decode(ids)]})
 
     is_long = F.char_length("text") > long_text
     short = slim.where(~is_long).mapInArrow(whole, _OUT)
