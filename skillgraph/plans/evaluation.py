@@ -289,7 +289,7 @@ SELECT x.*, x.sparse_mean - b.sparse_mean AS sparse_gain FROM x LEFT JOIN x b ON
     "tp", "strata", digits=("very_sparse", "sparse", "medium", "frequent", "sparse_mean", "sparse_gain"),
 )
 def _(v: Views):
-    placed = v.test_preds.join(F.broadcast(materialize(v.strata).select("skill_id", "stratum")), "skill_id")
+    placed = v.test_preds.join(v.strata.select("skill_id", "stratum"), "skill_id")
     rows = metrics.auc(placed, ["model", "variant", "seed", "stratum"]).withColumn("auc", F.round("auc", 6))
     return runs.stratum_gain(materialize(rows), ["model"])
 
