@@ -147,7 +147,7 @@ _GRID = [(2, 0.0, 0), (3, 0.005, 20), (3, 0.01, 0), (20, 0.02, 10)]
 
 @query(
     "d15_e_co_sensitivity",
-    "SELECT c.*, (SELECT count(*) FROM pairs WHERE support_count >= k_min AND pmi > 0 AND pmi >= pmi_min) AS support_rows, s.* FROM (VALUES " + ", ".join(f"({k}, {p}::DOUBLE, {t}, {i})" for i, (k, p, t) in enumerate(_GRID)) + """) c(k_min, pmi_min, top_k, i) JOIN (""" + " UNION ALL ".join(
+    "SELECT c.* EXCLUDE (i), (SELECT count(*) FROM pairs WHERE support_count >= k_min AND pmi > 0 AND pmi >= pmi_min) AS support_rows, s.* EXCLUDE (j), density < 0.8::DOUBLE AS density_lt_80, density < 0.5::DOUBLE AS density_lt_50, density < 0.25::DOUBLE AS density_lt_25 FROM (VALUES " + ", ".join(f"({k}, {p}::DOUBLE, {t}, {i})" for i, (k, p, t) in enumerate(_GRID)) + """) c(k_min, pmi_min, top_k, i) JOIN (""" + " UNION ALL ".join(
         f"""SELECT {i} AS j, count(*) AS edges, 2.0::DOUBLE * count(*) / (n * (n - 1)) AS density, avg(weight) AS pmi_mean, median(weight) AS pmi_median, quantile_cont(weight, 0.25) AS pmi_p25, quantile_cont(weight, 0.75) AS pmi_p75,
 (SELECT count(DISTINCT u) FROM (SELECT unnest([src, dst]) AS u FROM ({_controlled(k, p, t or 2**31 - 1)})))::DOUBLE / n AS covered_share FROM ({_controlled(k, p, t or 2**31 - 1)}), (SELECT count(*) AS n FROM fq) GROUP BY n"""
         for i, (k, p, t) in enumerate(_GRID)
