@@ -1,0 +1,138 @@
+"""Near copies by the exact Jaccard similarity of their word shingles: min-hash bands, leaders of buckets, verification."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ._spark import materialize, written
+from .components import connected_components
+from .substrings import shingle_hashes, words_of
+
+#: Words of a shingle, and least Jaccard similarity of two near copies' shingle sets.
+SHINGLE, SIMILARITY = 5, 0.8
+#: A pair of similarity s shares one of the bands with probability 1 - (1 - s^ROWS)^BANDS, 0.998 at 0.8.
+BANDS, ROWS = 16, 5
+
+_MIX = np.random.default_rng(8).integers(1, 2**63, size=(2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted hashes of the text's distinct shingles; a text of fewer words is one shingle, one without words none."""
+    words = words_of(text)
+    return np.unique(shingle_hashes(words, min(SHINGLE, len(words)))) if words else np.empty(0, dtype=np.uint64)
+
+
+def band_hashes(shingles: np.ndarray) -> list[int]:
+    """One signed 64-bit hash per band of ROWS min-hashes; none for an empty set."""
+    if not len(shingles):
+        return []
+    least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(shingles), 2048):
+        values = shingles[at : at + 2048, None] * _MIX[0] + _MIX[1]
+        values ^= values >> np.uint64(31)
+        values *= _MIX[1]
+        np.minimum(least, values.min(axis=0), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh3_64_intdigest(rows[b].tobytes(), b) for b in range(BANDS)], dtype=np.uint64).view(np.int64).tolist()
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / max(1, len(a) + len(b) - shared)
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """(key, doc, mark, bands) of each distinct shingle set, with the least (doc, mark) that has it."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, bands = [], []
+            for text in batch.column(2):
+                found = shingle_set(text.as_py())
+                keys.append(xxhash.xxh3_64_intdigest(found.tobytes()))
+                bands.append(band_hashes(found))
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "mark", "key", "bands"])
+
+    rows = docs.select("doc", "mark", "text").mapInArrow(compute, "doc long, mark long, key long, bands array<long>")
+    return rows.groupBy("key").agg(F.min(F.struct("doc", "mark")).alias("least"), F.first("bands").alias("bands")).select("key", "least.*", "bands")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) of ``pairs`` whose texts' shingle sets have the similarity; a hub's pairs are split by the skew join."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, shingles = None, None
+        for batch in batches:
+            kept = []
+            for i, (a, mine, theirs) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3))):
+                if a != last:
+                    last, shingles = a, shingle_set(mine.as_py())
+                if jaccard(shingles, shingle_set(theirs.as_py())) >= similarity:
+                    kept.append(i)
+            if kept:
+                yield batch.select([0, 1]).take(pa.array(kept))
+
+    side = lambda n, text: texts.select(F.col("key").alias(n), F.col("text").alias(text))
+    return pairs.join(side("b", "theirs"), "b").join(side("a", "mine"), "a").select("a", "b", "mine", "theirs").mapInArrow(verify, "a long, b long")
+
+
+def _links(docs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame | None:
+    """Verified links (a, b) between classes; None if no two share a bucket.
+
+    In each bucket every class is compared with the least one, then those that link to no smaller class
+    in any bucket with 4, 16, ... leaders of their bucket, until none are left to compare. So of two
+    classes that share a bucket and both link to no smaller one, the first to lead is compared with
+    the other; a large group of near copies gives a few links a member.
+    """
+    node = F.struct("doc", "mark", "key").alias("node")
+    placed = classes.select(F.explode("bands").alias("bucket"), node)
+    crowded = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    active = materialize(placed.join(crowded, "bucket", "left_semi"))
+    named = active.select("node.*").distinct()
+    texts = written(docs.join(named, ["doc", "mark"]).groupBy("key").agg(F.first("text").alias("text")), "near-copies")
+    found, leaders = [], 1
+    while True:
+        first = active.groupBy("bucket", F.pmod(F.xxhash64("node.key"), F.lit(leaders)).alias("slot")).agg(F.min("node").alias("leader")).drop("slot")
+        both = active.join(first, "bucket").where(F.col("node.key") != F.col("leader.key"))
+        pairs = materialize(both.select(F.least("node", "leader").getField("key").alias("a"), F.greatest("node", "leader").getField("key").alias("b")).distinct())
+        if pairs.isEmpty():
+            return reduce(DataFrame.unionByName, found) if found else None
+        found.append(materialize(_verified(pairs, texts, similarity)))
+        rest = active.join(first.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
+        larger = found[-1].select("b").distinct()
+        active = materialize(rest.join(larger, F.col("node.key") == F.col("b"), "left_anti"))
+        leaders *= 4
+
+
+def one_of_each_group(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with one row of each group of near copies: that of the smallest id.
+
+    Two texts link if their sets of five-word shingles (A-Z as a-z) have a Jaccard similarity of
+    ``similarity`` or more, counted exactly on every pair that is compared; pairs are found by min-hash
+    bands. Groups are chains of links, and no two rows kept that share a band are near copies.
+
+    Texts of under five words are near copies if their words are equal; null texts and those without
+    words are one group. Of rows that repeat an id and text one stays. Rows with a null id cannot be
+    named and stay as they are.
+    """
+    named = docs.where(F.col(id_col).isNotNull())
+    slim = named.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    classes = materialize(_classes(slim))
+    links = _links(slim, classes, similarity)
+    kept = classes.select("doc", "mark")
+    if links is not None:
+        joined = connected_components(links)
+        groups = classes.join(joined, classes["key"] == joined["node"], "left").groupBy(F.coalesce("component", "key").alias("group"))
+        kept = groups.agg(F.min(F.struct("doc", "mark")).alias("least")).select("least.*")
+    # the row travels as one column, so no name of its own can clash
+    rows = named.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("mark"))
+    chosen = rows.join(kept, ["doc", "mark"], "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("doc", "mark").orderBy("mark"))).where("place = 1")
+    return chosen.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skillgraph.llm import ann, bpe, components, linededup, packing, quality, simhash, substrings, tokencounts, vectordedup, warc
+from skillgraph.llm import ann, bpe, components, linededup, neardup, packing, quality, simhash, substrings, tokencounts, vectordedup, warc
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -375,6 +375,55 @@ def test_simhash_odd_tables(spark):
     assert kept.columns == docs_of(spark, [""]).columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["5", "7", "None"]
 
 
+# Near copies of the pipeline.
+
+
+def shingles(text, width=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def similar(a, b):
+    return len(a & b) / max(1, len(a | b))
+
+
+def test_pipeline_removes_edited_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    texts = [words(rng, rng.randrange(60, 400), 5000) for _ in range(40)]
+    for t in texts[:40]:
+        for edits in (1, 2, 4, 8):
+            w = t.split()
+            for at in rng.sample(range(len(w)), edits):
+                w[at] = f"edit{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    texts += [texts[0], texts[1].upper(), "", None, "a b c", "A b  c"]
+    sets = [shingles(t) for t in texts]
+    kept = {r["doc_id"] for r in corpus_pipeline.one_of_near_copies(spark, docs_of(spark, texts), "").collect()}
+    label, changed = list(range(len(texts))), True
+    near = [[j for j in range(len(texts)) if j == i or similar(sets[i], sets[j]) >= 0.8 or not sets[i] and not sets[j]] for i in range(len(texts))]
+    while changed:
+        new = [min(label[j] for j in near[i]) for i in range(len(texts))]
+        changed, label = new != label, new
+    want = {i for i, own in enumerate(label) if own == i}
+    assert 40 < len(want) < len(texts) - 60
+    assert want <= kept and len(kept) - len(want) <= 0.02 * (len(texts) - len(want))
+
+
+def test_later_leaders_meet_when_the_first_is_no_near_copy(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "band_hashes", lambda shingles: [1] if len(shingles) else [])  # one bucket for all
+    rng = random.Random(22)
+    texts = [words(rng, 60, 5000) for _ in range(12)]
+    texts += [t + " more" for t in texts[4:]] + [t + " and more" for t in texts[8:]]
+    docs = docs_of(spark, texts)
+    assert {r["doc_id"] for r in neardup.one_of_each_group(docs).collect()} == set(range(12))
+    rows = docs_of(spark, [(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (5, texts[0]), (6, texts[0]), (7, "")])
+    kept = neardup.one_of_each_group(rows)
+    assert kept.columns == rows.columns and sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([("None", "a b c d"), ("5", "a b c d"), ("5", texts[0]), ("7", "")])
+    assert neardup.one_of_each_group(empty(spark)).count() == 0
+
+
 # WARC.
 
 
