@@ -47,20 +47,22 @@ class Tree:
             waiting += [(child, rows[nearest == k]) for k, child in enumerate(below) if (nearest == k).any()]
         return out
 
-    def visit(self, queries: np.ndarray, most: int) -> list[list[int]]:
-        """Up to ``most`` leaves per query, best bin first: a priority queue holds the open nodes by their
-        centre's inner product with the query, so a branch is entered only when it is the best left."""
+    def visit(self, queries: np.ndarray, most: int, sizes: list[int] | None = None, rows: np.ndarray | None = None) -> list[list[int]]:
+        """``most`` leaves per query, best bin first: a priority queue holds the open nodes by their
+        centre's inner product with the query, so a branch is entered only when it is the best left.
+        With ``sizes`` of the leaves, more of them until they hold the query's number of ``rows``."""
         products = queries @ self.centres.T
         out = []
-        for row in products:
-            queue, found = [(-row[0], 0)], []
-            while queue and len(found) < most:
+        for i, row in enumerate(products):
+            queue, found, left = [(-row[0], 0)], [], 0 if sizes is None else rows[i]
+            while queue and (len(found) < most or left > 0):
                 _, node = heapq.heappop(queue)
                 if self.children[node]:
                     for child in self.children[node]:
                         heapq.heappush(queue, (-row[child], child))
                 else:
                     found.append(self.leaf[node])
+                    left -= 0 if sizes is None else sizes[self.leaf[node]]
             out.append(found)
         return out
 
@@ -132,7 +134,8 @@ def nearest_neighbours(
 
     The tree is fitted on at most ``sample_rows`` vectors (those of the smallest hash of id) and indexes
     every row. Leaves are visited best bin first, as many as bring CALIBRATION_QUERIES queries, compared
-    with brute force over all rows, to ``recall``. Large leaves are cut into chunks of CHUNK rows.
+    with brute force over all rows, to ``recall``, and for each query on until they hold ``k`` rows
+    besides its own. Large leaves are cut into chunks of CHUNK rows.
 
     Null, empty, zero and non-finite vectors, rows with a null id and vectors of another length than
     the most common one take no part. Repeated rows of ``vectors`` are candidates once; fewer than k
@@ -160,6 +163,7 @@ def nearest_neighbours(
 
     placed = materialize(rows.mapInArrow(assign, "vec_id long, embedding array<double>, leaf long"))
     sizes = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # one number a leaf, 4096 at most
+    leaf_sizes = spark.sparkContext.broadcast([sizes.get(i, 0) for i in range(tree.value.leaves)])
     chunks_of = spark.sparkContext.broadcast([math.ceil(sizes.get(i, 0) / CHUNK) for i in range(tree.value.leaves)])
     visits = _calibrate(placed, asked, tree, dims, k, recall, by_hash)
 
@@ -167,7 +171,7 @@ def nearest_neighbours(
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                found = tree.value.visit(_matrix(part.column(1), dims), visits)
+                found = tree.value.visit(_matrix(part.column(1), dims), visits, leaf_sizes.value, k + part.column(2).to_numpy())
                 bins = [[(leaf, c) for leaf in leaves for c in range(chunks_of.value[leaf])] for leaves in found]
                 taken = np.repeat(np.arange(part.num_rows), [len(b) for b in bins])
                 yield pa.RecordBatch.from_arrays(
@@ -175,6 +179,8 @@ def nearest_neighbours(
                     names=["vec_id", "embedding", "leaf", "chunk"],
                 )
 
+    owned = rows.groupBy("vec_id").agg(F.count("*").alias("own"))
+    asked = asked.join(owned, "vec_id", "left").select("vec_id", "embedding", F.coalesce("own", F.lit(0).cast("long")).alias("own"))
     asking = asked.mapInArrow(routes, "vec_id long, embedding array<double>, leaf long, chunk long").withColumn("role", F.lit(1))
     counts = F.element_at(F.array(*[F.lit(c) for c in chunks_of.value]), (F.col("leaf") + 1).cast("int")) if len(set(chunks_of.value)) > 1 else F.lit(max(chunks_of.value))
     chunk = F.pmod(F.xxhash64("vec_id"), F.greatest(counts, F.lit(1)).cast("long"))

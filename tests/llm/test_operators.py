@@ -178,6 +178,20 @@ def test_neighbours_reach_recall_and_exact_scores(spark):
     assert total == 75 * 20 and hit / total >= 0.93
 
 
+def test_outlying_queries_get_all_ranks(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    centres = np.eye(12) * 50
+    x = np.concatenate([c + rng.normal(size=(50, 12)) * 0.1 for c in centres]).astype(np.float32)
+    x[0] = -np.eye(12)[0] * 300  # alone in a leaf
+    x[1] = -np.eye(12)[1] * 300
+    nodes = np.concatenate([np.zeros((1, 12)), centres, x[:2]])
+    tree = ann.Tree(nodes, [list(range(1, 15)), *[[] for _ in range(14)]], [-1, *range(14)], 14)
+    monkeypatch.setattr(ann, "fit_tree", lambda sample, leaves: tree)
+    v = vectors_of(spark, [(i, r.tolist(), 0, 0, 0) for i, r in enumerate(x)])
+    got = ann.nearest_neighbours(v, v.where("vec_id % 20 = 0")).toPandas()
+    assert {q: sorted(own["rank"]) for q, own in got.groupby("query_id")} == {q: list(range(1, 21)) for q in range(0, len(x), 20)}
+
+
 def test_neighbours_odd_rows(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [1.0]), (None, [1.0, 1.0]), (20, [0.0, 2.0]), (1, [1.0, 0.0]), (40, None)]
