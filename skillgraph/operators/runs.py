@@ -19,10 +19,17 @@ def run_summary(runs: DataFrame, keys: list[str], columns: list[str]) -> DataFra
     for c in columns:
         aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std")]
     rows = runs.groupBy(*keys).agg(*aggs)
-    text = {f"{c}_text": F.format_string("%.4f ± %.4f", F.col(f"{c}_mean"), F.coalesce(f"{c}_std", F.lit(0.0))) for c in columns}
+    text = {f"{c}_text": F.concat(_four_places(F.col(f"{c}_mean")), F.lit(" ± "), _four_places(F.coalesce(f"{c}_std", F.lit(0.0)))) for c in columns}
     return rows.withColumns(text)
 
 
+def _four_places(x: Column) -> Column:
+    """A number with four decimals, half up, from whole ten-thousandths: doubles a hair under a half, as sums leave them, round up too."""
+    whole = F.floor(F.abs(x) * 10_000 + 0.500001)
+    sign = F.when((x < 0) & (whole > 0), "-").otherwise("")
+    return F.concat(sign, F.floor(whole / 10_000).cast("string"), F.lit("."), F.lpad((whole % 10_000).cast("string"), 4, "0"))
+
+
 def latest_run(runs: DataFrame, keys: list[str], at: str = "created_at") -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.desc(at))
     return runs.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")

@@ -71,15 +71,18 @@ def _(v: Views):
     return v.test.groupBy("skill_id").agg(F.count("*").alias("n")).withColumn("flag", metrics.reliability_flag(F.col("n")))
 
 
+def _text(x: str) -> str:
+    """A SQL number of 0 or more with four decimals, from whole ten-thousandths."""
+    return f"(floor({x} * 10000 + 0.500001::DOUBLE)::BIGINT // 10000)::VARCHAR || '.' || lpad((floor({x} * 10000 + 0.500001::DOUBLE)::BIGINT % 10000)::VARCHAR, 4, '0')"
+
+
 @query(
     "i1_run_summary",
-    "SELECT *, printf('%.4f ± %.4f', a, b) AS test_auc_text FROM (SELECT model, variant, count(*) AS n, avg(test_auc) AS test_auc_mean, stddev_samp(test_auc) AS test_auc_std, round(avg(test_auc), 9) AS a, round(stddev_samp(test_auc), 9) AS b FROM runs GROUP BY 1, 2)",
-    "runs", digits=("test_auc_mean", "test_auc_std", "a", "b"),
+    f"SELECT *, {_text('test_auc_mean')} || ' ± ' || {_text('test_auc_std')} AS test_auc_text FROM (SELECT model, variant, count(*) AS n, avg(test_auc) AS test_auc_mean, stddev_samp(test_auc) AS test_auc_std FROM runs GROUP BY 1, 2)",
+    "runs", digits=("test_auc_mean", "test_auc_std"),
 )
 def _(v: Views):
-    rows = runs.run_summary(v.runs, ["model", "variant"], ["test_auc"]).drop("test_auc_text")
-    rows = rows.withColumns({"a": F.round("test_auc_mean", 9), "b": F.round("test_auc_std", 9)})
-    return rows.withColumn("test_auc_text", F.format_string("%.4f ± %.4f", "a", "b"))
+    return runs.run_summary(v.runs, ["model", "variant"], ["test_auc"])
 
 
 @query("i2_latest_run", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import cached_property
 
@@ -13,7 +14,7 @@ from ..operators import features, metrics, relations, splits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-SEED, THETA = 2026, 0.15
+SEED = 2026
 
 #: variant, alpha_pre, alpha_sim, alpha_co, place in the candidate order, complexity, reach of its shift
 VARIANTS = [("no_graph", 0.0, 0.0, 0.0, 0, 0, 0.0), ("pre", 1.0, 0.0, 0.0, 1, 1, 0.02), ("sim", 0.0, 1.0, 0.0, 2, 1, 0.05), ("co", 0.0, 0.0, 1.0, 3, 1, 0.1), ("full", 1.0, 1.0, 1.0, 4, 3, 0.2)]
@@ -79,9 +80,16 @@ class Views:
     def pre(self) -> DataFrame:
         return relations.e_pre_topk(self.train, 5)
 
+    @cached_property
+    def theta(self) -> float:
+        """The Jaccard similarity expected of two skills spread over the questions by chance; about half of all pairs reach it."""
+        n = self.train.agg(F.count("*"), F.countDistinct("question_id"), F.countDistinct("skill_id")).first()
+        p = 1 - math.exp(-n[0] / max(1, n[1] * n[2]))
+        return p / (2 - p)
+
     @cached_property
     def sim(self) -> DataFrame:
-        return relations.e_sim(self.train, THETA)
+        return relations.e_sim(self.train, self.theta)
 
     @cached_property
     def co(self) -> DataFrame:
@@ -160,7 +168,8 @@ CTES = {
     "simall": """simall AS (SELECT src, dst, c::DOUBLE / (x.n + y.n - c) AS weight, c AS support_count FROM (
 SELECT a.skill_id AS src, b.skill_id AS dst, count(*) AS c FROM own a JOIN own b ON a.question_id = b.question_id AND a.skill_id < b.skill_id GROUP BY 1, 2)
 JOIN (SELECT skill_id, count(*) AS n FROM own GROUP BY 1) x ON x.skill_id = src JOIN (SELECT skill_id, count(*) AS n FROM own GROUP BY 1) y ON y.skill_id = dst)""",
-    "sim": f"sim AS (SELECT * FROM simall WHERE weight >= {THETA}::DOUBLE)",
+    "th": "th AS (SELECT p / (2 - p) AS theta FROM (SELECT 1 - exp(-count(*)::DOUBLE / (count(DISTINCT question_id) * count(DISTINCT skill_id))) AS p FROM train))",
+    "sim": "sim AS (SELECT * FROM simall WHERE weight >= (SELECT theta FROM th))",
     "ls": "ls AS (SELECT DISTINCT learner_id, skill_id FROM train)",
     "pairs": """pairs AS (SELECT src, dst, c AS support_count, ln(c::DOUBLE * (SELECT count(DISTINCT learner_id) FROM ls) / (x.n::DOUBLE * y.n)) AS pmi FROM (
 SELECT a.skill_id AS src, b.skill_id AS dst, count(*) AS c FROM ls a JOIN ls b ON a.learner_id = b.learner_id AND a.skill_id < b.skill_id GROUP BY 1, 2)
@@ -200,7 +209,7 @@ FROM (SELECT 'u' || user_id AS run_id, day(ts)::INTEGER AS epoch, round(avg(valu
 
 _NEEDS = {
     "ix": [], "ix_sparse": [], "sp": ["ix"], "sps": ["ix_sparse"], "train": ["sp"], "test": ["sp"], "trains": ["sps"], "q": ["ix"], "rk": ["train"], "pre": ["rk"], "fq": ["train"], "own": ["train"],
-    "simall": ["own"], "sim": ["simall"], "ls": ["train"], "pairs": ["ls"], "co": ["pairs"], "edges": ["pre", "fq", "sim", "co"], "strata": ["fq"], "vs": [], "held": ["sp"], "preds": ["held", "vs"],
+    "simall": ["own"], "th": ["train"], "sim": ["simall", "th"], "ls": ["train"], "pairs": ["ls"], "co": ["pairs"], "edges": ["pre", "fq", "sim", "co"], "strata": ["fq"], "vs": [], "held": ["sp"], "preds": ["held", "vs"],
     "tp": ["preds"], "runs": ["preds"], "logs": [],
 }
 

@@ -103,11 +103,12 @@ def _(v: Views):
 @query(
     "d11_e_sim_trace",
     """SELECT (SELECT count(DISTINCT skill_id) FROM train) AS n_skills, (SELECT count(*) FROM (SELECT question_id FROM train GROUP BY 1 HAVING count(DISTINCT skill_id) > 1)) AS multi_skill_questions,
-(SELECT count(*) FROM simall) AS candidate_pairs, (SELECT count(*) FROM sim) AS pairs_at_theta, (SELECT count(*) FROM (SELECT row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM sim) WHERE r <= 20) AS edges_after_topk, 'active' AS reason""",
+(SELECT count(*) FROM simall) AS candidate_pairs, (SELECT count(*) FROM sim) AS pairs_at_theta, (SELECT count(*) FROM (SELECT row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM sim) WHERE r <= 20) AS edges_after_topk,
+CASE WHEN NOT EXISTS (SELECT 1 FROM train GROUP BY question_id HAVING count(DISTINCT skill_id) > 1) THEN 'no shared questions' WHEN NOT EXISTS (SELECT 1 FROM sim) THEN 'all below theta' ELSE 'active' END AS reason""",
     "simall", "sim",
 )
 def _(v: Views):
-    return relations.e_sim_trace(v.train, 0.15, 20)
+    return relations.e_sim_trace(v.train, v.theta, 20)
 
 
 @query("d12_e_co", "SELECT * FROM co", "co", digits=("weight",))

@@ -36,7 +36,7 @@ def table(frame):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     found = QUERIES[name](spark, str(SF)).toPandas()
+    assert len(found)  # equality of two empty results would show nothing
     if name not in ORACLES:
-        assert len(found)
         return
     assert table(found) == table(duck.sql(ORACLES[name]).df())
