@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import materialize, sorted_groups, spanning_edges
@@ -118,8 +118,8 @@ def probes(width: int, radius: int) -> int:
     return total
 
 
-def allocate(n: int, ones: np.ndarray, parts: list[list[int]], distance: int) -> tuple[float, list[int]]:
-    """Thresholds per part, each -1 (skipped) or more, of sum distance - m + 1 at the least estimated cost.
+def allocate(n: int, ones: np.ndarray, parts: list[list[int]], distance: int, most: int | None = None) -> tuple[float, list[int]]:
+    """Thresholds per part, each -1 (skipped) or more (``most`` at most), of sum distance - m + 1 at the least estimated cost.
 
     By the generalised pigeonhole principle two fingerprints within ``distance`` then differ by no more
     than its threshold in some part. Dynamic programming over parts and the sum so far.
@@ -128,7 +128,7 @@ def allocate(n: int, ones: np.ndarray, parts: list[list[int]], distance: int) ->
     for part in parts:
         now: dict[int, tuple[float, list[int]]] = {}
         for total, (cost, chosen) in best.items():
-            for radius in range(-1, distance + 1):
+            for radius in range(-1, (distance if most is None else min(most, distance)) + 1):
                 made = cost + estimated_candidates(n, ones, part, radius)
                 if total + radius not in now or made < now[total + radius][0]:
                     now[total + radius] = (made, [*chosen, radius])
@@ -221,18 +221,3 @@ def near_duplicates(docs: DataFrame, distance: int = 2, width: int = 3, id_col:
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     members = named.select("fp", "component").join(least, "component").select("fp", "component_id")
     return rows.join(members, "fp").select("doc_id", "fp", "component_id")
-
-
-def one_of_each_group(docs: DataFrame, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, with one row of each group of near duplicates: that of the smallest id.
-
-    Of rows that repeat this id the one of the smallest text hash stays. Rows with a null id cannot be
-    named and stay as they are.
-    """
-    named = docs.where(F.col(id_col).isNotNull())
-    kept = near_duplicates(named, distance, id_col=id_col, text_col=text_col).select("component_id").distinct()
-    # the row travels as one column, so no name of its own can clash
-    rows = named.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("component_id"), F.xxhash64(text_col).alias("k"))
-    first = Window.partitionBy("component_id").orderBy("k")
-    chosen = rows.join(kept, "component_id", "left_semi").withColumn("place", F.row_number().over(first)).where("place = 1")
-    return chosen.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skillgraph.llm import ann, bpe, components, linededup, neardup, packing, quality, simhash, substrings, tokencounts, vectordedup, warc
+from skillgraph.llm import ann, bpe, components, linededup, nearcopies, packing, quality, simhash, substrings, tokencounts, vectordedup, warc
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -385,8 +385,6 @@ def test_simhash_odd_tables(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
     got = simhash.near_duplicates(docs_of(spark, [(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (None, None)])).collect()
     assert sorted(str(r["component_id"]) for r in got) == ["5", "5", "5", "None"]
-    kept = simhash.one_of_each_group(docs_of(spark, [(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (6, "a b c d"), (7, "")]))
-    assert kept.columns == docs_of(spark, [""]).columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["5", "7", "None"]
 
 
 # Near copies of the pipeline.
@@ -425,17 +423,48 @@ def test_pipeline_removes_edited_copies(spark):
     assert want <= kept and len(kept) - len(want) <= 0.02 * (len(texts) - len(want))
 
 
-def test_later_leaders_meet_when_the_first_is_no_near_copy(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "band_hashes", lambda shingles: [1] if len(shingles) else [])  # one bucket for all
+def test_near_copies_in_one_bucket_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "BLOCK", 8)
+    monkeypatch.setattr(nearcopies, "_masks", lambda classes, count, parts: [(0, 0, 0)])  # one bucket for all
     rng = random.Random(22)
     texts = [words(rng, 60, 5000) for _ in range(12)]
     texts += [t + " more" for t in texts[4:]] + [t + " and more" for t in texts[8:]]
     docs = docs_of(spark, texts)
-    assert {r["doc_id"] for r in neardup.one_of_each_group(docs).collect()} == set(range(12))
-    rows = docs_of(spark, [(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (5, texts[0]), (6, texts[0]), (7, "")])
-    kept = neardup.one_of_each_group(rows)
-    assert kept.columns == rows.columns and sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([("None", "a b c d"), ("5", "a b c d"), ("5", texts[0]), ("7", "")])
-    assert neardup.one_of_each_group(empty(spark)).count() == 0
+    assert {r["doc_id"] for r in nearcopies.one_of_each_group(docs).collect()} == set(range(12))
+
+
+def test_a_chain_of_near_copies_is_one_group(spark):
+    rng = random.Random(24)
+    w, texts = words(rng, 200, 5000).split(), []
+    for step in range(8):
+        texts.append(" ".join(w))
+        for at in range(step * 20, step * 20 + 20, 5):
+            w[at] = f"edit{at}"
+    texts = texts[::2] + texts[1::2] + [words(rng, 200, 5000)]
+    assert similar(shingles(texts[0]), shingles(texts[4])) >= 0.8 > similar(shingles(texts[0]), shingles(texts[1]))
+    assert {r["doc_id"] for r in nearcopies.one_of_each_group(docs_of(spark, texts)).collect()} == {0, 8}
+
+
+def test_near_copies_odd_tables(spark):
+    rng = random.Random(23)
+    text = words(rng, 60, 5000)
+    rows = docs_of(spark, [(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (5, text), (6, text), (7, "")])
+    kept = nearcopies.one_of_each_group(rows)
+    assert kept.columns == rows.columns and sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([("None", "a b c d"), ("5", "a b c d"), ("5", text), ("7", "")])
+    assert nearcopies.one_of_each_group(empty(spark)).count() == 0
+    assert nearcopies.one_of_each_group(docs_of(spark, [None, "", " "])).count() == 1
+
+
+def test_fingerprints_match_brute_force():
+    rng = np.random.default_rng(25)
+    for n in (1, 7, 255, 256, 1000):
+        s = rng.integers(0, 2**63, n, dtype=np.uint64)
+        got = nearcopies.fingerprints(s, 3)
+        for k in range(3):
+            h = (s ^ nearcopies._SEEDS[k]) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(29)
+            assert int(got[k]) % 2**64 == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > n)
 
 
 # WARC.
