@@ -581,6 +581,64 @@ def test_passages_of_large_groups_and_odd_tables(spark, monkeypatch):
     assert kept.count() == len(rows) and kept.columns == docs_of(spark, rows).columns
 
 
+def shared_spans(a, b, shortest=46, similarity=0.8):
+    """Whether spans of ``shortest`` shingles of the word lists have the similarity: all pairs of spans, counted by box sums."""
+    one, two = (np.array([hash(tuple(w[k : k + 5])) for k in range(len(w) - 4)], dtype=np.int64) for w in (a, b))
+    if len(one) < shortest or len(two) < shortest:
+        return False
+    total = np.zeros((len(one) + 1, len(two) + 1), dtype=np.int64)
+    total[1:, 1:] = (one[:, None] == two[None, :]).cumsum(axis=0).cumsum(axis=1)
+    n = shortest
+    shared = total[n:, n:] - total[:-n, n:] - total[n:, :-n] + total[:-n, :-n]
+    return bool((shared / (2 * n - shared) >= similarity).any())
+
+
+def edited(rng, text, edits):
+    w = text.split()
+    for at in np.linspace(7, len(w) - 8, edits).astype(int):
+        w[at + rng.randrange(-3, 4)] = f"edit{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_passages_of_all_document_pairs(spark):
+    rng = random.Random(14)
+    around = lambda text: f"{words(rng, rng.randrange(5, 60), 5000)} {text} {words(rng, rng.randrange(5, 60), 5000)}"
+    texts = []
+    for _ in range(40):  # the second has most of the third, the first less of it
+        p = words(rng, 100, 5000)
+        texts += [around(edited(rng, p, 3)), around(edited(rng, p, 1)), around(p)]
+    for _ in range(20):  # a line that stands in front of other texts, then whole copies that begin with it
+        p = words(rng, 70, 5000)
+        texts += [around(" ".join(p.split()[:30])) for _ in range(3)] + [around(p), around(" ".join(p.split()[:40])), around(p)]
+    split = [t.split() for t in texts]
+    want = {j for j in range(len(texts)) for i in range(j) if shared_spans(split[j], split[i])}
+    got = {r["doc_id"] for r in substrings.near_duplicate_passages(docs_of(spark, texts)).collect()}
+    assert 90 <= len(want) and len(want - got) <= 0.02 * len(want)
+
+
+def test_third_documents_meet_the_second_when_the_first_resembles_less(spark):
+    rng = random.Random(15)
+    texts = []
+    for _ in range(60):
+        p = words(rng, 60, 5000)
+        texts += [edited(rng, p, 2), edited(rng, p, 1), edited(rng, p, 1)]
+        texts[-1] = texts[-2]
+    got = substrings.near_duplicate_passages(docs_of(spark, texts)).toPandas()
+    whole = got[(got["doc_id"] % 3 == 2) & (got["source_doc_id"] == got["doc_id"] - 1) & (got["words"] == 60)]
+    assert whole["doc_id"].nunique() == 60
+
+
+def test_repeats_within_a_document(spark):
+    rng = random.Random(16)
+    p = words(rng, 80, 5000)
+    once, twice = f"{words(rng, 50, 5000)} {p} {words(rng, 50, 5000)}", f"{words(rng, 20, 5000)} {p} {words(rng, 70, 5000)} {p}"
+    lines = " ".join(["same line here of six words"] * 200)
+    got = substrings.near_duplicate_passages(docs_of(spark, [twice, words(rng, 300, 5000), lines, once])).toPandas()
+    assert {(r.doc_id, r.source_doc_id) for r in got.itertuples() if r.doc_id != 2} == {(0, 0), (3, 0)}
+    own = got[got["doc_id"] == 0].iloc[0]
+    assert own["start"] == 170 and own["source_start"] == 20 and own["words"] == 80
+
+
 def test_without_words_keeps_the_rest():
     assert substrings.without_words(" a  b\nc d ", [(1, 3)]) == " a  d "
     assert substrings.without_words("a b", [(0, 2)]) == ""
