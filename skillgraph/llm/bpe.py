@@ -1,10 +1,11 @@
-"""BPE encoding and decoding: words by cache, long texts by tree concatenation of segments encoded in parallel."""
+"""BPE encoding and decoding by tree concatenation: segments are encoded apart, and windows around each join anew until both sides agree."""
 
 from __future__ import annotations
 
 import json
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from ._spark import sorted_groups
 from .packing import byte_alphabet
 
+#: Characters of a segment that is encoded at once, and of a text whose segments are dealt out over the cluster.
+SEGMENT, LONG_TEXT = 1024, 65_536
 #: Words of a generation of the cache; two are kept.
 CACHED_WORDS = 250_000
 #: Ends a word in the fast encoding; settled texts do not hold it.
@@ -80,11 +83,22 @@ class Codec:
     def by_library(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text, as little-endian unsigned 32-bit numbers."""
-        if not self.settled(text):
-            return np.array(self.by_library(text), dtype="<u4").tobytes()
-        words, young = self.words.findall(text.lower()), self.young
+    def encode(self, text: str, segment: int = SEGMENT) -> bytes:
+        """Ids of a whole text, as little-endian unsigned 32-bit numbers; a text of over ``segment`` characters as a tree."""
+        if self.settled(text):
+            lower = text.lower()
+            if len(lower) <= segment:
+                return b"".join(self._ids_of(self.words.findall(lower)))
+            return b"".join(self.tree_of_words(lower, segment)[1])
+        if len(text) > segment:
+            normal = self.normalized(text)
+            if not any(x in text or x in normal for x in self.specials):
+                ends = cuts(normal, segment)
+                return self.tree(normal, [(a, b, self.leaf(normal, a, b)) for a, b in zip([0, *ends], ends)])
+        return np.array(self.by_library(text), dtype="<u4").tobytes()
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        young = self.young
         fresh = {w for w in words if w not in young}
         if fresh:
             if len(young) > CACHED_WORDS:
@@ -95,7 +109,38 @@ class Codec:
             young.update((w, old[w]) for w in kept)
             fresh.difference_update(kept)
             young.update(self._encoded_words(list(fresh)))
-        return b"".join([young[w] for w in words])
+        return [young[w] for w in words]
+
+    # Tree concatenation of texts that are taken word by word.
+
+    def tree_of_words(self, lower: str, segment: int, low: int = 0, high: int | None = None) -> tuple[list, list]:
+        """(spans, ids) of the words of lower[low:high]: those of its halves, joined."""
+        high = len(lower) if high is None else high
+        if high - low <= segment:
+            spans = [m.span() for m in self.words.finditer(lower, low, high)]
+            return spans, self._ids_of([lower[a:b] for a, b in spans])
+        cut = (low + high) // 2
+        return self._join_words(lower, self.tree_of_words(lower, segment, low, cut), self.tree_of_words(lower, segment, cut, high), low, cut, high)
+
+    def _join_words(self, lower: str, left: tuple[list, list], right: tuple[list, list], low: int, cut: int, high: int) -> tuple[list, list]:
+        """The words of lower[low:high] from those of its halves, which the cut may have severed.
+
+        A window around the cut is taken anew and doubled until one of its words, clear of its edges, ends before the
+        cut and is also one of the left half, and another one begins after it and is one of the right half. From a
+        word that both have on, both go on alike, since a word depends on its start and the text behind it only.
+        """
+        reach = 64
+        while True:
+            a, b = max(low, cut - reach), min(high, cut + reach)
+            window = [m.span() for m in self.words.finditer(lower, a, b)]
+            head, first = (0, 0) if a == low else _same_word(window, left[0], a + 1, cut - 1)
+            tail, last = (len(right[0]), len(window)) if b == high else _same_word(window, right[0], cut, b - 1)
+            if head is not None and tail is not None:
+                if a > low:
+                    head, first = head + 1, first + 1
+                middle = window[first:last]
+                return left[0][:head] + middle + right[0][tail:], left[1][:head] + self._ids_of([lower[x:y] for x, y in middle]) + right[1][tail:]
+            reach *= 2
 
     def _fast_words(self, described: dict):
         """(tiktoken encoding of words ended by END, id of each of its ranks), or None if the merges do not allow it.
@@ -141,17 +186,15 @@ class Codec:
     def normalized(self, text: str) -> str:
         return self.library.normalizer.normalize_str(text) if self.library.normalizer else text
 
-    # Tree concatenation.
-
-    def _spans(self, text: str, shift: int) -> list[tuple[int, int, int]]:
-        encoded = self.library.encode(text, add_special_tokens=False)
-        return [(i, a + shift, b + shift) for i, (a, b) in zip(encoded.ids, encoded.offsets)]
+    # Tree concatenation of other texts, token by token. Tokens are rows (id, from, to) of an array.
 
-    def leaf(self, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
-        """(id, from, to) of the tokens of text[start:end] taken alone."""
-        return self._spans(text[start:end], start)
+    def leaf(self, text: str, start: int, end: int) -> np.ndarray:
+        """The tokens of text[start:end] taken alone."""
+        encoded = self.library.encode(text[start:end], add_special_tokens=False)
+        spans = np.array(encoded.offsets, dtype=np.int32).reshape(-1, 2) + start
+        return np.column_stack([np.array(encoded.ids, dtype=np.int32), spans.astype(np.int32)])
 
-    def join(self, text: str, left: list, right: list, low: int, cut: int, high: int) -> list:
+    def join(self, text: str, left: np.ndarray, right: np.ndarray, low: int, cut: int, high: int) -> np.ndarray:
         """The tokens of text[low:high] from those of text[low:cut] and text[cut:high].
 
         A window around the cut is encoded anew and doubled until it agrees with the left tokens on a
@@ -162,29 +205,30 @@ class Codec:
         reach = 64
         while True:
             a, b = max(low, cut - reach), min(high, cut + reach)
-            window = self._spans(text[a:b], a)
-            before = 0 if a == low else self._agreement(text, left, window, cut, forward=False)
-            after = 0 if b == high else self._agreement(text, right, window, cut, forward=True)
+            window = self.leaf(text, a, b)
+            before = 0 if a == low else self._agreement(text, left[_index(left, a) :], window, cut, forward=False)
+            after = 0 if b == high else self._agreement(text, right[: _index(right, b)], window, cut, forward=True)
             if before is not None and after is not None:
-                head = [] if a == low else left[: _index(left, before)]
-                tail = [] if b == high else right[_index(right, after) :]
+                head = left[:0] if a == low else left[: _index(left, before)]
+                tail = right[:0] if b == high else right[_index(right, after) :]
                 middle = window if a == low else window[_index(window, before) :]
                 middle = middle if b == high else middle[: _index(middle, after)]
-                return head + middle + tail
+                return np.concatenate([head, middle, tail])
             reach *= 2
 
     AGREE = 16
 
-    def _agreement(self, text: str, side: list, window: list, cut: int, forward: bool) -> int | None:
+    def _agreement(self, text: str, side: np.ndarray, window: np.ndarray, cut: int, forward: bool) -> int | None:
         """A token start at which ``side`` and ``window`` may be spliced, or None.
 
         It must be one around which both have the same tokens: for a run of AGREE tokens, or on both
         sides of white space, over which no token reaches.
         """
-        starts = {(i, p, q) for i, p, q in side if (p >= cut if forward else q <= cut)}
+        starts = {(i, p, q) for i, p, q in side.tolist() if (p >= cut if forward else q <= cut)}
         run: list[tuple[int, int, int]] = []
-        edge = len(text) if not window else (window[-1][2] if forward else window[0][1])
-        for t in window if forward else reversed(window):
+        tokens = list(map(tuple, window.tolist()))
+        edge = len(text) if not tokens else (tokens[-1][2] if forward else tokens[0][1])
+        for t in tokens if forward else reversed(tokens):
             inside = t[1] >= cut if forward else t[2] <= cut
             if not inside:
                 continue
@@ -205,27 +249,30 @@ class Codec:
                 return middle[1]
         return None
 
-    def tree(self, text: str, leaves: list[tuple[int, int, list]]) -> list[int]:
-        """Concatenate (from, to, tokens) of neighbouring segments pair by pair, level by level."""
+    def tree(self, text: str, leaves: list[tuple[int, int, np.ndarray]]) -> bytes:
+        """Ids of the concatenation of (from, to, tokens) of neighbouring segments, pair by pair, level by level."""
         while len(leaves) > 1:
             level = []
             for i in range(0, len(leaves) - 1, 2):
                 (low, cut, left), (_, high, right) = leaves[i], leaves[i + 1]
                 level.append((low, high, self.join(text, left, right, low, cut, high)))
             leaves = level + leaves[len(level) * 2 :]
-        return [i for i, _, _ in leaves[0][2]] if leaves else []
+        return leaves[0][2][:, 0].astype("<u4").tobytes() if leaves else b""
 
 
-def _index(tokens: list[tuple[int, int, int]], start: int) -> int:
-    """The first token that starts at ``start``; several may share it where one character has many bytes."""
-    low, high = 0, len(tokens)
-    while low < high:
-        middle = (low + high) // 2
-        if tokens[middle][1] < start:
-            low = middle + 1
-        else:
-            high = middle
-    return low
+def _same_word(window: list[tuple[int, int]], side: list[tuple[int, int]], low: int, high: int) -> tuple[int | None, int]:
+    """(place in ``side``, place in ``window``) of the first word within low..high that both hold; (None, 0) if there is none."""
+    for at, span in enumerate(window):
+        if span[0] >= low and span[1] <= high:
+            k = bisect_left(side, span)
+            if k < len(side) and side[k] == span:
+                return k, at
+    return None, 0
+
+
+def _index(tokens: np.ndarray, start: int) -> int:
+    """The first token that starts at ``start`` or later; several may share it where one character has many bytes."""
+    return int(np.searchsorted(tokens[:, 1], start))
 
 
 @lru_cache(maxsize=2)
@@ -265,13 +312,14 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
 
 
 def encode_documents(
-    docs: DataFrame, tokenizer: str, long_text: int = 65_536, segment: int = 16_384, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str, long_text: int = LONG_TEXT, segment: int = SEGMENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of every whole text; ``ids`` is little-endian unsigned 32-bit.
 
-    Texts of at most ``long_text`` characters are encoded where they are read, without a shuffle.
-    Longer ones are cut into halves of halves of at most ``segment`` characters, which are dealt
-    out over the cluster, encoded apart and concatenated as a tree, one text per group.
+    A text is cut into halves of halves of at most ``segment`` characters, wherever that is, which are
+    encoded apart and concatenated as a tree. Texts of at most ``long_text`` characters stay in the
+    task that reads them, without a shuffle; the segments of longer ones, sixteen times that size, are
+    dealt out over the cluster and meet as arrays, one text per group.
 
     Null texts count as empty: no ids, an empty decoded text. Each repeated row and each row with a
     null id gives a row of its own. Other columns are ignored.
@@ -284,7 +332,7 @@ def encode_documents(
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for doc, text in zip(batch.column(0), batch.column(1)):
-                    ids = code.encode(text.as_py())
+                    ids = code.encode(text.as_py(), segment)
                     yield doc.as_py(), len(ids) // 4, ids, code.decode(ids)
 
         yield from _batches(rows(), _OUT_ARROW)
@@ -301,13 +349,13 @@ def encode_documents(
                     if any(s in text.as_py() or s in normal for s in code.specials):
                         yield row.as_py(), doc.as_py(), -1, len(normal), text.as_py()
                         continue
-                    for high in cuts(normal, segment):
+                    for high in cuts(normal, 16 * segment):
                         yield row.as_py(), doc.as_py(), low, high, normal[low:high]
                         low = high
 
         yield from _batches(rows(), segments_schema)
 
-    tokens_schema = pa.schema([*segments_schema, ("ids", pa.binary()), ("spans", pa.binary())])
+    tokens_schema = pa.schema([*segments_schema, ("ids", pa.binary()), ("tokens", pa.binary())])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(tokenizer)
@@ -315,9 +363,10 @@ def encode_documents(
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for row, doc, at, until, text in zip(*(c.to_pylist() for c in batch.columns)):
-                    spans = code.leaf(text, 0, len(text)) if at >= 0 else [(i, 0, 0) for i in code.by_library(text)]
-                    array = np.array(spans, dtype="<u4").reshape(-1, 3)
-                    yield row, doc, at, until, text, array[:, 0].tobytes(), array[:, 1:].tobytes()
+                    if at < 0:
+                        yield row, doc, at, until, text, np.array(code.by_library(text), dtype="<u4").tobytes(), b""
+                    else:
+                        yield row, doc, at, until, text, b"", code.leaf(text, 0, len(text)).astype("<i4").tobytes()
 
         yield from _batches(rows(), tokens_schema)
 
@@ -329,10 +378,9 @@ def encode_documents(
                 ids = first["ids"]
             else:
                 text, parts = "".join(group["text"]), []
-                for at, until, raw, spans in zip(group["at"], group["until"], group["ids"], group["spans"]):
-                    ends = np.frombuffer(spans, dtype="<u4").reshape(-1, 2).astype(int) + at
-                    parts.append((at, until, list(zip(np.frombuffer(raw, dtype="<u4").tolist(), ends[:, 0].tolist(), ends[:, 1].tolist()))))
-                ids = np.array(code.tree(text, parts), dtype="<u4").tobytes()
+                for at, until, raw in zip(group["at"], group["until"], group["tokens"]):
+                    parts.append((at, until, np.frombuffer(raw, dtype="<i4").reshape(-1, 3) + np.array([0, at, at], dtype="<i4")))
+                ids = code.tree(text, parts)
             doc = None if pd.isna(first["doc_id"]) else int(first["doc_id"])
             yield pd.DataFrame({"doc_id": pd.array([doc], dtype="Int64"), "n_tokens": [len(ids) // 4], "ids": [ids], "decoded": [code.decode(ids)]})
 
@@ -341,6 +389,6 @@ def encode_documents(
     numbered = slim.where(is_long).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     schema = "row long, doc_id long, at long, until long, text string"
     dealt = numbered.mapInArrow(segments, schema).repartition("row", "at")
-    encoded = dealt.mapInArrow(leaves, schema + ", ids binary, spans binary")
+    encoded = dealt.mapInArrow(leaves, schema + ", ids binary, tokens binary")
     long = encoded.repartition("row").sortWithinPartitions("row", "at").mapInPandas(concatenate, _OUT)
     return short.unionByName(long)
