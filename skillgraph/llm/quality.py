@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -10,28 +9,27 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMENSIONS = 64
-#: Labelled rows the model is fitted on at most, and characters of the longest of them.
-SAMPLE_ROWS, SAMPLE_CHARS = 6000, 20_000
+#: Labelled rows the model is fitted on at most, and characters of all of them together.
+SAMPLE_ROWS, SAMPLE_CHARS = 6000, 64_000_000
 MIN_WORD_COUNT, MAX_WORDS = 8, 50_000
-CACHED_WORDS = 400_000
-
-_UPPER, _LOWER, _DIGIT, _RUN = re.compile(r"[^\W\d_a-z]+"), re.compile(r"[^\W\d_A-Z]+"), re.compile(r"\d+"), re.compile(r"([^\w\s])\1+")
+#: Words whose ids a worker keeps, and characters of the longest of them.
+CACHED_WORDS, CACHED_CHARS = 400_000, 256
 
 
 def shape(word: str) -> str:
     """A word's outline: runs of capitals X, small letters x, digits 9; doubled marks are marked by +."""
     out = []
-    for c in word[:64]:
+    for c in word:
         kind = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
         if not out or out[-1] != kind:
             out.append(kind)
         elif kind not in "Xx9" and (len(out) < 2 or out[-1] != "+"):
             out.append("+")
-    return "".join(out[:8])
+    return "".join(out)
 
 
 def index_vector(key: str) -> np.ndarray:
@@ -63,7 +61,8 @@ class Model:
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
         found = self.words.get(word.lower(), 0), self.shapes.get(shape(word), 0)
-        self.cache[word] = found
+        if len(word) <= CACHED_CHARS:
+            self.cache[word] = found
         return found
 
     def pooled(self, text: str | None) -> np.ndarray:
@@ -172,20 +171,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """Fit on at most ``rows`` labelled texts that are not held out: those of the smallest hash of doc_id.
 
-    Only this bounded sample reaches the driver: no text in it has over SAMPLE_CHARS characters.
-    Labels other than 0 and 1 and contradictory labels of one doc_id are left out.
+    Only this bounded sample reaches the driver: the first of these texts, in that order, that have ``chars``
+    characters or fewer together. Labels other than 0 and 1 and contradictory labels of one doc_id are left out.
     """
     usable = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
         .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("top")).where("label = top")
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.char_length("text") <= SAMPLE_CHARS)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows + rows // 4)
-    found = texts.join(chosen.select("doc_id", "label"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()
+    order = (F.xxhash64("doc_id"), "doc_id", "mark")
+    joined = texts.join(chosen.select("doc_id", "label"), "doc_id").withColumn("mark", F.xxhash64("text"))
+    # the window runs over at most ``rows`` rows of an id and a length
+    fitting = joined.select("doc_id", "mark", F.char_length("text").alias("n")).orderBy(*order).limit(rows)
+    fitting = fitting.withColumn("sum", F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= chars)
+    found = joined.join(fitting.select("doc_id", "mark").distinct(), ["doc_id", "mark"]).orderBy(*order).limit(rows).collect()
     return fit([r["text"] for r in found], np.array([r["label"] for r in found], dtype=np.int64))
 
 
@@ -215,7 +219,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, label_c
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores at least ``threshold``."""
+    """The rows of ``docs``, all columns, whose text scores at least ``threshold``.
+
+    Null and empty texts score as texts of no words do, so they stay or go together. Repeated rows share their fate;
+    no rows give no rows. Without two classes of labels all rows score the share of label 1 (0.5 if there are none).
+    """
     model = train(docs, labels)
     shared, columns = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
