@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,21 +12,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder of the session: as set, else that of ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary one is made.
+    Where neither is set, a temporary folder serves a session on one machine (tests); on a cluster it raises, as
+    executors would not see each other's files.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir", None)
+        if shared is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
+    _shared(df.sparkSession)
+    return df.checkpoint()
 
 
 def sorted_groups(
@@ -35,24 +40,34 @@ def sorted_groups(
 
     Holds one frame and one group at a time, so the caller bounds memory by bounding its groups.
     """
-    held: pd.DataFrame | None = None
+    held: list[pd.DataFrame] = []  # the group that may go on, joined once it has ended
+    rows = 0
+    last = None
     for frame in frames:
-        if held is not None:
-            frame = pd.concat([held, frame], ignore_index=True)
         if not len(frame):
             continue
-        new = np.zeros(len(frame), dtype=bool)
-        new[0] = True
+        new = np.ones(len(frame), dtype=bool)
+        new[0] = last is None or any(frame[key].iat[0] != last[key] for key in keys)
+        new[1:] = False
         for key in keys:
             column = frame[key].to_numpy()
             new[1:] |= column[1:] != column[:-1]
         starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(frame))
-        for i in np.flatnonzero(ends[:-1] - starts[:-1] >= smallest):
-            yield frame.iloc[starts[i] : ends[i]]
-        held = frame.iloc[starts[-1] :].reset_index(drop=True)
-    if held is not None and len(held) >= smallest:
-        yield held
+        bounds = [0, *starts.tolist(), len(frame)] if not new[0] else [*starts.tolist(), len(frame)]
+        for i, (low, high) in enumerate(zip(bounds, bounds[1:])):
+            if (i or new[0]) and held:
+                if rows >= smallest:
+                    yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+                held, rows = [], 0
+            if i < len(bounds) - 2 and not held:
+                if high - low >= smallest:
+                    yield frame.iloc[low:high]
+                continue
+            held.append(frame.iloc[low:high])
+            rows += high - low
+        last = {key: frame[key].iat[-1] for key in keys}
+    if held and rows >= smallest:
+        yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
 
 
 class Forest:
@@ -98,8 +113,7 @@ def spanning_edges(linked: np.ndarray) -> list[tuple[int, int]]:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for tables that other executors must read, in the cluster's shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

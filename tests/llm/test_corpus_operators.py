@@ -245,6 +245,45 @@ def test_classifier_held_out_accuracy(spark):
     assert kept.columns == docs.columns and kept.count() == int(got["predicted"].sum())
 
 
+def test_scores_match_a_plain_version(spark):
+    rng = random.Random(17)
+    texts = [junk(rng, 60) if i % 3 == 0 else words(rng, 80) for i in range(120)] + ODD + ["A" * 5000 + "9!" * 400 + " " + words(rng, 30_000)]
+    model = quality.fit(texts[:120], np.array([int(i % 3 != 0) for i in range(120)]))
+    assert model.layers
+
+    def plain(text):
+        tokens = (text or "").split()
+        x = np.zeros(2 * quality.DIMENSIONS + 1)
+        for i, w in enumerate(tokens):
+            x[: quality.DIMENSIONS] += model.word_vectors[model.words.get(w.lower(), 0)]
+            x[quality.DIMENSIONS : -1] += model.shape_vectors[1 if i and tokens[i - 1] == w else model.shapes.get(quality.shape(w), 0)]
+        if tokens:
+            x /= len(tokens)
+            x[-1] = np.log1p(len(tokens)) / 10
+        mean, scale, w1, b1, w2, b2 = model.layers
+        z = sum(max(0.0, float(((x - mean) / scale) @ w1[:, k] + b1[k])) * w2[k] for k in range(len(w2))) + b2[0]
+        return 1 / (1 + np.exp(-np.clip(z / model.temperature, -30, 30)))
+
+    got = {r["doc_id"]: r["score"] for r in quality.score_documents(docs_of(spark, texts), model).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], [plain(t) for t in texts], atol=1e-5)
+    assert quality.shape("AAa9!!..x" + "ab9" * 100) == "Xx9!+.+" + "x9" * 100
+
+
+def test_long_labelled_texts_train_within_the_sum_of_characters(spark):
+    rng = random.Random(18)
+    texts = [words(rng, 20) if i else words(rng, 9000) for i in range(12)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    seen = []
+    fit, quality.fit = quality.fit, lambda found, y: seen.append([len(t) for t in found]) or fit(found, y)
+    try:
+        for chars in (10**6, 200):
+            quality.train(docs_of(spark, texts), labels, chars=chars)
+    finally:
+        quality.fit = fit
+    assert max(seen[0]) == len(texts[0]) and len(seen[0]) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(12))
+    assert sum(seen[1]) <= 200
+
+
 def test_classifier_odd_tables(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.classify(docs_of(spark, [(None, None), (1, ""), (1, ""), (2, "x" * 100_000)]), none).toPandas()
@@ -320,7 +359,7 @@ def test_bpe_equals_the_library(spark):
     letters = "abcdefghij"
     texts = [*ODD, words(rng, 2000), "".join(rng.choice(letters) for _ in range(4000)), "ab" * 3000, "".join(rng.choice("!?é日🙂a1 ") for _ in range(3000)), "x" * 2500 + " " + "y" * 2500, ("é" * 900)]
     library = Tokenizer.from_file(WORD)
-    for long_text, segment in ((65_536, 16_384), (300, 90)):
+    for long_text, segment in ((65_536, 1024), (65_536, 40), (300, 12)):
         got = bpe.encode_documents(docs_of(spark, texts), WORD, long_text, segment).toPandas().set_index("doc_id")
         assert len(got) == len(texts)
         for i, t in enumerate(texts):
