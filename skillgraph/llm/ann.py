@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ._spark import materialize, sorted_groups
 from .vectordedup import usable
 
-#: Vectors the tree is fitted on at most, children of a node, and rows a leaf should hold.
-SAMPLE_ROWS, BRANCH, LEAF_ROWS = 20_000, 16, 256
+#: Vectors the tree is fitted on at most and for each leaf, children of a node, and rows a leaf should hold.
+SAMPLE_ROWS, LEAF_SAMPLE, BRANCH, LEAF_ROWS = 131_072, 32, 16, 256
 #: Queries whose true neighbours calibrate the number of leaves to visit.
 CALIBRATION_QUERIES = 128
 CHUNK = 4096
@@ -122,18 +122,32 @@ def _top(q: np.ndarray, q_id: int, x: np.ndarray, ids: np.ndarray, products: np.
     return ids[kept][order], scores[order]
 
 
+def _tops(q_ids: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """``_top`` of many queries at once: (ids, scores) of each."""
+    products, own = q @ x.T, ids[None, :] == q_ids[:, None]
+    products[own] = -np.inf
+    at = max(0, len(ids) - k)
+    least = np.partition(products, at, axis=1)[:, at, None]
+    row, column = np.nonzero((products >= least - 1e-9 * np.maximum(1.0, np.abs(np.where(np.isinf(least), 0, least)))) & ~own)
+    scores = _exact(q[row], x[column])
+    order = np.lexsort((ids[column], -scores, row))
+    starts = np.searchsorted(row, np.arange(len(q) + 1))
+    found = [order[a : min(b, a + k)] for a, b in zip(starts, starts[1:])]
+    return [ids[column[o]] for o in found], [scores[o] for o in found]
+
+
 _TOP = "query_id long, ids array<long>, scores array<double>"
 
 
 def nearest_neighbours(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.96, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS,
+    vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.94, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS,
     id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` the ``k`` rows of ``vectors`` found with the
     largest inner product in double precision, other than rows of its own id; ties to the smaller vec_id.
 
-    The tree is fitted on at most ``sample_rows`` vectors (those of the smallest hash of id) and indexes
-    every row. Leaves are visited best bin first, as many as bring CALIBRATION_QUERIES queries, compared
+    The tree is fitted on LEAF_SAMPLE vectors a leaf, at most ``sample_rows`` (those of the smallest hash of id),
+    and indexes every row; leaves grow in number with the rows until the sample is spent, and in size from there on. Leaves are visited best bin first, as many as bring CALIBRATION_QUERIES queries, compared
     with brute force over all rows, to ``recall``, and for each query on until they hold ``k`` rows
     besides its own. Large leaves are cut into chunks of CHUNK rows.
 
@@ -145,15 +159,15 @@ def nearest_neighbours(
         F.col("vec_id").isNotNull() & usable(F.col("embedding"))
     ).distinct()
     spark = vectors.sparkSession
-    rows, asked = fit(vectors), fit(queries)
+    rows, asked = materialize(fit(vectors)), fit(queries)
     common = rows.groupBy(F.size("embedding").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
     if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n, dims = common["count"], common["dims"]
     rows, asked = rows.where(F.size("embedding") == dims), asked.where(F.size("embedding") == dims)
     by_hash = lambda df, most: df.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most)
-    sample = np.array([r["embedding"] for r in by_hash(rows, sample_rows).select("embedding").collect()], dtype=np.float64)
-    leaves = max(1, min(math.ceil(n / leaf_rows), len(sample) // 16, 4096))
+    leaves = max(1, min(math.ceil(n / leaf_rows), sample_rows // LEAF_SAMPLE))
+    sample = _matrix(by_hash(rows, LEAF_SAMPLE * leaves).select("embedding").toArrow().column(0).combine_chunks(), dims)
     tree = spark.sparkContext.broadcast(fit_tree(sample, leaves))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,9 +210,9 @@ def nearest_neighbours(
                 continue
             q = np.array(frame["embedding"].tolist())
             for low in range(0, len(q), 512):
-                products = q[low : low + 512] @ x.T
-                tops = [_top(q[low + i], q_id, x, ids, products[i], k) for i, q_id in enumerate(frame["vec_id"].iloc[low : low + 512])]
-                yield pd.DataFrame({"query_id": frame["vec_id"].iloc[low : low + 512].to_numpy(), "ids": [t[0] for t in tops], "scores": [t[1] for t in tops]})
+                asking = frame["vec_id"].to_numpy()[low : low + 512]
+                found, scores = _tops(asking, q[low : low + 512], x, ids, k)
+                yield pd.DataFrame({"query_id": asking, "ids": found, "scores": scores})
 
     bins = held.unionByName(asking).repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk", "role")
     tops = bins.mapInPandas(search, _TOP).groupBy("query_id").agg(F.flatten(F.collect_list(F.arrays_zip("scores", "ids"))).alias("all"))
