@@ -103,6 +103,11 @@ def test_trie_scores_each_shared_prefix_once_and_survives_a_full_cache(monkeypat
     assert counter.count([["ab", "abc", "a"]]) == [1 + 2 + 1]
 
 
+def test_token_counts_of_repeated_rows_and_null_ids(spark):
+    got = tokencounts.count_tokens(docs_of(spark, [(1, "a b"), (1, "a b"), (None, "a"), (2, None)]), PIECE).collect()
+    assert sorted((str(r["doc_id"]), r["n_pretokens"]) for r in got) == [("1", 2), ("1", 2), ("2", 0), ("None", 1)]
+
+
 # Embeddings.
 
 
@@ -547,6 +552,13 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archive(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_warc_of_repeated_page_ids(spark, tmp_path):
+    pages = [(1, "u", "x"), (1, "u", "x"), (2, "u", "x"), (2, "v", "z"), (3, "u", "y"), (3, "u", "y")]
+    warc.write_archive(spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path / "r"))
+    got = sorted((r["page_id"], bytes(r["payload"]).decode(), r["record_type"], r["refers_to"]) for r in warc.read_archive(spark, str(tmp_path / "r")).collect())
+    assert got == [(1, "x", "revisit", 2), (1, "x", "revisit", 2), (2, "x", "response", None), (2, "z", "response", None), (3, "y", "response", None), (3, "y", "response", None)]
+
+
 def test_warc_notices_damage(spark, tmp_path):
     frame = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
     headers, payloads = warc.archive_records(frame)
