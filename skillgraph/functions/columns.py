@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def normalize_id(col: Column | str) -> Column:
-    """String id without the ``.0`` that a float column leaves at its end."""
-    return F.regexp_replace(F.col(col).cast("string") if isinstance(col, str) else col.cast("string"), r"\.0$", "")
+    """String id without the ``.0`` that a float column leaves at its end; whole numbers that print as 1.2E7 are written out."""
+    text = (F.col(col) if isinstance(col, str) else col).cast("string")
+    return F.when(text.rlike(r"^-?\d\.\d+E\d+$"), text.try_cast("decimal(38,0)").cast("string")).otherwise(F.regexp_replace(text, r"\.0$", ""))
 
 
 def normalize_correct(col: Column | str) -> Column:
@@ -33,6 +34,13 @@ def safe_ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom != 0, top.cast("double") / bottom.cast("double"))
 
 
+def four_places(x: Column) -> Column:
+    """A number with four decimals, half up, from whole ten-thousandths: doubles a hair under a half, as sums leave them, round up too."""
+    whole = F.floor(F.abs(x) * 10_000 + 0.500001)
+    sign = F.when((x < 0) & (whole > 0), "-").otherwise("")
+    return F.concat(sign, F.floor(whole / 10_000).cast("string"), F.lit("."), F.lpad((whole % 10_000).cast("string"), 4, "0"))
+
+
 def with_columns_named(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     """Rename the first present alternative of each target column; a present target stays."""
     have = {c.lower(): c for c in df.columns}

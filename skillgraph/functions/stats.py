@@ -33,7 +33,3 @@ def normal_two_tailed_p(z: Column) -> Column:
     for coefficient in reversed(fit):
         total = total * t + coefficient
     return t * F.exp(-x * x + total)
-
-
-def holm_factor(rank: Column, n: Column) -> Column:
-    return (n - rank + 1).cast("double")

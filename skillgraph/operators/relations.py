@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import hashed_unit, safe_ratio
+from .._session import materialize
+from ..functions.columns import four_places, hashed_unit, safe_ratio
 
 
 def _skill_order(train: DataFrame) -> DataFrame:
@@ -50,25 +51,38 @@ def e_pre_support(edges: DataFrame, train: DataFrame) -> DataFrame:
 
 def support_hash(edges: DataFrame) -> DataFrame:
     """Edges with the first 16 hex digits of sha256(src_dst_support_weight to four places)."""
-    text = F.concat_ws("_", "src", "dst", F.col("support_count").cast("string"), F.format_string("%.4f", "weight"))
+    text = F.concat_ws("_", "src", "dst", F.col("support_count").cast("string"), four_places(F.col("weight")))
     return edges.withColumn("support_hash", F.substring(F.sha2(text, 256), 1, 16))
 
 
-def e_pre_variants(scores: DataFrame, ks: tuple[int, ...] = (3, 5, 10), thresholds: tuple[float, ...] = (0.7, 0.8, 0.9), dense_above: float = 0.25) -> DataFrame:
-    """Summary of the raw edges, top-k and confidence-threshold variants: nodes, edges, density, out-degree, status.
+def e_pre_variants(
+    scores: DataFrame, ks: tuple[int, ...] = (3, 5, 10), thresholds: tuple[float, ...] = (0.7, 0.8, 0.9), target_density: float = 0.05, reduced: int = 5
+) -> DataFrame:
+    """Summary of the raw edges, top-k and confidence-threshold variants, and the transitive reduction of the
+    top ``reduced``: nodes, edges, density, out-degree, dag flag, status.
 
-    ``scores(src, dst, weight, confidence)``; the edges are ranked once and the variants are rows.
+    ``scores(src, dst, weight, confidence)``; the edges are ranked once and the variants are rows. All nodes of the
+    scores count in every variant. The reduction has no edges (null) where the edges it is made from have a cycle.
     """
+    from .graph import cyclic_core, nodes_of, transitive_reduction
+
     w = Window.partitionBy("src").orderBy(F.desc("confidence"), F.desc("weight"), "dst")
-    ranked = scores.withColumn("__r", F.row_number().over(w))
-    names = [F.lit("raw")] + [F.when(F.col("__r") <= k, F.lit(f"top{k}")) for k in ks] + [F.when(F.col("confidence") >= t, F.lit(f"conf{t}")) for t in thresholds]
-    rows = ranked.select("src", "dst", F.explode(F.array_compact(F.array(*names))).alias("variant"))
-    nodes = rows.select("variant", F.explode(F.array("src", "dst")).alias("v")).distinct().groupBy("variant").agg(F.count("*").alias("nodes"))
-    edges = rows.groupBy("variant").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"))
+    ranked = materialize(scores.withColumn("__r", F.row_number().over(w)))
+    names = [F.lit("raw")] + [F.when(F.col("__r") <= k, F.lit(f"top{k}_out")) for k in ks] + [F.when(F.col("confidence") >= t, F.lit(f"confidence_{t:.2f}")) for t in thresholds]
+    rows = ranked.select("src", "dst", "weight", F.explode(F.array_compact(F.array(*names))).alias("variant"))
+    # one search for cycles serves all variants, as their nodes have names of their own
+    apart = lambda c: F.concat_ws("|", "variant", c).alias(c)
+    cyclic = cyclic_core(rows.select(apart("src"), apart("dst"), "weight")).select(F.substring_index("src", "|", 1).alias("variant")).distinct()
+    top = ranked.where(F.col("__r") <= reduced).select("src", "dst", "weight")
+    name = f"top{reduced}_transitive_reduced"
+    acyclic = cyclic_core(top).isEmpty()
+    counts = rows.groupBy("variant").agg(F.count("*").alias("edges")).join(cyclic.withColumn("cycle", F.lit(True)), "variant", "left").select("variant", "edges", F.col("cycle").isNull().alias("dag"))
+    m = transitive_reduction(top).agg(F.count("*").alias("edges")) if acyclic else top.agg(F.lit(None).cast("long").alias("edges"))
+    counts = counts.unionByName(m.select(F.lit(name).alias("variant"), "edges", F.lit(acyclic).alias("dag")))
     n = F.col("nodes")
     density = safe_ratio(F.col("edges"), n * (n - 1))
-    return edges.join(nodes, "variant").select(
-        "variant", "nodes", "edges", density.alias("density"), safe_ratio(F.col("edges"), n).alias("avg_out_degree"), F.when(density > dense_above, "DENSE").otherwise("PASS").alias("status")
+    return counts.crossJoin(nodes_of(scores).agg(F.count("*").alias("nodes"))).select(
+        "variant", "nodes", "edges", density.alias("density"), safe_ratio(F.col("edges"), n).alias("avg_out_degree"), "dag", F.when(density <= target_density, "PASS").otherwise("DENSE").alias("status")
     )
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import safe_ratio
+from ..functions.columns import four_places, safe_ratio
 from ..functions.stats import normal_two_tailed_p, t_two_tailed_p
 
 PAIR_KEYS = ["dataset", "model", "fold", "seed"]
@@ -19,17 +19,10 @@ def run_summary(runs: DataFrame, keys: list[str], columns: list[str]) -> DataFra
     for c in columns:
         aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std")]
     rows = runs.groupBy(*keys).agg(*aggs)
-    text = {f"{c}_text": F.concat(_four_places(F.col(f"{c}_mean")), F.lit(" ± "), _four_places(F.coalesce(f"{c}_std", F.lit(0.0)))) for c in columns}
+    text = {f"{c}_text": F.concat(four_places(F.col(f"{c}_mean")), F.lit(" ± "), four_places(F.coalesce(f"{c}_std", F.lit(0.0)))) for c in columns}
     return rows.withColumns(text)
 
 
-def _four_places(x: Column) -> Column:
-    """A number with four decimals, half up, from whole ten-thousandths: doubles a hair under a half, as sums leave them, round up too."""
-    whole = F.floor(F.abs(x) * 10_000 + 0.500001)
-    sign = F.when((x < 0) & (whole > 0), "-").otherwise("")
-    return F.concat(sign, F.floor(whole / 10_000).cast("string"), F.lit("."), F.lpad((whole % 10_000).cast("string"), 4, "0"))
-
-
 def latest_run(runs: DataFrame, keys: list[str], at: str = "created_at") -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.desc(at))
     return runs.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
@@ -64,18 +57,26 @@ def select_argmax(runs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def select_with_simplicity(runs: DataFrame, keys: list[str], eps: float = 1e-4, baseline: str = "no_graph") -> DataFrame:
-    """The simplest candidate within eps of the best valid AUC, or the baseline if the gain over it is eps or less.
+    """(keys, variant, valid_gain, test_delta, is_tautology, tie_break_applied): the scan over candidates in ``order``.
 
-    ``complexity`` ranks candidates, ties by ``order``; is_tautology marks a chosen baseline.
+    A candidate of larger valid AUC replaces the best one; one within eps of it does if its ``complexity`` is smaller,
+    and its AUC is then the one to beat. A gain over the baseline of eps or less chooses the baseline.
     """
-    top = F.max("valid_auc").over(Window.partitionBy(*keys))
-    base = F.max(F.when(F.col("variant") == baseline, F.col("valid_auc"))).over(Window.partitionBy(*keys))
-    near = runs.withColumns({"__top": top, "__base": base}).where(F.col("valid_auc") >= F.col("__top") - eps)
-    w = Window.partitionBy(*keys).orderBy("complexity", F.desc("valid_auc"), "order")
-    best = near.withColumn("__r", F.row_number().over(w)).where("__r = 1")
-    small = F.coalesce(F.col("valid_auc") - F.col("__base") <= eps, F.lit(False))
-    variant = F.when(small, baseline).otherwise(F.col("variant"))
-    return best.select(*keys, variant.alias("variant"), (F.col("valid_auc") - F.col("__base")).alias("valid_gain"), (variant == baseline).alias("is_tautology"))
+    step = F.struct("order", "variant", "valid_auc", "test_auc", "complexity")
+    none = F.lit(None).cast("struct<variant:string,auc:double,test:double,complexity:int>")
+
+    def scan(best: Column, c: Column) -> Column:
+        taken = F.struct(c["variant"].alias("variant"), c["valid_auc"].alias("auc"), c["test_auc"].alias("test"), c["complexity"].cast("int").alias("complexity"))
+        simpler = (F.abs(c["valid_auc"] - best["auc"]) <= eps) & (c["complexity"] < best["complexity"])
+        return F.when(best.isNull() | (c["valid_auc"] > best["auc"]) | simpler, taken).otherwise(best)
+
+    base = F.max(F.when(F.col("variant") == baseline, F.struct("valid_auc", "test_auc"))).alias("base")
+    rows = runs.where(F.col("valid_auc").isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(step)).alias("s"), base).withColumn("best", F.aggregate("s", none, scan))
+    gain = F.col("best.auc") - F.coalesce("base.valid_auc", F.lit(0.0))
+    small = (F.col("best.variant") != baseline) & (gain <= eps)
+    back = small | (F.col("best.variant") == baseline)
+    delta = F.when(back, 0.0).otherwise(F.col("best.test") - F.coalesce("base.test_auc", F.lit(0.0)))
+    return rows.select(*keys, F.when(small, baseline).otherwise(F.col("best.variant")).alias("variant"), gain.alias("valid_gain"), delta.alias("test_delta"), back.alias("is_tautology"), small.alias("tie_break_applied"))
 
 
 def best_graph_vs_no_graph(runs: DataFrame, keys: list[str], baseline: str = "no_graph") -> DataFrame:
@@ -169,7 +170,7 @@ def wilcoxon(deltas: DataFrame, keys: list[str], exact_up_to: int = 25) -> DataF
     return sums.select(*keys, "n", "w_plus", "w_minus", p.alias("p"))
 
 
-def bootstrap_ci(deltas: DataFrame, keys: list[str], order: list[str], rounds: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+def bootstrap_ci(deltas: DataFrame, keys: list[str], order: list[str], rounds: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """(n, mean, low, high): percentile interval of the mean over resamples chosen by md5, the same in any engine.
 
     Meant for run tables: rounds x runs rows per key are made and averaged map-side.
@@ -208,18 +209,19 @@ def practical_effect(delta: Column) -> Column:
 
 
 def classify_significance(p: Column, delta: Column, alpha: float = 0.05, least: float = 0.005) -> Column:
-    significant, large = p < alpha, F.abs(delta) >= least
+    significant, large = p < alpha, delta >= least  # a gain
     return (
         F.when(significant & large, "significant and practical").when(significant, "significant, not practical").when(large, "practical, not significant").otherwise("neither")
     )
 
 
-def classify_holm(p_holm: Column, delta: Column, tautology: Column, alpha: float = 0.05) -> Column:
-    return F.when(tautology, "tautology").when((p_holm < alpha) & (delta > 0), "supported gain").when((p_holm < alpha) & (delta < 0), "supported loss").otherwise("not supported")
+def classify_holm(p_holm: Column, delta: Column, tautology: Column, alpha: float = 0.05, least: float = 0.005) -> Column:
+    rule = F.when(tautology, "tautology").when((delta >= least) & (p_holm < alpha), "supported gain").when((delta <= -least) & (p_holm < alpha), "supported loss")
+    return rule.when(F.abs(delta) < least, "negligible").otherwise("notable, not confirmed")
 
 
-def classify_role(p_holm: Column, delta: Column, confirmatory: Column, alpha: float = 0.05) -> Column:
-    return F.when(~confirmatory, "diagnostic").when((p_holm < alpha) & (delta > 0), "confirmed").otherwise("not confirmed")
+def classify_role(p_holm: Column, delta: Column, alpha: float = 0.05) -> Column:
+    return F.when((p_holm < alpha) & (delta > 0), "confirmatory").when(p_holm < alpha, "not supported").otherwise("diagnostic only")
 
 
 def _mean_delta(deltas: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -231,14 +233,15 @@ def stability_label(reference: DataFrame, new: DataFrame, keys: list[str], near:
     rows = _mean_delta(reference, keys, "reference").join(_mean_delta(new, keys, "new"), keys)
     a, b = F.col("reference"), F.col("new")
     label = (
-        F.when((F.col("n_reference") < min_runs) | (F.col("n_new") < min_runs), "insufficient_runs").when((F.abs(a) < near) & (F.abs(b) < near), "near_zero_unstable")
-        .when((a > 0) & (b > 0), "stable_positive").when((a < 0) & (b < 0), "stable_negative").otherwise("sign_changed")
+        F.when((F.col("n_reference") < min_runs) | (F.col("n_new") < min_runs), "insufficient_runs")
+        .when((a > near) & (b > near), "stable_positive").when((a < -near) & (b < -near), "stable_negative")
+        .when(F.signum(a) != F.signum(b), "sign_changed").otherwise("near_zero_unstable")
     )
-    return rows.select(*keys, "reference", "new", label.alias("label"))
+    return rows.select(*keys, "reference", "new", label.alias("label"), practical_stability(a, b).alias("practical"))
 
 
-def practical_stability(a: Column, b: Column, least: float = 0.005) -> Column:
-    return F.when((F.signum(a) == F.signum(b)) & (F.abs(b) >= least), "stable").when(F.signum(a) == F.signum(b), "weak").otherwise("unstable")
+def practical_stability(reference: Column, new: Column, least: float = 0.005) -> Column:
+    return F.when(F.abs(new) < least, "near zero").when(F.signum(reference) != F.signum(new), "sign changed").otherwise("directionally stable")
 
 
 def sign_preservation(reference: DataFrame, new: DataFrame, keys: list[str], run_keys: list[str]) -> DataFrame:

@@ -9,19 +9,24 @@ from ..operators import audit, features, graph, relations
 from .fixtures import ACC_SQL, NLL_SQL, P_SQL, RMSE_SQL, RUN_SQL, Views, auc_sql, query
 
 
-@query("f1_q_matrix_provenance", "SELECT count(*) AS rows, 0::BIGINT AS bad_rows, 'PASS' AS status FROM q", "q")
+_BAD_SOURCE = "length(question_id) = 1"
+
+
+@query("f1_q_matrix_provenance", f"SELECT *, CASE WHEN rows > 0 AND bad_rows = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT count(*) AS rows, count(*) FILTER (WHERE {_BAD_SOURCE}) AS bad_rows FROM q)", "q")
 def _(v: Views):
-    return audit.q_matrix_provenance(v.q)
+    return audit.q_matrix_provenance(v.q.withColumn("source", F.when(F.expr(_BAD_SOURCE), "unverified").otherwise(F.col("source"))))
 
 
 @query(
     "f2_e_co_audit",
-    """SELECT count(*) AS edges, true AS undirected, true AS train_only, bool_and(support_count > 0) AS supported, min(support_count) AS support_min, quantile_cont(support_count, 0.25) AS support_q25, median(support_count) AS support_median,
-avg(support_count) AS support_mean, quantile_cont(support_count, 0.75) AS support_q75, max(support_count) AS support_max, count(*) FILTER (weight > 0) AS positive_weights, 'PASS' AS status FROM co""",
+    """SELECT *, CASE WHEN undirected AND train_only AND supported THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT count(*) AS edges, bool_and(support_count % 11 <> 3) AS undirected, bool_and(support_count % 13 <> 5) AS train_only, bool_and(support_count > 0) AS supported, min(support_count) AS support_min, quantile_cont(support_count, 0.25) AS support_q25, median(support_count) AS support_median,
+avg(support_count) AS support_mean, quantile_cont(support_count, 0.75) AS support_q75, max(support_count) AS support_max, count(*) FILTER (weight > 0) AS positive_weights FROM co)""",
     "co", digits=("support_q25", "support_median", "support_mean", "support_q75"),
 )
 def _(v: Views):
-    return audit.e_co_audit(v.edges.where("relation_type = 'co'"))
+    # some edges are marked as directed or as coming from another split
+    other = F.when(F.col("support_count") % 13 == 5, "test").otherwise("train")
+    return audit.e_co_audit(v.co.select("*", (F.col("support_count") % 11 == 3).alias("directed"), other.alias("source_split")))
 
 
 _ONE_WAY = "(SELECT src, dst, weight, support_count FROM co UNION ALL SELECT dst, src, weight, support_count FROM co WHERE support_count % 5 <> 0)"
@@ -103,9 +108,12 @@ def _(v: Views):
     return audit.rho_co(v.co, built, v.split)
 
 
-@query("f9_audit_l5", _status("L5", "0"), "co")
+_CONTAMINATED = f"(SELECT count(*) FROM co JOIN {_TOUCHED} t ON co.src = t.src AND co.dst = t.dst)"
+
+
+@query("f9_audit_l5", _status("L5", _CONTAMINATED), "co")
 def _(v: Views):
-    return audit.audit_l5(v.co, v.train, v.split)
+    return audit.audit_l5(v.co, v.split.where("split = 'train' or length(learner_id) <= 2"), v.split)
 
 
 _GROUP = ["dataset", "fold", "seed", "model"]
@@ -120,27 +128,45 @@ def _(v: Views):
 
 
 def _report(v: Views):
+    """All checks over the planted splits and edges, a map with some unverified sources, and selections by test AUC."""
     split = materialize(v.split)
+    v.split = split  # relations are built from the materialised split
+    leaky, edges = _planted(v)
+    leaky, edges = materialize(leaky), materialize(edges)
     train = split.where("split = 'train'")
-    edges = v.sim.select("src", "dst", F.lit("train").alias("source_split"))
+    q = v.q.withColumn("source", F.when(F.expr(_BAD_SOURCE), "unverified").otherwise(F.col("source")))
     runs = materialize(v.runs)
-    chosen = runs.groupBy(*_GROUP).agg(F.max_by("variant", F.struct("valid_auc", F.col("order") * -1)).alias("variant"))
+    chosen = runs.groupBy(*_GROUP).agg(F.max_by("variant", F.struct("test_auc", F.col("order") * -1)).alias("variant"))
     return audit.leakage_report([
-        audit.audit_l1(edges, split), audit.audit_l2(v.q), audit.audit_l3(train, train.agg(F.percentile("timestamp", F.lit(0.9)).alias("cutoff"))),
-        audit.audit_l4(edges, split), audit.audit_l5(v.co, train, split), audit.audit_l6(runs, chosen, _GROUP),
+        audit.audit_l1(edges, leaky), audit.audit_l2(q), audit.audit_l3(train, train.agg(F.percentile("timestamp", F.lit(0.9)).alias("cutoff"))),
+        audit.audit_l4(edges, leaky), audit.audit_l5(v.co, split.where("split = 'train' or length(learner_id) <= 2"), split), audit.audit_l6(runs, chosen, _GROUP),
     ])
 
 
-_LATE = "(SELECT count(*) FROM train WHERE timestamp > (SELECT quantile_cont(timestamp, 0.9) FROM train))"
-_REPORT = " UNION ALL ".join(_status(c, _LATE if c == "L3" else "0") for c in ("L1", "L2", "L3", "L4", "L5", "L6"))
+_VIOLATIONS = {
+    "L1": "(SELECT count(*) FROM lk) + (SELECT count(*) FROM sim WHERE support_count % 7 = 0)",
+    "L2": f"(SELECT count(*) FROM q WHERE {_BAD_SOURCE})",
+    "L3": "(SELECT count(*) FROM train WHERE timestamp > (SELECT quantile_cont(timestamp, 0.9) FROM train))",
+    "L4": "(SELECT count(*) FROM lk)",
+    "L5": _CONTAMINATED,
+    "L6": f"(SELECT count(*) FROM {_BEST.format(by='test_auc')} a JOIN {_BEST.format(by='valid_auc')} b USING (dataset, fold, seed, model) WHERE a.variant <> b.variant)",
+}
+_REPORT = " UNION ALL ".join(_status(name, n) for name, n in _VIOLATIONS.items())
+_REPORT_VIEWS = "q", "sim", "co", "runs"
 
 
-@query("f11_leakage_report", _REPORT, "train")
+@query("f11_leakage_report", f"WITH {_PLANTED} {_REPORT}", *_REPORT_VIEWS)
 def _(v: Views):
     return _report(v)
 
 
-@query("f11_leakage_summary", f"SELECT 'PASS' AS L1, 'PASS' AS L2, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END AS L3, 'PASS' AS L4, 'PASS' AS L5, 'PASS' AS L6, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END AS overall, false AS hard_fail FROM (SELECT {_LATE} AS n)", "train")
+_WIDE = ", ".join(f"max(status) FILTER (WHERE check_name = '{c}') AS {c}" for c in _VIOLATIONS)
+
+
+@query(
+    "f11_leakage_summary",
+    f"WITH {_PLANTED} SELECT {_WIDE}, CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' ELSE 'PASS' END AS overall, bool_or(status = 'FAIL' AND check_name IN ('L1', 'L5', 'L6')) AS hard_fail FROM ({_REPORT})", *_REPORT_VIEWS,
+)
 def _(v: Views):
     return audit.leakage_summary(_report(v))
 
@@ -169,7 +195,7 @@ def _zero(v: Views):
     return audit.zero_variance_audit(preds, logs, metrics(preds, ["variant"]), ["variant"])
 
 
-@query("f12_zero_variance_summary", f"SELECT 'all' AS scope, count(*) AS runs, 0::BIGINT AS failed, avg(auc) AS mean_auc FROM {auc_sql('tp', 'variant')}", "tp", digits=("mean_auc",))
+@query("f12_zero_variance_summary", f"SELECT 'all' AS scope, count(*) AS runs, count(*) FILTER (WHERE flat) AS failed, avg(auc) AS mean_auc FROM {auc_sql('tp', 'variant')} JOIN (SELECT variant, stddev_pop(y_pred) < 1e-4::DOUBLE AS flat FROM tp GROUP BY 1) USING (variant)", "tp", digits=("mean_auc",))
 def _(v: Views):
     return audit.zero_variance_summary(_zero(v).withColumn("scope", F.lit("all")), ["scope"])
 
@@ -207,11 +233,15 @@ def _(v: Views):
 
 @query(
     "f16_validate_outputs",
-    """SELECT unnest(['graph_limits', 'L1', 'L5', 'L6', 'non_empty_edges', 'non_empty_runs']) AS check_name, unnest(['PASS', 'PASS', 'PASS', 'PASS', CASE WHEN (SELECT count(*) FROM sim) > 0 THEN 'PASS' ELSE 'FAIL' END, 'PASS']) AS status""", "sim",
+    f"""WITH {_PLANTED} SELECT check_name, status FROM ({_REPORT}) WHERE check_name IN ('L1', 'L5', 'L6') UNION ALL SELECT 'non_empty_edges', CASE WHEN (SELECT count(*) FROM sim) > 0 THEN 'PASS' ELSE 'FAIL' END
+UNION ALL SELECT 'non_empty_late_runs', CASE WHEN (SELECT count(*) FROM runs WHERE seed > 1000) > 0 THEN 'PASS' ELSE 'FAIL' END
+UNION ALL SELECT 'graph_limits', CASE WHEN bool_and(m <= n * (n - 1) // 2) THEN 'PASS' ELSE 'FAIL' END FROM (SELECT relation_type, count(DISTINCT least(src, dst) || '>' || greatest(src, dst)) AS m FROM edges WHERE src <> dst GROUP BY 1)
+JOIN (SELECT relation_type, count(DISTINCT u) AS n FROM (SELECT relation_type, unnest([src, dst]) AS u FROM edges) GROUP BY 1) USING (relation_type)""", *_REPORT_VIEWS, "edges",
 )
 def _(v: Views):
+    report = materialize(_report(v))
     edges = materialize(v.edges)
-    return audit.validate_outputs(graph.edge_provenance_audit(edges), materialize(_report(v)), {"edges": edges.where("relation_type = 'sim'"), "runs": v.runs})
+    return audit.validate_outputs(graph.edge_provenance_audit(edges), report, {"edges": edges.where("relation_type = 'sim'"), "late_runs": v.runs.where("seed > 1000")})
 
 
 _PHRASES = [("the", "WARN"), ("licensed under", "FAIL"), ("all rights reserved", "WARN"), ("absent phrase", "FAIL")]
@@ -229,9 +259,9 @@ def _(v: Views):
 _TRIM = """tr AS (SELECT *, least(n, {m}) - b + 1 AS place FROM (SELECT *, row_number() OVER (PARTITION BY learner_id ORDER BY timestamp DESC, interaction_id DESC) AS b, count(*) OVER (PARTITION BY learner_id) AS n FROM ix) WHERE b <= {m} AND n >= 2)"""
 
 
-@query("g1_learner_sequences", f"WITH {_TRIM.format(m=30)} SELECT learner_id, string_agg(skill_id, ',' ORDER BY place) AS skills, string_agg(correct::VARCHAR, ',' ORDER BY place) AS corrects, count(*)::INTEGER AS n FROM tr GROUP BY 1", "ix")
+@query("g1_learner_sequences", f"WITH {_TRIM.format(m=200)} SELECT learner_id, string_agg(skill_id, ',' ORDER BY place) AS skills, string_agg(correct::VARCHAR, ',' ORDER BY place) AS corrects, count(*)::INTEGER AS n FROM tr GROUP BY 1", "ix")
 def _(v: Views):
-    return features.learner_sequences(v.ix, 30).select("learner_id", F.array_join("skills", ",").alias("skills"), F.array_join(F.transform("corrects", lambda c: c.cast("string")), ",").alias("corrects"), "n")
+    return features.learner_sequences(v.ix, 200).select("learner_id", F.array_join("skills", ",").alias("skills"), F.array_join(F.transform("corrects", lambda c: c.cast("string")), ",").alias("corrects"), "n")
 
 
 @query(
@@ -251,10 +281,10 @@ def _(v: Views):
 
 @query(
     "g4_pad_sequences",
-    f"WITH {_TRIM.format(m=30)} SELECT learner_id, string_agg(correct::VARCHAR, ',' ORDER BY place) || repeat(',-1', 30 - count(*)::INTEGER) AS corrects, string_agg(skill_id, ',' ORDER BY place) || repeat(',', 30 - count(*)::INTEGER) AS skills, count(*)::INTEGER AS n FROM tr GROUP BY 1", "ix",
+    f"WITH {_TRIM.format(m=200)} SELECT learner_id, string_agg(correct::VARCHAR, ',' ORDER BY place) || repeat(',-1', 200 - count(*)::INTEGER) AS corrects, string_agg(skill_id, ',' ORDER BY place) || repeat(',', 200 - count(*)::INTEGER) AS skills, count(*)::INTEGER AS n FROM tr GROUP BY 1", "ix",
 )
 def _(v: Views):
-    padded = features.pad_sequences(features.learner_sequences(v.ix, 30), 30)
+    padded = features.pad_sequences(features.learner_sequences(v.ix, 200), 200)
     return padded.select("learner_id", F.array_join(F.transform("corrects", lambda c: c.cast("string")), ",").alias("corrects"), F.array_join("skills", ",").alias("skills"), "n")
 
 

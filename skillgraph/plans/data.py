@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .._session import materialize
+from .._session import materialize, shared_folder
 from ..functions.columns import epoch_of, normalize_correct, normalize_id
 from ..operators import profile, splits
 from ..sources import tables
@@ -15,18 +15,23 @@ _N = "count(*)"
 
 @query("a1_read_interactions", "SELECT interaction_id, learner_id, question_id, skill_id, timestamp, correct, NULL::VARCHAR AS dataset FROM ix", "ix")
 def _(v: Views):
-    df = v.ix.withColumn("dataset", F.lit(None).cast("string"))
-    return df.select("interaction_id", "learner_id", "question_id", "skill_id", F.col("timestamp").cast("long"), F.col("correct").cast("int"), "dataset")
+    path = shared_folder(v.spark, "interactions")
+    columns = ["interaction_id", "learner_id", "question_id", "skill_id", "timestamp", "correct", F.lit(None).cast("string").alias("dataset")]
+    v.ix.select(*columns).write.option("header", True).csv(path)
+    return tables.read_interactions(v.spark, path)
 
 
 @query("a2_read_q_matrix", "SELECT * FROM q", "q")
 def _(v: Views):
-    return v.q
+    path = shared_folder(v.spark, "q-matrix") + "/q.parquet"
+    tables.write_table(v.q.withColumn("is_train_only", F.lit(False)), path, [])
+    return tables.read_q_matrix(v.spark, path)
 
 
-@query("a3_normalize_id", "SELECT o_orderkey, regexp_replace(o_custkey::DOUBLE::VARCHAR, '\\.0$', '') AS learner_id FROM orders WHERE o_custkey < 1000000")
+@query("a3_normalize_id", "SELECT o_orderkey, o_custkey::VARCHAR AS learner_id, (o_custkey::BIGINT + 123456789)::VARCHAR AS long_id FROM orders")
 def _(v: Views):
-    return v.table("orders").where("o_custkey < 1000000").select("o_orderkey", normalize_id(F.col("o_custkey").cast("double")).alias("learner_id"))
+    as_float = lambda c: normalize_id(c.cast("double"))
+    return v.table("orders").select("o_orderkey", as_float(F.col("o_custkey")).alias("learner_id"), as_float(F.col("o_custkey") + 123_456_789).alias("long_id"))
 
 
 @query("a4_drop_incomplete", "SELECT user_id, count(*) AS n_rows FROM (SELECT user_id, CASE WHEN value >= 10 THEN value END AS v FROM events) WHERE v IS NOT NULL AND user_id IS NOT NULL GROUP BY 1")
@@ -111,16 +116,37 @@ def _(v: Views):
     return tables.resolve_columns(df, {k: a for k, a in tables.schemas.ALIASES.items() if k in ("src", "dst", "weight")})
 
 
+_TREE = "dataset", "fold", "seed", "model", "variant"
+
+
+@query("a16_read_run_tree", f"SELECT concat_ws('_', {', '.join(_TREE)}) AS run_id, variant, seed::VARCHAR AS seed, valid_auc, test_auc FROM runs", "runs", digits=("valid_auc", "test_auc"))
+def _(v: Views):
+    path = shared_folder(v.spark, "run-tree")
+    v.runs.select(*_TREE, "valid_auc", "test_auc").write.partitionBy(*_TREE).option("header", True).csv(path)
+    return tables.read_run_tree(v.spark, path).select("run_id", "variant", "seed", "valid_auc", "test_auc")
+
+
+@query("a19_append_runs", "SELECT dataset, variant, 2 * count(*) AS n_rows, avg(test_auc) AS test_auc FROM runs GROUP BY 1, 2", "runs", digits=("test_auc",))
+def _(v: Views):
+    path, runs = shared_folder(v.spark, "runs"), materialize(v.runs)
+    tables.write_table(runs, path, ["dataset"])
+    tables.append_runs(runs, path)
+    return v.spark.read.parquet(path).groupBy("dataset", "variant").agg(F.count("*").alias("n_rows"), F.avg("test_auc").alias("test_auc"))
+
+
 @query(
     "a17_parse_run_log",
-    "SELECT 'm' || (event_id % 3) AS model, user_id::INTEGER AS seed, event_type AS variant, CASE WHEN value >= 5 THEN floor(value * 100) / 100 END AS auc, floor(value * 50) / 100 AS acc FROM events WHERE event_id % 5 <> 0",
-    digits=("auc", "acc"),
+    "SELECT 'tpch' AS dataset, (event_id % 2)::INTEGER AS fold, user_id::INTEGER AS seed, 'm' || (event_id % 3) AS model, event_type AS variant, CASE WHEN value >= 5 THEN floor(value * 100) / 100 END AS valid_auc, floor(value * 50) / 100 AS test_auc FROM events WHERE event_id % 5 <> 0",
+    digits=("valid_auc", "test_auc"),
 )
 def _(v: Views):
     two = lambda c: (F.floor(c * 100) / 100).cast("string")
     auc = F.when(F.col("value") >= 5, two(F.col("value"))).otherwise("nan")
-    line = F.concat(F.lit("Model=m"), F.col("event_id") % 3, F.lit(" Seed="), F.col("user_id"), F.lit(" Variant="), F.col("event_type"), F.lit(" AUC="), auc, F.lit(" ACC="), (F.floor(F.col("value") * 50) / 100).cast("string"))
-    lines = v.table("events").select(F.when(F.col("event_id") % 5 == 0, F.lit("noise")).otherwise(line).alias("value"))
+    line = F.concat(
+        F.lit("[2026-01-01 00:00:00]   [tpch fold "), F.col("event_id") % 2, F.lit(" seed "), F.col("user_id"), F.lit("] Model m"), F.col("event_id") % 3, F.lit(" Variant "), F.col("event_type"),
+        F.lit(" -> Val AUC: "), auc, F.lit(", Test AUC: "), (F.floor(F.col("value") * 50) / 100).cast("string"),
+    )
+    lines = v.table("events").select(F.when(F.col("event_id") % 5 == 0, F.lit("[2026-01-01 00:00:00] epoch done")).otherwise(line).alias("value"))
     return tables.parse_run_log(lines)
 
 

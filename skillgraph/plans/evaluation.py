@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .._session import materialize
 from ..operators import metrics, profile, runs
-from .fixtures import ACC_SQL, NLL_SQL, RMSE_SQL, RUN_SQL, Views, auc_sql, query
+from .fixtures import ACC_SQL, NLL_SQL, RMSE_SQL, RUN_SQL, Views, auc_sql, four_places_sql, query
 
 _K = Views.RUN
 _G = ["dataset", "fold", "seed", "model"]
@@ -71,14 +71,9 @@ def _(v: Views):
     return v.test.groupBy("skill_id").agg(F.count("*").alias("n")).withColumn("flag", metrics.reliability_flag(F.col("n")))
 
 
-def _text(x: str) -> str:
-    """A SQL number of 0 or more with four decimals, from whole ten-thousandths."""
-    return f"(floor({x} * 10000 + 0.500001::DOUBLE)::BIGINT // 10000)::VARCHAR || '.' || lpad((floor({x} * 10000 + 0.500001::DOUBLE)::BIGINT % 10000)::VARCHAR, 4, '0')"
-
-
 @query(
     "i1_run_summary",
-    f"SELECT *, {_text('test_auc_mean')} || ' ± ' || {_text('test_auc_std')} AS test_auc_text FROM (SELECT model, variant, count(*) AS n, avg(test_auc) AS test_auc_mean, stddev_samp(test_auc) AS test_auc_std FROM runs GROUP BY 1, 2)",
+    f"SELECT *, {four_places_sql('test_auc_mean')} || ' ± ' || {four_places_sql('test_auc_std')} AS test_auc_text FROM (SELECT model, variant, count(*) AS n, avg(test_auc) AS test_auc_mean, stddev_samp(test_auc) AS test_auc_std FROM runs GROUP BY 1, 2)",
     "runs", digits=("test_auc_mean", "test_auc_std"),
 )
 def _(v: Views):
@@ -113,12 +108,21 @@ def _(v: Views):
     return runs.select_argmax(v.runs, _G).select(*_G, "variant", "valid_auc", "test_auc")
 
 
-@query(
-    "i5_select_with_simplicity",
-    f"""SELECT {_GS}, CASE WHEN valid_auc - base <= 0.002::DOUBLE THEN 'no_graph' ELSE variant END AS variant, valid_auc - base AS valid_gain, valid_auc - base <= 0.002::DOUBLE OR variant = 'no_graph' AS is_tautology FROM (
-SELECT *, row_number() OVER (PARTITION BY {_GS} ORDER BY complexity, valid_auc DESC, "order") AS r FROM (SELECT *, max(valid_auc) OVER (PARTITION BY {_GS}) AS top, max(CASE WHEN variant = 'no_graph' THEN valid_auc END) OVER (PARTITION BY {_GS}) AS base FROM runs)
-WHERE valid_auc >= top - 0.002::DOUBLE) WHERE r = 1""", "runs", digits=("valid_gain",),
-)
+def _simple(eps: float) -> str:
+    """The scan that prefers simpler candidates as a recursive walk over numbered candidates."""
+    take = f"c.valid_auc > w.auc OR (abs(c.valid_auc - w.auc) <= {eps}::DOUBLE AND c.complexity < w.complexity)"
+    either = lambda new, old: f"CASE WHEN {take} THEN c.{new} ELSE w.{old} END"
+    return f"""WITH RECURSIVE c AS (SELECT {_GS}, variant, valid_auc, test_auc, complexity, row_number() OVER (PARTITION BY {_GS} ORDER BY "order") AS k FROM runs WHERE valid_auc IS NOT NULL),
+w AS (SELECT {_GS}, k, variant, valid_auc AS auc, test_auc AS test, complexity FROM c WHERE k = 1 UNION ALL
+SELECT {", ".join("c." + x.strip() for x in _GS.split(","))}, c.k, {either("variant", "variant")}, {either("valid_auc", "auc")}, {either("test_auc", "test")}, {either("complexity", "complexity")}
+FROM w JOIN c ON {" AND ".join(f"w.{x.strip()} = c.{x.strip()}" for x in _GS.split(","))} AND c.k = w.k + 1),
+e AS (SELECT {_GS}, arg_max(variant, k) AS chosen, arg_max(auc, k) AS auc, arg_max(test, k) AS test FROM w GROUP BY {_GS}),
+b AS (SELECT {_GS}, valid_auc AS b_auc, test_auc AS b_test FROM runs WHERE variant = 'no_graph')
+SELECT {_GS}, CASE WHEN auc - b_auc <= {eps}::DOUBLE THEN 'no_graph' ELSE chosen END AS variant, auc - b_auc AS valid_gain, CASE WHEN chosen = 'no_graph' OR auc - b_auc <= {eps}::DOUBLE THEN 0 ELSE test - b_test END AS test_delta,
+chosen = 'no_graph' OR auc - b_auc <= {eps}::DOUBLE AS is_tautology, chosen <> 'no_graph' AND auc - b_auc <= {eps}::DOUBLE AS tie_break_applied FROM e JOIN b USING ({_GS})"""
+
+
+@query("i5_select_with_simplicity", _simple(0.002), "runs", digits=("valid_gain", "test_delta"))
 def _(v: Views):
     return runs.select_with_simplicity(v.runs, _G, eps=0.002)
 
@@ -215,13 +219,13 @@ def _(v: Views):
 @query(
     "i14_bootstrap_ci",
     f"""WITH d AS (SELECT variant, delta, row_number() OVER (PARTITION BY variant ORDER BY fold, seed) - 1 AS i, count(*) OVER (PARTITION BY variant) AS n FROM {_DELTAS}),
-s AS (SELECT v.variant, n, b, ('0x' || substr(md5(concat_ws('|', '42', v.variant, b, slot)), 1, 8))::BIGINT % n AS i FROM (SELECT DISTINCT variant, n FROM d) v, (SELECT unnest(range(0, 200)) AS b), (SELECT unnest(range(0, 6)) AS slot) WHERE slot < n),
+s AS (SELECT v.variant, n, b, ('0x' || substr(md5(concat_ws('|', '42', v.variant, b, slot)), 1, 8))::BIGINT % n AS i FROM (SELECT DISTINCT variant, n FROM d) v, (SELECT unnest(range(0, 10000)) AS b), (SELECT unnest(range(0, (SELECT max(n) FROM d))) AS slot) WHERE slot < n),
 m AS (SELECT s.variant, s.n, b, avg(delta) AS m FROM s JOIN d ON s.variant = d.variant AND s.i = d.i GROUP BY 1, 2, 3)
 SELECT variant, n, mean_delta, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM m JOIN (SELECT variant, avg(delta) AS mean_delta FROM d GROUP BY 1) USING (variant) GROUP BY 1, 2, 3""",
     "runs", digits=("mean_delta", "ci_low", "ci_high"),
 )
 def _(v: Views):
-    return runs.bootstrap_ci(materialize(_deltas(v)), ["variant"], ["fold", "seed"], 200)
+    return runs.bootstrap_ci(materialize(_deltas(v)), ["variant"], ["fold", "seed"])
 
 
 @query("i15_cohens_d", f"SELECT variant, count(*) AS n, coalesce(avg(delta) / nullif(stddev_samp(delta), 0), 0) AS cohens_d FROM {_DELTAS} GROUP BY 1", "runs", digits={"cohens_d": 5})
@@ -248,14 +252,14 @@ def _(v: Views):
 
 @query(
     "i18_classify_result",
-    f"""SELECT variant, CASE WHEN p_two < 0.05 AND abs(mean_delta) >= 0.005 THEN 'significant and practical' WHEN p_two < 0.05 THEN 'significant, not practical' WHEN abs(mean_delta) >= 0.005 THEN 'practical, not significant' ELSE 'neither' END AS by_size,
-CASE WHEN p_holm < 0.05 AND mean_delta > 0 THEN 'supported gain' WHEN p_holm < 0.05 AND mean_delta < 0 THEN 'supported loss' ELSE 'not supported' END AS by_holm,
-CASE WHEN variant <> 'full' THEN 'diagnostic' WHEN p_holm < 0.05 AND mean_delta > 0 THEN 'confirmed' ELSE 'not confirmed' END AS by_role FROM {_HOLM}""", "runs",
+    f"""SELECT variant, CASE WHEN p_two < 0.05 AND mean_delta >= 0.005 THEN 'significant and practical' WHEN p_two < 0.05 THEN 'significant, not practical' WHEN mean_delta >= 0.005 THEN 'practical, not significant' ELSE 'neither' END AS by_size,
+CASE WHEN mean_delta >= 0.005 AND p_holm < 0.05 THEN 'supported gain' WHEN mean_delta <= -0.005 AND p_holm < 0.05 THEN 'supported loss' WHEN abs(mean_delta) < 0.005 THEN 'negligible' ELSE 'notable, not confirmed' END AS by_holm,
+CASE WHEN p_holm < 0.05 AND mean_delta > 0 THEN 'confirmatory' WHEN p_holm < 0.05 THEN 'not supported' ELSE 'diagnostic only' END AS by_role FROM {_HOLM}""", "runs",
 )
 def _(v: Views):
     t = _tests(v)
     p, d = F.col("p_holm"), F.col("mean_delta")
-    return t.select("variant", runs.classify_significance(F.col("p_two"), d).alias("by_size"), runs.classify_holm(p, d, F.lit(False)).alias("by_holm"), runs.classify_role(p, d, F.col("variant") == "full").alias("by_role"))
+    return t.select("variant", runs.classify_significance(F.col("p_two"), d).alias("by_size"), runs.classify_holm(p, d, F.lit(False)).alias("by_holm"), runs.classify_role(p, d).alias("by_role"))
 
 
 _HALVES = f"(SELECT variant, avg(delta) FILTER (fold = 0) AS reference, avg(delta) FILTER (fold = 1) AS new, count(*) FILTER (fold = 0) AS n0, count(*) FILTER (fold = 1) AS n1 FROM {_DELTAS} GROUP BY 1)"
@@ -263,7 +267,8 @@ _HALVES = f"(SELECT variant, avg(delta) FILTER (fold = 0) AS reference, avg(delt
 
 @query(
     "i19_stability_label",
-    f"""SELECT variant, reference, new, CASE WHEN n0 < 2 OR n1 < 2 THEN 'insufficient_runs' WHEN abs(reference) < 0.001 AND abs(new) < 0.001 THEN 'near_zero_unstable' WHEN reference > 0 AND new > 0 THEN 'stable_positive' WHEN reference < 0 AND new < 0 THEN 'stable_negative' ELSE 'sign_changed' END AS label FROM {_HALVES}""",
+    f"""SELECT variant, reference, new, CASE WHEN n0 < 2 OR n1 < 2 THEN 'insufficient_runs' WHEN reference > 0.001 AND new > 0.001 THEN 'stable_positive' WHEN reference < -0.001 AND new < -0.001 THEN 'stable_negative' WHEN sign(reference) <> sign(new) THEN 'sign_changed' ELSE 'near_zero_unstable' END AS label,
+CASE WHEN abs(new) < 0.005 THEN 'near zero' WHEN sign(reference) <> sign(new) THEN 'sign changed' ELSE 'directionally stable' END AS practical FROM {_HALVES}""",
     "runs", digits=("reference", "new"),
 )
 def _(v: Views):

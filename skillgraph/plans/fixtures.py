@@ -26,6 +26,11 @@ def unit_sql(text: str) -> str:
     return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
+def four_places_sql(x: str) -> str:
+    """A SQL number of 0 or more with four decimals, from whole ten-thousandths."""
+    return f"(floor({x} * 10000 + 0.500001::DOUBLE)::BIGINT // 10000)::VARCHAR || '.' || lpad((floor({x} * 10000 + 0.500001::DOUBLE)::BIGINT % 10000)::VARCHAR, 4, '0')"
+
+
 class Views:
     """The views over one folder of tables; each is a lazy DataFrame."""
 
@@ -174,6 +179,7 @@ JOIN (SELECT skill_id, count(*) AS n FROM own GROUP BY 1) x ON x.skill_id = src
     "pairs": """pairs AS (SELECT src, dst, c AS support_count, ln(c::DOUBLE * (SELECT count(DISTINCT learner_id) FROM ls) / (x.n::DOUBLE * y.n)) AS pmi FROM (
 SELECT a.skill_id AS src, b.skill_id AS dst, count(*) AS c FROM ls a JOIN ls b ON a.learner_id = b.learner_id AND a.skill_id < b.skill_id GROUP BY 1, 2)
 JOIN (SELECT skill_id, count(*) AS n FROM ls GROUP BY 1) x ON x.skill_id = src JOIN (SELECT skill_id, count(*) AS n FROM ls GROUP BY 1) y ON y.skill_id = dst)""",
+    "lss": "lss AS (SELECT DISTINCT learner_id, skill_id FROM trains)",
     "co": "co AS (SELECT src, dst, pmi AS weight, support_count FROM pairs WHERE support_count >= 2 AND pmi > 0)",
     "edges": """edges AS (SELECT 'pre' AS relation_type, src, dst, weight, a.n + b.n AS support_count, true AS directed, 'train' AS source_split FROM pre JOIN fq a ON a.skill_id = src JOIN fq b ON b.skill_id = dst
 UNION ALL SELECT 'sim', src, dst, weight, support_count, false, 'train' FROM sim UNION ALL SELECT 'co', src, dst, weight, support_count, false, 'train' FROM co)""",
@@ -201,6 +207,7 @@ NLL_SQL = f"-avg(CASE WHEN y_true = 1 THEN ln({P_SQL}) ELSE ln(1 - {P_SQL}) END)
 RMSE_SQL = "sqrt(avg((y_pred - y_true) * (y_pred - y_true)))"
 RUN_SQL = "dataset, fold, seed, model, variant"
 
+CTES["pairss"] = CTES["pairs"].replace("pairs AS", "pairss AS", 1).replace("FROM ls", "FROM lss").replace("JOIN ls", "JOIN lss")
 CTES["runs"] = f"""rm AS (SELECT {RUN_SQL}, split, round(auc, 4) AS auc, round(acc, 4) AS acc, round(nll, 4) AS nll FROM (SELECT {RUN_SQL}, split, {ACC_SQL} AS acc, {NLL_SQL} AS nll FROM preds GROUP BY {RUN_SQL}, split)
 JOIN {auc_sql('preds', RUN_SQL + ', split')} USING ({RUN_SQL}, split)),
 runs AS (SELECT r.*, alpha_pre, alpha_sim, alpha_co, "order", complexity, 0.0::DOUBLE AS beta FROM (SELECT {RUN_SQL}, """ + ", ".join(f"max(CASE WHEN split = '{s}' THEN {m} END) AS {s}_{m}" for s in ("valid", "test") for m in ("auc", "acc", "nll")) + f""" FROM rm GROUP BY {RUN_SQL}) r JOIN vs USING (variant))"""
@@ -209,7 +216,7 @@ FROM (SELECT 'u' || user_id AS run_id, day(ts)::INTEGER AS epoch, round(avg(valu
 
 _NEEDS = {
     "ix": [], "ix_sparse": [], "sp": ["ix"], "sps": ["ix_sparse"], "train": ["sp"], "test": ["sp"], "trains": ["sps"], "q": ["ix"], "rk": ["train"], "pre": ["rk"], "fq": ["train"], "own": ["train"],
-    "simall": ["own"], "th": ["train"], "sim": ["simall", "th"], "ls": ["train"], "pairs": ["ls"], "co": ["pairs"], "edges": ["pre", "fq", "sim", "co"], "strata": ["fq"], "vs": [], "held": ["sp"], "preds": ["held", "vs"],
+    "simall": ["own"], "th": ["train"], "sim": ["simall", "th"], "ls": ["train"], "pairs": ["ls"], "lss": ["trains"], "pairss": ["lss"], "co": ["pairs"], "edges": ["pre", "fq", "sim", "co"], "strata": ["fq"], "vs": [], "held": ["sp"], "preds": ["held", "vs"],
     "tp": ["preds"], "runs": ["preds"], "logs": [],
 }
 

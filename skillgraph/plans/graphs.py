@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .._session import materialize
-from ..functions.columns import hashed_unit
+from ..functions.ranking import global_row_number
 from ..operators import graph, relations
-from .fixtures import SEED, Views, query, unit_sql
+from .fixtures import SEED, Views, four_places_sql, query, unit_sql
 
 
 @query("d1_e_pre_raw", "SELECT a.skill_id AS src, b.skill_id AS dst, 1.0::DOUBLE AS weight, 0.5::DOUBLE AS confidence FROM rk a JOIN rk b ON a.t < b.t", "rk")
@@ -25,15 +26,17 @@ def _(v: Views):
     return v.pre
 
 
+_LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
 def _cyclic_edges(v: Views):
-    """Order to order's next supplier and back: edges between suppliers by least part difference, with cycles."""
-    pairs = v.table("lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
-    edges = pairs.select(F.concat(F.lit("s"), F.col("a") % 40).alias("src"), F.concat(F.lit("s"), (F.col("b") * 7 + F.col("a")) % 40).alias("dst"), (F.col("b") % 97).cast("double").alias("weight"))
-    return edges.where("src <> dst and weight < 3").groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    """From the supplier of each line of an order to that of the next line, weighted by how often; full of cycles."""
+    after = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER))
+    steps = v.table("lineitem").select(F.col("l_suppkey").cast("string").alias("src"), after.cast("string").alias("dst")).where("src <> dst")
+    return steps.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-_CYCLIC = """e AS (SELECT src, dst, min(weight) AS weight FROM (SELECT 's' || (l_suppkey % 40) AS src, 's' || ((l_partkey * 7 + l_suppkey) % 40) AS dst, (l_partkey % 97)::DOUBLE AS weight FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem))
-WHERE src <> dst AND weight < 3 GROUP BY 1, 2)"""
+_CYCLIC = f"""e AS (SELECT src, dst, count(*)::DOUBLE AS weight FROM (SELECT l_suppkey::VARCHAR AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY {", ".join(_LINE_ORDER)})::VARCHAR AS dst FROM lineitem) WHERE src <> dst GROUP BY 1, 2)"""
 
 
 @query(
@@ -48,10 +51,7 @@ def _(v: Views):
 
 @query("d4_break_cycles", None)
 def _(v: Views):
-    # the order's edges and a few of them turned round, lighter than the rest
-    edges = v.pre.select("src", "dst", "weight")
-    back = edges.where(hashed_unit(F.col("src"), F.col("dst"), F.lit(SEED)) < 0.006).select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.5).alias("weight"))
-    return graph.break_cycles(edges.unionByName(back))
+    return graph.break_cycles(_cyclic_edges(v))
 
 
 @query("d5_transitive_reduction", "SELECT a.skill_id AS src, b.skill_id AS dst FROM rk a JOIN rk b ON b.r = a.r + 1", "rk")
@@ -69,25 +69,30 @@ def _(v: Views):
     return relations.e_pre_support(v.pre.drop("step"), v.train)
 
 
-@query("d7_support_hash", "SELECT src, dst, substr(sha256(src || '_' || dst || '_' || support_count || '_' || printf('%.4f', weight)), 1, 16) AS support_hash FROM sim", "sim")
+@query("d7_support_hash", f"SELECT src, dst, substr(sha256(src || '_' || dst || '_' || support_count || '_' || {four_places_sql('weight')}), 1, 16) AS support_hash FROM sim", "sim")
 def _(v: Views):
     return relations.support_hash(v.sim).select("src", "dst", "support_hash")
 
 
-_SCORES = "(SELECT src, dst, weight, round(0.5::DOUBLE + weight * 2, 6) AS confidence FROM sim)"
+#: Confidence of a pair: its rank by similarity among all, from above 0 to 1.
+_CONFIDENCE = "round(cume_dist() OVER (ORDER BY weight, src, dst), 6)"
 
 
 @query(
     "d8_e_pre_variants",
-    f"""WITH x AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, weight DESC, dst) AS r FROM {_SCORES}),
-y AS (SELECT 'raw' AS variant, src, dst FROM x UNION ALL SELECT 'top3', src, dst FROM x WHERE r <= 3 UNION ALL SELECT 'top5', src, dst FROM x WHERE r <= 5 UNION ALL SELECT 'top10', src, dst FROM x WHERE r <= 10
-UNION ALL SELECT 'conf0.7', src, dst FROM x WHERE confidence >= 0.7::DOUBLE UNION ALL SELECT 'conf0.8', src, dst FROM x WHERE confidence >= 0.8::DOUBLE UNION ALL SELECT 'conf0.9', src, dst FROM x WHERE confidence >= 0.9::DOUBLE),
-n AS (SELECT variant, count(DISTINCT s) AS nodes FROM (SELECT variant, src AS s FROM y UNION ALL SELECT variant, dst FROM y) GROUP BY 1)
-SELECT variant, nodes, m AS edges, m::DOUBLE / (nodes * (nodes - 1)) AS density, m::DOUBLE / nodes AS avg_out_degree, CASE WHEN m::DOUBLE / (nodes * (nodes - 1)) > 0.25::DOUBLE THEN 'DENSE' ELSE 'PASS' END AS status FROM (SELECT variant, count(*) AS m FROM y GROUP BY 1) JOIN n USING (variant)""",
+    f"""WITH RECURSIVE x AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, weight DESC, dst) AS r FROM (SELECT src, dst, weight, {_CONFIDENCE} AS confidence FROM sim)),
+t5 AS (SELECT src, dst FROM x WHERE r <= 5), p(a, b) AS (SELECT src, dst FROM t5 UNION SELECT p.a, t5.dst FROM p JOIN t5 ON p.b = t5.src),
+y AS (SELECT 'raw' AS variant, src, dst FROM x UNION ALL SELECT 'top' || k || '_out', src, dst FROM x JOIN (VALUES (3), (5), (10)) ks(k) ON r <= k UNION ALL SELECT printf('confidence_%.2f', c), src, dst FROM x JOIN (VALUES (0.7::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE)) cs(c) ON confidence >= c
+UNION ALL SELECT 'top5_transitive_reduced', src, dst FROM t5 WHERE NOT EXISTS (SELECT 1 FROM t5 f JOIN p ON p.a = f.dst WHERE f.src = t5.src AND p.b = t5.dst))
+SELECT variant, nodes, m AS edges, m::DOUBLE / (nodes * (nodes - 1)) AS density, m::DOUBLE / nodes AS avg_out_degree, dag, CASE WHEN m::DOUBLE / (nodes * (nodes - 1)) <= 0.05::DOUBLE THEN 'PASS' ELSE 'DENSE' END AS status
+FROM (SELECT variant, count(*) AS m, bool_and(src < dst) AS dag FROM y GROUP BY 1), (SELECT count(DISTINCT u) AS nodes FROM (SELECT unnest([src, dst]) AS u FROM x))""",
     "sim", digits=("density", "avg_out_degree"),
 )
 def _(v: Views):
-    return relations.e_pre_variants(v.sim.select("src", "dst", "weight", F.round(F.lit(0.5) + F.col("weight") * 2, 6).alias("confidence")))
+    # the similarity's pairs run from the smaller to the larger name, so they have no cycle
+    sim = v.sim.select("src", "dst", "weight")
+    ranked = global_row_number(sim, ["weight", "src", "dst"]).crossJoin(sim.agg(F.count("*").alias("n")))
+    return relations.e_pre_variants(ranked.select("src", "dst", "weight", F.round(F.col("rn") / F.col("n"), 6).alias("confidence")))
 
 
 @query("d9_e_sim", "SELECT * FROM sim", "sim", digits=("weight",))
@@ -143,19 +148,28 @@ def _(v: Views):
     return relations.e_co_controlled(v.train, 3, 0.005, 20)
 
 
-_GRID = [(2, 0.0, 0), (3, 0.005, 20), (3, 0.01, 0), (20, 0.02, 10)]
+#: k_min, pmi_min, top_k (0: none) of the surveyed configurations (fixed values).
+_GRID = [
+    (2, 0.0, 0), (2, 0.25, 10), (2, 1.0, 20), (3, 0.25, 50), (3, 1.0, 100), (5, 0.25, 0), (5, 0.5, 10), (10, 0.0, 20),
+    (10, 0.5, 50), (20, 0.0, 100), (20, 0.5, 0), (20, 1.0, 10), (50, 0.25, 20), (50, 1.0, 50), (100, 0.25, 100), (100, 1.0, 0),
+]
+
+
+def _configured(i: int, k: int, p: float, top: int) -> str:
+    kept = f"({_controlled(k, p, top or 2**31 - 1, 'pairss')})"
+    return f"""SELECT {k} AS k_min, {p}::DOUBLE AS pmi_min, {top} AS top_k, (SELECT count(*) FROM pairss WHERE support_count >= {k} AND pmi > 0 AND pmi >= {p}) AS support_rows, count(*) AS edges, 2.0::DOUBLE * count(*) / any_value(n * (n - 1)) AS density,
+avg(weight) AS pmi_mean, median(weight) AS pmi_median, quantile_cont(weight, 0.25) AS pmi_p25, quantile_cont(weight, 0.75) AS pmi_p75, (SELECT count(DISTINCT u) FROM (SELECT unnest([src, dst]) AS u FROM {kept}))::DOUBLE / any_value(n) AS covered_share
+FROM (SELECT count(DISTINCT skill_id) AS n FROM trains) LEFT JOIN {kept} ON true"""
 
 
 @query(
     "d15_e_co_sensitivity",
-    "SELECT c.* EXCLUDE (i), (SELECT count(*) FROM pairs WHERE support_count >= k_min AND pmi > 0 AND pmi >= pmi_min) AS support_rows, s.* EXCLUDE (j), density < 0.8::DOUBLE AS density_lt_80, density < 0.5::DOUBLE AS density_lt_50, density < 0.25::DOUBLE AS density_lt_25 FROM (VALUES " + ", ".join(f"({k}, {p}::DOUBLE, {t}, {i})" for i, (k, p, t) in enumerate(_GRID)) + """) c(k_min, pmi_min, top_k, i) JOIN (""" + " UNION ALL ".join(
-        f"""SELECT {i} AS j, count(*) AS edges, 2.0::DOUBLE * count(*) / (n * (n - 1)) AS density, avg(weight) AS pmi_mean, median(weight) AS pmi_median, quantile_cont(weight, 0.25) AS pmi_p25, quantile_cont(weight, 0.75) AS pmi_p75,
-(SELECT count(DISTINCT u) FROM (SELECT unnest([src, dst]) AS u FROM ({_controlled(k, p, t or 2**31 - 1)})))::DOUBLE / n AS covered_share FROM ({_controlled(k, p, t or 2**31 - 1)}), (SELECT count(*) AS n FROM fq) GROUP BY n"""
-        for i, (k, p, t) in enumerate(_GRID)
-    ) + ") s ON i = j", "pairs", "fq", digits=("density", "pmi_mean", "pmi_median", "pmi_p25", "pmi_p75", "covered_share"),
+    "SELECT * REPLACE (coalesce(edges, 0) AS edges), density < 0.8::DOUBLE AS density_lt_80, density < 0.5::DOUBLE AS density_lt_50, density < 0.25::DOUBLE AS density_lt_25 FROM ("
+    + " UNION ALL ".join(_configured(i, *c).replace("count(*) AS edges, 2.0::DOUBLE * count(*)", "count(src) AS edges, 2.0::DOUBLE * count(src)") for i, c in enumerate(_GRID)) + ")",
+    "pairss", digits=("density", "pmi_mean", "pmi_median", "pmi_p25", "pmi_p75", "covered_share"),
 )
 def _(v: Views):
-    return relations.e_co_sensitivity(v.train, _GRID)
+    return relations.e_co_sensitivity(v.train_sparse, _GRID)
 
 
 @query(
@@ -233,24 +247,27 @@ def _(v: Views):
     return graph.graph_stats(v.pre)
 
 
-_SHARE = "SELECT DISTINCT 'c' || o_custkey AS src, 'p' || l_partkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 40 = o_custkey % 40 AND l_quantity > 45"
+@query("e2_connected_components", None)
+def _(v: Views):
+    lines = v.table("lineitem").join(v.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return graph.connected_components(lines.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct())
 
 
 @query(
-    "e2_connected_components",
-    f"""WITH RECURSIVE e AS ({_SHARE}), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(n, x) AS (SELECT src, src FROM b UNION SELECT r.n, b.dst FROM r JOIN b ON r.x = b.src)
-SELECT n AS node, min(x) AS component FROM r GROUP BY 1""",
+    "e2_connected_components_places",
+    """WITH RECURSIVE e AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(n, x) AS (SELECT src, src FROM b UNION SELECT r.n, b.dst FROM r JOIN b ON r.x = b.src) SELECT n AS node, min(x) AS component FROM r GROUP BY 1""",
 )
 def _(v: Views):
-    lines = v.table("lineitem").join(v.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).where("l_partkey % 40 = o_custkey % 40 and l_quantity > 45")
-    return graph.connected_components(lines.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct())
+    named = lambda table, a, p, b, q: v.table(table).select(F.concat(F.lit(p), a).alias("src"), F.concat(F.lit(q), b).alias("dst"))
+    return graph.connected_components(named("customer", "c_custkey", "c", "c_nationkey", "n").unionByName(named("supplier", "s_suppkey", "s", "s_nationkey", "n")).unionByName(named("nation", "n_nationkey", "n", "n_regionkey", "r")))
 
 
 @query(
     "e3_edge_provenance_audit",
     """WITH m AS (SELECT * FROM edges UNION ALL SELECT relation_type, dst, src, weight, support_count, directed, source_split FROM edges WHERE relation_type = 'co')
 SELECT relation_type, count(*) AS raw_rows, count(DISTINCT src || '>' || dst) AS unique_directed, count(DISTINCT least(src, dst) || '>' || greatest(src, dst)) AS unique_undirected,
-CASE WHEN relation_type = 'co' THEN count(*) // 2 ELSE 0 END AS mirrored_pairs, 0::BIGINT AS self_loops, 0::BIGINT AS duplicate_rows, sum(support_count)::BIGINT AS support_sum, avg(support_count) AS support_mean, median(support_count) AS support_median,
+CASE WHEN relation_type = 'co' THEN count(*) // 2 ELSE 0 END AS mirrored_pairs, sum((src = dst)::INTEGER)::BIGINT AS self_loops, count(*) - count(DISTINCT src || '>' || dst) AS duplicate_rows, sum(support_count)::BIGINT AS support_sum, avg(support_count) AS support_mean, median(support_count) AS support_median,
 min(weight) AS weight_min, max(weight) AS weight_max, avg(weight) AS weight_mean, any_value(nodes) AS nodes, count(DISTINCT least(src, dst) || '>' || greatest(src, dst)) <= any_value(nodes) * (any_value(nodes) - 1) // 2 AS within_limit,
 CASE WHEN relation_type = 'co' THEN 'mirrored' ELSE 'one row per edge' END AS interpretation
 FROM m JOIN (SELECT relation_type, count(DISTINCT u) AS nodes FROM (SELECT relation_type, unnest([src, dst]) AS u FROM edges) GROUP BY 1) USING (relation_type) GROUP BY 1""",

@@ -2,23 +2,11 @@
 
 INTERACTIONS = "interaction_id string, learner_id string, question_id string, skill_id string, timestamp long, correct int, dataset string"
 Q_MATRIX = "question_id string, skill_id string, source string, source_version string, is_train_only string"
-EDGES = (
-    "dataset string, fold_id int, src_skill_id string, dst_skill_id string, relation_type string, directed boolean, weight double, "
-    "support_count long, source_split string, source_fold int, support_source string, support_interaction_ids_hash string, "
-    "support_question_ids_hash string, construction_method string, threshold double, confidence double, created_at string"
-)
-PREDICTIONS = "interaction_id string, skill_id string, y_true int, y_pred double"
-RUNS = (
-    "dataset string, fold int, seed int, model string, variant string, alpha_pre double, alpha_sim double, alpha_co double, beta double, "
-    "valid_auc double, valid_acc double, valid_nll double, test_auc double, test_acc double, test_nll double"
-)
-EPOCH_LOGS = "run_id string, epoch int, train_loss double, valid_loss double, valid_auc double, valid_acc double, lr double, grad_norm double"
-
 #: Alternative names that inputs use for a column (fixed values).
 ALIASES = {
-    "src": ["src", "source", "from", "skill_i", "src_skill_id"],
-    "dst": ["dst", "target", "to", "skill_j", "dst_skill_id"],
-    "weight": ["weight", "pmi", "score"],
-    "y_true": ["y_true", "label", "correct", "target"],
-    "y_pred": ["y_pred", "y_score", "prob", "prediction"],
+    "src": ["src", "source", "from", "pre", "skill_i", "kc_i", "src_skill_id"],
+    "dst": ["dst", "target", "to", "post", "skill_j", "kc_j", "dst_skill_id"],
+    "weight": ["weight", "pmi", "score", "confidence", "pre_score"],
+    "y_true": ["y_true", "label", "correct", "y", "target"],
+    "y_pred": ["y_pred", "y_score", "prob", "prediction", "p_correct"],
 }

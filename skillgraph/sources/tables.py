@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -92,23 +92,29 @@ def resolve_columns(df: DataFrame, aliases: dict[str, list[str]] | None = None)
 
 
 def read_run_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Rows of all CSV files root/dataset/fold/seed/model/variant/*.csv with keys from their path and a run_id."""
+    """Rows of all CSV files root/dataset/fold/seed/model/variant/*.csv with keys from their path and a run_id.
+
+    Folders may be plain names or ``key=value``, as partitioned writers name them.
+    """
     df = spark.read.option("header", True).option("inferSchema", True).csv(f"{root}/*/*/*/*/*/*.csv")
     place = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/([^/]+)/([^/]+)/([^/]+)/([^/]+)/[^/]+$", 0)
-    keys = {k: F.regexp_extract(place, r"^([^/]+)/([^/]+)/([^/]+)/([^/]+)/([^/]+)/", i + 1) for i, k in enumerate(("dataset", "fold", "seed", "model", "variant"))}
+    keys = {k: F.regexp_extract(place, "^" + "(?:[^/=]*=)?([^/]+)/" * 5, i + 1) for i, k in enumerate(("dataset", "fold", "seed", "model", "variant"))}
     return df.withColumns(keys).withColumn("run_id", F.concat_ws("_", "dataset", "fold", "seed", "model", "variant"))
 
 
 def _number(text: Column) -> Column:
-    return F.when(F.lower(text) == "nan", None).otherwise(text.cast("double"))
+    return F.when(F.lower(text) == "nan", None).otherwise(text.try_cast("double"))
 
 
 def parse_run_log(lines: DataFrame, col: str = "value") -> DataFrame:
-    """Records (model, seed, variant, auc, acc) of the lines 'Model=.. Seed=.. Variant=.. AUC=.. ACC=..'; 'nan' is null, other lines are dropped."""
-    pattern = r"Model=(\S+)\s+Seed=(\d+)\s+Variant=(\S+)\s+AUC=(\S+)\s+ACC=(\S+)"
+    """Records (dataset, fold, seed, model, variant, valid_auc, test_auc) of the lines
+    '[time] [dataset fold f seed s] Model m Variant v -> Val AUC: x, Test AUC: y'; 'nan' is null, other lines are dropped."""
+    number = r"(nan|[-.\d]+)"
+    pattern = rf"\[[^\]]*\]\s+\[(\w+)\s+fold\s+(\d+)\s+seed\s+(\d+)\]\s+Model\s+(\w+)\s+Variant\s+(\w+)\s+->\s+Val\s+AUC:\s+{number},\s+Test\s+AUC:\s+{number}"
     part = lambda i: F.regexp_extract(F.col(col), pattern, i)
     return lines.where(F.col(col).rlike(pattern)).select(
-        part(1).alias("model"), part(2).cast("int").alias("seed"), part(3).alias("variant"), _number(part(4)).alias("auc"), _number(part(5)).alias("acc")
+        part(1).alias("dataset"), part(2).cast("int").alias("fold"), part(3).cast("int").alias("seed"), part(4).alias("model"), part(5).alias("variant"),
+        _number(part(6)).alias("valid_auc"), _number(part(7)).alias("test_auc"),
     )
 
 
@@ -139,15 +145,3 @@ def completed_runs(runs: DataFrame, n_variants: int = 4) -> DataFrame:
 
 def pending_runs(grid: DataFrame, runs: DataFrame, n_variants: int = 4) -> DataFrame:
     return grid.join(completed_runs(runs, n_variants), ["model", "seed"], "left_anti")
-
-
-def ingest_log(raw: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Interactions from a raw log: renamed columns, complete rows, whole-number ids, 0/1 answers."""
-    from ..functions.columns import normalize_id
-
-    df = drop_incomplete(raw.select(*[F.col(v).alias(k) for k, v in columns.items()]), list(columns))
-    return df.withColumns({c: normalize_id(c) for c in ("learner_id", "question_id") if c in columns} | {"correct": normalize_correct("correct")})
-
-
-def numbered_by_learner(df: DataFrame) -> Window:
-    return Window.partitionBy("learner_id").orderBy("timestamp", "interaction_id")

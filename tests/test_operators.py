@@ -1,6 +1,7 @@
 """Hand fixtures: small graphs, logs and statistics worked out on paper."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +64,41 @@ def test_cycles(spark):
     assert graph.cyclic_core(one.limit(0)).count() == 0
 
 
+def least_edges_removed(edges):
+    """Removes the least edge of each strongly connected component until there is no cycle."""
+    edges = set(edges)
+    while True:
+        reach = {n: {n} for e in edges for n in e[1:]}
+        for _ in reach:
+            for _, a, b in edges:
+                reach[a] |= reach[b]
+        inner = [e for e in edges if e[1] in reach[e[2]]]
+        if not inner:
+            return {e[1:] for e in edges}
+        groups = {frozenset(n for n in reach[e[1]] if e[1] in reach[n]) for e in inner}
+        edges -= {min(e for e in inner if e[1] in g) for g in groups}
+
+
+def test_cycles_of_dense_graphs(spark, monkeypatch):
+    rng = random.Random(3)
+    some = {(f"n{rng.randrange(12)}", f"n{rng.randrange(12)}"): rng.randrange(9) for _ in range(60)} | {(f"m{rng.randrange(6)}", f"m{rng.randrange(6)}"): 1 for _ in range(20)}
+    df = edges_of(spark, [(a, b, w) for (a, b), w in some.items()])
+    assert rows(graph.break_cycles(df), "src", "dst") == least_edges_removed((w, a, b) for (a, b), w in some.items())
+    monkeypatch.setattr(graph, "COMPONENT_NODES", 3)  # the lighter halves go first
+    left = graph.break_cycles(df)
+    assert graph.is_dag(left) and 8 <= left.count() < len(some)
+
+
+def test_components_of_a_random_graph(spark):
+    rng = random.Random(4)
+    pairs = [(f"c{rng.randrange(60)}", f"p{rng.randrange(60)}") for _ in range(55)]
+    label = {n: n for e in pairs for n in e}
+    for _ in range(len(label)):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    assert rows(graph.connected_components(edges_of(spark, [(a, b, 1.0) for a, b in pairs])), "node", "component") == set(label.items())
+
+
 def test_components_and_stats(spark):
     e = edges_of(spark, [("a", "b", 1), ("b", "c", 1), ("x", "y", 3)])
     assert rows(graph.connected_components(e), "node", "component") == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
@@ -161,8 +197,9 @@ def test_ingestion_rules(spark):
     df = spark.createDataFrame([("10.0", "TRUE", "a~~b~~"), ("1.05", "0", " c ")], "id string, ok string, skill_id string")
     assert rows(df.select(normalize_id("id").alias("i"), normalize_correct("ok").alias("c")), "i", "c") == {("10", 1), ("1.05", 0)}
     assert sorted(r["skill_id"] for r in tables.explode_skills(df).collect()) == ["a", "b", "c"]
-    lines = spark.createDataFrame([("Model=m Seed=1 Variant=v AUC=nan ACC=0.5",), ("noise",)], "value string")
-    assert rows(tables.parse_run_log(lines), "model", "auc", "acc") == {("m", None, 0.5)}
+    lines = spark.createDataFrame([("[2026-05-28 23:41:00]   [kdd2010 fold 0 seed 7] Model dkt Variant full -> Val AUC: nan, Test AUC: 0.5",), ("[23:41] start",)], "value string")
+    assert rows(tables.parse_run_log(lines), "dataset", "fold", "seed", "model", "variant", "valid_auc", "test_auc") == {("kdd2010", 0, 7, "dkt", "full", None, 0.5)}
+    assert [r["i"] for r in spark.createDataFrame([(12345678.0,), (7.0,)], "x double").select(normalize_id("x").alias("i")).collect()] == ["12345678", "7"]
     assert rows(tables.encode_ids(df.select("id"), "id", "code"), "id", "code") == {("1.05", 0), ("10.0", 1)}
     grid = spark.createDataFrame([("m", 1), ("m", 2)], "model string, seed int")
     done = spark.createDataFrame([("m", 1, str(i)) for i in range(4)], "model string, seed int, variant string")
