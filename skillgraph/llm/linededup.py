@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ._spark import written
 
-#: A chunk ends after a line with probability one in so many.
-DIVISOR = 3
+#: A chunk may end after a line with probability one in so many.
+DIVISOR = 2
 #: Chunks of fewer lines are never removed.
 MIN_LINES = 2
 
@@ -16,16 +16,23 @@ MIN_LINES = 2
 def _chunks(text: Column, divisor: int, bodies: bool) -> Column:
     """Array of (idx, lines, hash[, body]) of the chunks of a text.
 
-    A chunk ends after line i where the hash of the line hashes i-1 and i is divisible by ``divisor``:
-    the boundary depends on two lines only, so lines added before a passage do not move those within.
+    A chunk may end after line i where the hash of the line hashes i-1 and i, which rolls over the text, is divisible by
+    ``divisor``. Of such ends in a row every second one counts, so a chunk has two lines or more (but for the last).
+    An end depends on the lines back to the last place that is none only, so lines added before a passage move no
+    ends beyond its first few lines.
     """
     lines = F.split(text, "\n", -1)
     hashes = F.transform(lines, lambda line: F.xxhash64(line))
 
-    def starts(h: Column) -> Column:
-        # line i (from 1) opens a chunk if the pair of lines before it closes one
-        opens = lambda i: (i == 1) | ((i > 2) & (F.pmod(F.xxhash64(F.get(h, i - 3), F.get(h, i - 2)), F.lit(divisor)) == 0))
-        return F.filter(F.sequence(F.lit(1), F.size(h)), opens)
+    def ends(h: Column) -> Column:
+        # a flag per line; of a run of ones, read from the left, every second stays
+        may_end = lambda i: (i > 1) & (F.pmod(F.xxhash64(F.get(h, i - 2), F.get(h, i - 1)), F.lit(divisor)) == 0)
+        flags = F.transform(F.sequence(F.lit(1), F.size(h)), lambda i: F.when(may_end(i), "1").otherwise("0"))
+        return F.split(F.regexp_replace(F.array_join(flags, ""), "11", "10"), "")
+
+    def starts(e: Column, n: Column) -> Column:
+        # line i (from 1) opens a chunk if the one before it ends one
+        return F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(e, i - 2) == "1"))
 
     def build(s: Column, all_lines: Column) -> Column:
         end = lambda i: F.coalesce(F.get(s, i + 1), F.size(all_lines) + 1)
@@ -38,7 +45,8 @@ def _chunks(text: Column, divisor: int, bodies: bool) -> Column:
         return F.transform(s, chunk)
 
     # one pass each: bind the arrays so that they are not computed again for every element
-    bound = F.transform(F.array(F.struct(lines.alias("l"), hashes.alias("h"))), lambda x: F.struct(x["l"].alias("l"), starts(x["h"]).alias("s")))
+    bound = F.transform(F.array(F.struct(lines.alias("l"), hashes.alias("h"))), lambda x: F.struct(x["l"].alias("l"), ends(x["h"]).alias("e")))
+    bound = F.transform(bound, lambda x: F.struct(x["l"].alias("l"), starts(x["e"], F.size(x["l"])).alias("s")))
     made = F.transform(bound, lambda x: build(x["s"], x["l"]))[0]
     if bodies:
         return made

@@ -308,9 +308,11 @@ def brute_lines(texts, divisor=linededup.DIVISOR, least=linededup.MIN_LINES):
     def chunks(text):
         lines, out, now = text.split("\n"), [], []
         hashes = [signed(h(x)) for x in lines]
+        ended = False
         for i, line in enumerate(lines):
             now.append(line)
-            if i >= 1 and pair(hashes[i - 1], hashes[i]) % divisor == 0 or i == len(lines) - 1:
+            ended = i >= 1 and pair(hashes[i - 1], hashes[i]) % divisor == 0 and not ended
+            if ended or i == len(lines) - 1:
                 out.append(now)
                 now = []
         return out
@@ -347,6 +349,18 @@ def test_line_dedup_matches_brute_force(spark):
     assert sum(map(len, want.values())) < sum(len(t) for t in texts if t) * 0.95
 
 
+def test_most_of_a_repeated_block_goes(spark):
+    rng = random.Random(19)
+    block, gone, texts = 20, 0, []
+    for _ in range(60):
+        lines = "\n".join(words(rng, 6, 5000) for _ in range(block))
+        texts += [f"{words(rng, 5)}\n{lines}\n{words(rng, 5)}", f"{words(rng, 5)}\n{words(rng, 5)}\n{lines}\n{words(rng, 5)}"]
+    kept = {r["doc_id"]: r["text"].count("\n") for r in linededup.dedup_lines(docs_of(spark, texts)).collect()}
+    assert all(kept[i] == block + 1 for i in range(0, 120, 2))
+    gone = sum(block + 2 - kept[i] for i in range(1, 120, 2)) / (60 * block)
+    assert gone >= 0.7
+
+
 def test_line_dedup_odd_tables(spark):
     assert linededup.dedup_lines(empty(spark)).count() == 0
     text = "\n".join(f"line {i} of it" for i in range(30))
