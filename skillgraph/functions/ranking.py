@@ -22,3 +22,48 @@ def global_row_number(df: DataFrame, order: list[str | Column], name: str = "rn"
     joined = placed.withColumn("__part", part).join(offsets, "__part")
     inside = F.col("__at") - F.shiftleft("__part", 33)
     return joined.withColumn(name, inside + F.col("__offset") + 1).drop("__at", "__part", "__offset")
+
+
+def prefix_sums(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """``df`` with ``before_<column>``: the sum of a column over the rows of the same keys that come before in ``order``.
+
+    Rows are range-partitioned by keys and order; each partition sums its own rows, and the totals of the partitions
+    before, one row per partition and keys, are added by a join. So one key with most of the rows spans many tasks.
+    """
+    by = [*keys, *order]
+    placed = materialize(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__at", 33))
+    inside = Window.partitionBy("__part", *keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("__part", *keys).agg(*[F.sum(c).alias(f"__{c}") for c in columns])
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = sums.select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__k_{k}") for k in keys], *[F.coalesce(F.sum(f"__{c}").over(earlier), F.lit(0)).alias(f"__{c}") for c in columns])
+    same = F.col("__part") == F.col("__p")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    joined = placed.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns}).join(offsets, same)
+    return joined.select(*df.columns, *[(F.col(f"before_{c}") + F.col(f"__{c}")).alias(f"before_{c}") for c in columns])
+
+
+def quantiles(df: DataFrame, keys: list[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, a column per share): exact interpolated quantiles of the non-null values of ``column``.
+
+    Values are counted map-side and only distinct ones are ordered, over range partitions, so no group is gathered.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("__c"))
+    placed = prefix_sums(counts, keys, [column], ["__c"])
+    total = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
+    if keys:
+        total = total.select(*[F.col(k).alias(f"__t_{k}") for k in keys], "__n")
+        same = F.lit(True)
+        for k in keys:
+            same &= F.col(k).eqNullSafe(F.col(f"__t_{k}"))
+        placed = placed.join(total, same)
+    else:
+        placed = placed.crossJoin(F.broadcast(total))  # one row
+    holds = lambda at: (F.col("before___c") <= at) & (at < F.col("before___c") + F.col("__c"))
+    aggs, out = [], []
+    for name, share in shares.items():
+        at = F.lit(float(share)) * (F.col("__n") - 1)
+        aggs += [F.max(F.when(holds(f(at)), F.col(column))).alias(f"__{name}_{i}") for i, f in enumerate((F.floor, F.ceil))] + [F.max(at - F.floor(at)).alias(f"__{name}_f")]
+        low, high = F.col(f"__{name}_0").cast("double"), F.col(f"__{name}_1").cast("double")
+        out.append(F.when(low == high, low).otherwise((1 - F.col(f"__{name}_f")) * low + F.col(f"__{name}_f") * high).alias(name))
+    return placed.groupBy(*keys).agg(*aggs).select(*keys, *out)

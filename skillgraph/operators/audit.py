@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import safe_ratio
 from .graph import nodes_of, sparse_coverage
+from .relations import pairs_sharing
 
 ALLOWED_SOURCES = ["expert_static", "provided_static", "train_only_derived", "synthetic"]
 
@@ -98,8 +99,7 @@ def rho_co(e_co: DataFrame, built_from: DataFrame, splits: DataFrame) -> DataFra
     """(edges, contaminated, rho_co): the share of edges whose support in ``built_from`` holds a held-out learner."""
     held = splits.groupBy("learner_id").agg(F.max(F.when(F.col("split") != "train", 1).otherwise(0)).alias("held")).where("held = 1").select("learner_id")
     own = built_from.join(held, "learner_id", "left_semi").select("learner_id", "skill_id").distinct()
-    a, b = own.alias("a"), own.alias("b")
-    touched = a.join(b, (F.col("a.learner_id") == F.col("b.learner_id")) & (F.col("a.skill_id") < F.col("b.skill_id"))).select(F.col("a.skill_id").alias("src"), F.col("b.skill_id").alias("dst")).distinct()
+    touched = pairs_sharing(own, "learner_id").distinct()
     pairs = e_co.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     joined = pairs.join(touched.withColumn("hit", F.lit(1)), ["src", "dst"], "left")
     return joined.agg(F.count("*").alias("edges"), F.count("hit").alias("contaminated"), F.coalesce(safe_ratio(F.count("hit"), F.count("*")), F.lit(0.0)).alias("rho_co"))

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_ratio
+from ..functions.ranking import prefix_sums
 
 
 def auc(preds: DataFrame, keys: list[str]) -> DataFrame:
     """ROC AUC per key, ties averaged, null where only one class stands.
 
-    Rows are counted per distinct score first; only those counts are ordered, within each key.
+    Rows are counted per distinct score first; those counts are summed over range partitions of (keys, score).
     """
     counts = preds.groupBy(*keys, "y_pred").agg(F.sum("y_true").alias("pos"), F.sum(1 - F.col("y_true")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*keys).orderBy("y_pred").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = counts.withColumn("won", F.col("pos") * (below + F.col("neg") / F.lit(2.0)))
+    ranked = prefix_sums(counts, keys, ["y_pred"], ["neg"])
+    wins = ranked.withColumn("won", F.col("pos") * (F.col("before_neg") + F.col("neg") / F.lit(2.0)))
     sums = wins.groupBy(*keys).agg(F.sum("won").alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return sums.select(*keys, safe_ratio(F.col("won"), F.col("p").cast("double") * F.col("n")).alias("auc"))
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from .._session import materialize
 from ..functions.columns import four_places, hashed_unit, safe_ratio
+from ..functions.ranking import prefix_sums, quantiles
 
 
 def _skill_order(train: DataFrame) -> DataFrame:
     """(skill_id, r): skills by median time, ties by id; the window runs over one row per skill."""
-    medians = train.groupBy("skill_id").agg(F.median("timestamp").alias("t"))
+    medians = quantiles(train, ["skill_id"], "timestamp", {"t": 0.5})
     return medians.select("skill_id", "t", F.row_number().over(Window.orderBy("t", "skill_id")).alias("r"))
 
 
@@ -86,6 +87,24 @@ def e_pre_variants(
     )
 
 
+#: Skills of one learner or question that are paired in one group; more are dealt over pairs of such blocks.
+PAIR_BLOCK = 2000
+
+
+def pairs_sharing(own: DataFrame, key: str) -> DataFrame:
+    """(src, dst) with src < dst, once for every ``key`` that holds both skills, of distinct rows ``own(key, skill_id)``.
+
+    A key with more than PAIR_BLOCK skills is cut into blocks, and each pair of its blocks is a group of its own.
+    """
+    large = own.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > PAIR_BLOCK)
+    blocks = F.coalesce(F.ceil(F.col("n") / PAIR_BLOCK), F.lit(1).cast("long"))
+    dealt = own.join(large, key, "left").select(key, "skill_id", F.pmod(F.xxhash64("skill_id"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    dealt = dealt.select(key, "skill_id", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    a, b = dealt.where("own = i").alias("a"), dealt.where("own = j").alias("b")
+    met = a.join(b, [key, "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("a.skill_id") < F.col("b.skill_id")))
+    return met.select(F.least("a.skill_id", "b.skill_id").alias("src"), F.greatest("a.skill_id", "b.skill_id").alias("dst"))
+
+
 def e_sim(train: DataFrame, theta: float = 0.1) -> DataFrame:
     """Jaccard similarity of the skills' question sets, at least ``theta`` > 0, src < dst; support is the intersection.
 
@@ -95,9 +114,7 @@ def e_sim(train: DataFrame, theta: float = 0.1) -> DataFrame:
         raise ValueError("theta must be above 0: pairs without a shared question are not built")
     own = train.select("skill_id", "question_id").distinct()
     sizes = own.groupBy("skill_id").agg(F.count("*").alias("n"))
-    a, b = own.alias("a"), own.alias("b")
-    shared = a.join(b, (F.col("a.question_id") == F.col("b.question_id")) & (F.col("a.skill_id") < F.col("b.skill_id")))
-    shared = shared.groupBy(F.col("a.skill_id").alias("src"), F.col("b.skill_id").alias("dst")).agg(F.count("*").alias("support_count"))
+    shared = pairs_sharing(own, "question_id").groupBy("src", "dst").agg(F.count("*").alias("support_count"))
     both = shared.join(sizes.select(F.col("skill_id").alias("src"), F.col("n").alias("n1")), "src").join(sizes.select(F.col("skill_id").alias("dst"), F.col("n").alias("n2")), "dst")
     weight = F.col("support_count").cast("double") / (F.col("n1") + F.col("n2") - F.col("support_count"))
     return both.select("src", "dst", weight.alias("weight"), "support_count").where(F.col("weight") >= theta)
@@ -129,9 +146,7 @@ def co_pairs(train: DataFrame) -> DataFrame:
     own = train.select("learner_id", "skill_id").distinct()
     total = own.select("learner_id").distinct().agg(F.count("*").alias("n"))
     sizes = own.groupBy("skill_id").agg(F.count("*").alias("c"))
-    a, b = own.alias("a"), own.alias("b")
-    met = a.join(b, (F.col("a.learner_id") == F.col("b.learner_id")) & (F.col("a.skill_id") < F.col("b.skill_id")))
-    counts = met.groupBy(F.col("a.skill_id").alias("src"), F.col("b.skill_id").alias("dst")).agg(F.count("*").alias("support_count"))
+    counts = pairs_sharing(own, "learner_id").groupBy("src", "dst").agg(F.count("*").alias("support_count"))
     both = counts.join(sizes.select(F.col("skill_id").alias("src"), F.col("c").alias("c1")), "src").join(sizes.select(F.col("skill_id").alias("dst"), F.col("c").alias("c2")), "dst")
     pmi = F.log(F.col("support_count").cast("double") * F.col("n") / (F.col("c1").cast("double") * F.col("c2")))
     return both.crossJoin(F.broadcast(total)).select("src", "dst", "support_count", pmi.alias("pmi"))
@@ -213,8 +228,8 @@ def weight_cdf(edges: DataFrame) -> DataFrame:
     """(weight, cdf) per distinct weight: the share of edges at or below it; weights are counted before they are ordered."""
     counts = edges.groupBy("weight").agg(F.count("*").alias("c"))
     total = edges.agg(F.count("*").alias("n"))
-    running = F.sum("c").over(Window.orderBy("weight"))
-    return counts.crossJoin(F.broadcast(total)).select("weight", safe_ratio(running, F.col("n")).alias("cdf"))
+    running = prefix_sums(counts, [], ["weight"], ["c"])
+    return running.crossJoin(F.broadcast(total)).select("weight", safe_ratio(F.col("before_c") + F.col("c"), F.col("n")).alias("cdf"))
 
 
 def inject_label_noise(df: DataFrame, rate: float, seed: int) -> DataFrame:

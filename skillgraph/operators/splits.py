@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import global_row_number
+from ..functions.ranking import global_row_number, quantiles
 
 
 def _named(rn, n, ratios: tuple[float, float, float]):
@@ -44,10 +44,10 @@ def temporal_split(df: DataFrame, train: float = 0.8, valid: float = 0.1, per_le
         place = F.row_number().over(w.orderBy("timestamp", "interaction_id"))
         return df.withColumn("split", _named(place, F.count("*").over(w), (train, valid, 1 - train - valid)))
     keys = [dataset] if dataset else []
-    cuts = df.groupBy(*keys).agg(F.percentile("timestamp", F.array(F.lit(train), F.lit(train + valid))).alias("__cut"))
-    placed = df.join(F.broadcast(cuts), keys) if keys else df.crossJoin(F.broadcast(cuts))
+    cuts = quantiles(df, keys, "timestamp", {"__first": train, "__second": train + valid})
+    placed = df.join(cuts, keys) if keys else df.crossJoin(F.broadcast(cuts))  # one row
     ts = F.col("timestamp")
-    return placed.withColumn("split", F.when(ts <= F.col("__cut")[0], "train").when(ts <= F.col("__cut")[1], "valid").otherwise("test")).drop("__cut")
+    return placed.withColumn("split", F.when(ts <= F.col("__first"), "train").when(ts <= F.col("__second"), "valid").otherwise("test")).drop("__first", "__second")
 
 
 def split_report(splits: DataFrame) -> DataFrame:

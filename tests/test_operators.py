@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skillgraph.functions.columns import normalize_correct, normalize_id
-from skillgraph.functions.ranking import global_row_number
+from skillgraph.functions.ranking import global_row_number, prefix_sums, quantiles
 from skillgraph.operators import audit, features, graph, metrics, profile, relations, runs, splits
 from skillgraph.sources import tables
 
@@ -249,3 +249,23 @@ def test_run_tree(spark, tmp_path):
     (out / "metrics.csv").write_text("epoch,train_loss\n1,0.5\n")
     got = tables.read_run_tree(spark, str(tmp_path)).first()
     assert (got["run_id"], got["variant"], got["train_loss"]) == ("d_0_7_m_full", "full", 0.5)
+
+
+def test_prefix_sums_and_quantiles_span_partitions(spark):
+    rng = random.Random(5)
+    data = [(rng.choice("aab"), rng.randrange(40), rng.randrange(5)) for _ in range(500)] + [(None, 1, 2), ("a", None, 1)]
+    df = spark.createDataFrame(data, "k string, v long, c long")
+    distinct = df.where("v is not null").groupBy("k", "v").agg(F.sum("c").alias("c"))
+    got = {(r["k"], r["v"]): r["before_c"] for r in prefix_sums(distinct, ["k"], ["v"], ["c"]).collect()}
+    assert got == {(k, v): sum(c for k2, v2, c in data if k2 == k and v2 is not None and v2 < v) for k, v in got} and len(got) == distinct.count()
+    q = {r["k"]: (r["a"], r["b"]) for r in quantiles(df, ["k"], "v", {"a": 0.5, "b": 0.9}).collect()}
+    want = {r["k"]: tuple(r["p"]) for r in df.groupBy("k").agg(F.percentile("v", F.array(F.lit(0.5), F.lit(0.9))).alias("p")).collect()}
+    assert q.keys() == want.keys() and all(q[k] == pytest.approx(want[k]) for k in q)
+
+
+def test_pairs_of_a_large_learner_are_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(relations, "PAIR_BLOCK", 3)
+    own = spark.createDataFrame([("x", f"s{i}") for i in range(11)] + [("y", "s1"), ("y", "s2")], "learner_id string, skill_id string")
+    got = sorted((r["src"], r["dst"]) for r in relations.pairs_sharing(own, "learner_id").collect())
+    names = sorted(f"s{i}" for i in range(11))
+    assert got == sorted([(a, b) for i, a in enumerate(names) for b in names[i + 1 :]] + [("s1", "s2")])
