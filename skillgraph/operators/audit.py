@@ -167,7 +167,7 @@ def consistency_checks(main: DataFrame, zero: DataFrame, strata: DataFrame, tole
     ``main(model, variant, mean_auc, delta)``, ``zero(model, variant, mean_auc)``, ``strata(model, variant, stratum, gain)``.
     """
     both = main.alias("a").join(zero.alias("b"), ["model", "variant"]).select(F.abs(F.col("a.mean_auc") - F.col("b.mean_auc")).alias("d"))
-    equal = both.agg(F.count("*").alias("n"), _count(F.col("d") > tolerance).alias("v")).select(F.lit("auc_tables_equal").alias("check_name"), "n", F.col("v").alias("violations"), F.lit("FAIL").alias("bad"))
+    equal = both.agg(F.count("*").alias("n"), _count(F.col("d") > tolerance).alias("v")).select(F.lit("auc_tables_equal").alias("check_name"), "n", F.col("v").alias("violations"), F.lit("WARN").alias("bad"))
     up = strata.groupBy("model", "variant").agg(F.min("gain").alias("least")).join(main, ["model", "variant"])
     odd = up.agg(F.count("*").alias("n"), _count((F.col("least") > 0) & (F.col("delta") <= 0.0005)).alias("v")).select(F.lit("strata_match_overall").alias("check_name"), "n", F.col("v").alias("violations"), F.lit("WARN").alias("bad"))
     status = F.when(F.col("n") == 0, "SKIP").when(F.col("violations") > 0, F.col("bad")).otherwise("PASS")

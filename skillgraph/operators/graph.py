@@ -284,11 +284,11 @@ def gated_degree(edges: DataFrame, grid: DataFrame, strata: DataFrame, skills: D
     ends = flags.select("relation_type", "rare", "weight", F.explode(F.array("src", "dst")).alias("skill_id")).groupBy("relation_type", "rare", "skill_id").agg(F.sum("weight").alias("w"))
     alpha = F.when(F.col("relation_type") == "pre", F.col("alpha_pre")).when(F.col("relation_type") == "sim", F.col("alpha_sim")).otherwise(F.col("alpha_co"))
     part = alpha * F.col("w") * F.when(F.col("rare"), 1 + F.col("beta")).otherwise(F.lit(1.0))
-    sums = ends.crossJoin(F.broadcast(grid)).groupBy("variant", "beta", "skill_id").agg(F.sum(part).alias("degree"))
-    every = skills.select("skill_id").distinct().crossJoin(F.broadcast(grid.select("variant", "beta")))
+    sums = ends.crossJoin(grid).groupBy("variant", "beta", "skill_id").agg(F.sum(part).alias("degree"))
+    every = skills.select("skill_id").distinct().crossJoin(grid.select("variant", "beta"))
     joined = every.join(sums, ["variant", "beta", "skill_id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0.0)))
     top = joined.groupBy("variant", "beta").agg(F.max("degree").alias("top"))
-    return joined.join(F.broadcast(top), ["variant", "beta"]).select("variant", "beta", "skill_id", "degree", F.when(F.col("top") > 0, F.col("degree") / F.col("top")).otherwise(0.0).alias("degree_norm"))
+    return joined.join(top, ["variant", "beta"]).select("variant", "beta", "skill_id", "degree", F.when(F.col("top") > 0, F.col("degree") / F.col("top")).otherwise(0.0).alias("degree_norm"))
 
 
 def density_audit(edges: DataFrame, train: DataFrame) -> DataFrame:

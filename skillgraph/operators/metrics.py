@@ -88,7 +88,7 @@ def prediction_stats(preds: DataFrame, keys: list[str]) -> DataFrame:
 def stratified_metrics(preds: DataFrame, strata: DataFrame, keys: list[str]) -> DataFrame:
     """``metrics`` per key and stratum; strata without rows have n = 0 and null metrics."""
     placed = preds.join(strata.select("skill_id", "stratum"), "skill_id")
-    every = preds.select(*keys).distinct().crossJoin(F.broadcast(strata.select("stratum").distinct()))
+    every = preds.select(*keys).distinct().crossJoin(strata.select("stratum").distinct())
     joined = every.join(metrics(placed, [*keys, "stratum"]), [*keys, "stratum"], "left")
     return joined.select(*keys, "stratum", F.coalesce("n", F.lit(0)).alias("n"), "auc", "acc", "nll", "rmse")
 

@@ -96,7 +96,7 @@ def strata_bins(train: DataFrame, bins: DataFrame) -> DataFrame:
     """(skill_id, n_interactions, stratum) by range join to a small table of named [low, high) bins."""
     sizes = train.groupBy("skill_id").agg(F.count("*").alias("n_interactions"))
     n = F.col("n_interactions")
-    return sizes.join(F.broadcast(bins), (n >= F.col("low")) & (F.col("high").isNull() | (n < F.col("high")))).select("skill_id", "n_interactions", "stratum")
+    return sizes.join(bins, (n >= F.col("low")) & (F.col("high").isNull() | (n < F.col("high")))).select("skill_id", "n_interactions", "stratum")
 
 
 def frequency_bins(train: DataFrame, cumulative: bool = False) -> DataFrame:

@@ -33,7 +33,7 @@ def make_folds(df: DataFrame, folds: int, seed: int = 2026, ratios: tuple[float,
     ranked = global_row_number(learners, ["fold", "__h", "learner_id"])
     sizes = learners.groupBy("fold").agg(F.count("*").alias("__n"))
     first = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("fold")) - F.col("__n"))  # one row per fold
-    placed = ranked.join(F.broadcast(first), "fold")
+    placed = ranked.join(first, "fold")
     return placed.select("learner_id", "fold", _named(F.col("rn") - F.col("__before"), F.col("__n"), ratios).alias("split"))
 
 
