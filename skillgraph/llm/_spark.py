@@ -70,27 +70,6 @@ def sorted_groups(
         yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
 
 
-class Forest:
-    """Union-find over 0..n-1; ``edges`` holds the unions that joined two trees."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-        self.edges: list[tuple[int, int]] = []
-
-    def root(self, i: int) -> int:
-        parent = self.parent
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-            self.edges.append((i, j))
-
-
 def spanning_edges(linked: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the graph whose boolean adjacency matrix is ``linked``."""
     n = len(linked)
