@@ -74,12 +74,12 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LI
             rows = rows.withColumn("hash", F.xxhash64("body"))
         return rows.withColumn("own", F.struct("__doc", "__mark", "idx")).select("hash", "own", *(["body"] if bodies else []))
 
-    # tables of their own, so that both joins on the hash read plain shuffles, which the skew join can split for a chunk
+    # tables of their own and merge joins, so that both joins on the hash read plain shuffles at any size, which the skew join can split for a chunk
     # that a great many documents share
     repeated = written(exploded(False).groupBy("hash").agg(F.min("own").alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first"), "repeated")
-    candidates = written(exploded(True).join(repeated, "hash"), "chunks")
+    candidates = written(exploded(True).join(repeated.hint("merge"), "hash"), "chunks")
     firsts = written(candidates.where("own = first").groupBy("hash").agg(F.any_value("body").alias("first_body")), "firsts")
-    same = candidates.where("own <> first").join(firsts, "hash").where("body = first_body")
+    same = candidates.where("own <> first").join(firsts.hint("merge"), "hash").where("body = first_body")
     removed = same.groupBy(F.col("own.__doc").alias("__doc"), F.col("own.__mark").alias("__mark")).agg(F.collect_set("own.idx").alias("__removed"))
     # the row travels as one column, so no name of its own can clash
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("__d"), F.xxhash64(F.col(text_col)).alias("__k"))
