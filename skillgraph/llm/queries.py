@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, linededup, packing, quality, simhash, substrings, tokencounts, vectordedup, warc
+from . import ann, bpe, linededup, packing, quality, repeats, resampling, simhash, substrings, tokencounts, vectordedup, warc, whitening
 from ._spark import shared_folder
 
 
@@ -59,11 +59,30 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.near_duplicate_passages(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("mark")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    each = white.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "c"))
+    return each.select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select(
+        "doc_id", "n_bytes", repeats.removed_bytes(F.col("spans")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_token_counts, op3_embedding_near_dedup, op4_nearest_neighbours, op5_quality_classifier,
         op6_line_dedup, op7_bpe, op8_simhash_near_dedup, op9_warc, op10_substring_dedup,
+        op11_importance_resampling, op12_embedding_whitening, op13_suffix_array_dedup,
     )
 }
 
@@ -79,4 +98,31 @@ SELECT page_id, octet_length(encode(p.body))::BIGINT AS payload_bytes, {_BASE32}
   CASE WHEN page_id < newest THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id < newest THEN newest END AS refers_to
 FROM p JOIN m ON p.body = m.body""",
+    "op11_importance_resampling": """
+WITH words AS (SELECT 0 AS kind, doc_id AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM documents
+  UNION ALL SELECT 1, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) FROM benchmark),
+known AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM words),
+steps AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+hashed AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(h), 2), lambda j: ('0x' || substr(h, j + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM known, steps),
+f AS (SELECT kind, id, bucket FROM words JOIN hashed USING (word)),
+n AS (SELECT bucket, count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t FROM f GROUP BY bucket),
+total AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM n),
+gain AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS g FROM n, total),
+w AS (SELECT id, count(*) AS n_features, sum(g)::BIGINT AS weight FROM f JOIN gain USING (bucket) WHERE kind = 0 GROUP BY id),
+d AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM documents LEFT JOIN w ON doc_id = id),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS eligible FROM d WHERE n_features >= 20)
+SELECT d.doc_id, n_features, weight, score, CASE WHEN place <= eligible * 10 // 100 THEN place END AS rank FROM d LEFT JOIN r USING (doc_id)""",
+    "op13_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, n, o, substr(h, 2 * o + 1, 2 * 1049) AS part FROM (SELECT *, unnest(range(0, n, 1000)) AS o FROM d)),
+w AS (SELECT doc_id, o + i AS p, substr(part, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(0, least(1000, n - 49 - o))) AS i FROM b)),
+m AS (SELECT s, min(doc_id) AS earliest FROM w GROUP BY s),
+g AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50, true) AS fresh FROM w JOIN m USING (s) WHERE doc_id > earliest),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS e FROM (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g) GROUP BY doc_id, k),
+c AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+k AS (SELECT doc_id, sum(e - a) AS gone, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(e) AS tail FROM c JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
 }
