@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 LENGTH = 50
 #: Bytes hashed at a time, anchors gathered by a task before it compares them with each other and sends them on.
-CHUNK, COMBINE = 1 << 20, 1_000_000
+CHUNK, COMBINE = 1 << 17, 1_000_000
 #: Differing neighbourhoods of one gram that a task compares string by string; of more, each string is sent by itself.
 LIMIT = 1000
 
@@ -96,26 +96,27 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> np.ndarray:
         sizes = np.array([len(s) for _, _, s in segments])
         ends = np.cumsum(sizes)
         first, second = _prefixes(data, 0), _prefixes(data, 1)
-        at = np.arange(len(data) - gram + 1)
-        grams = _hashes(first, at, at + gram, 0)
+        at = np.arange(len(data) - gram + 1, dtype=np.uint64)
+        grams = _mixed((first[gram:] - first[:-gram]) * _powers(0)[1][: len(at)])
         # 40 bits of the hash, then the place: the least is the leftmost of least hash
-        least = grams >> np.uint64(24) << np.uint64(24) | at.astype(np.uint64)
+        least = grams >> np.uint64(24) << np.uint64(24) | at
         step = 1
         while step * 2 <= window:
             least = np.minimum(least[:-step], least[step:])
             step *= 2
         if window > step:
             least = np.minimum(least[: step - window], least[window - step :])
-        anchor = (least & np.uint64(0xFFFFFF)).astype(np.int64)
-        segment = np.repeat(np.arange(len(segments)), sizes)[: len(anchor)]
-        at = np.flatnonzero(np.arange(len(anchor)) + length <= ends[segment])  # strings within one text
-        anchor, segment = anchor[at], segment[at]
-        new = np.append(True, (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1]))
-        start = np.flatnonzero(new)
-        n = np.diff(np.append(start, len(at)))
-        low, segment = at[start], segment[start]
+        anchor = least & np.uint64(0xFFFFFF)
+        inside = np.ones(len(anchor), dtype=bool)  # strings within one text
+        for end in ends.tolist():
+            inside[max(0, end - length + 1) : end] = False
+        same = (anchor[1:] == anchor[:-1]) & inside[1:] & inside[:-1]
+        low = np.flatnonzero(inside & ~np.append(False, same))
+        n = np.flatnonzero(inside & ~np.append(same, False)) - low + 1
+        segment = np.searchsorted(ends, low, side="right")
         row, offset = (np.array([s[i] for s in segments])[segment] for i in (0, 1))
-        columns = [row, low - (ends - sizes)[segment] + offset, n, grams[anchor[start]], _hashes(second, low, low + n - 1 + length, 1)]
+        gram_of_each = grams[anchor[low].astype(np.int64)]
+        columns = [row, low - (ends - sizes)[segment] + offset, n, gram_of_each, _hashes(second, low, low + n - 1 + length, 1)]
         found.append(np.stack([c.astype(np.uint64) for c in columns], axis=1))
     return np.concatenate(found) if found else np.empty((0, 5), dtype=np.uint64)
 
