@@ -9,13 +9,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 64
 #: Labelled rows the model is fitted on at most, and characters of all of them together.
 SAMPLE_ROWS, SAMPLE_CHARS = 6000, 64_000_000
-MIN_WORD_COUNT, MAX_WORDS = 8, 50_000
+MIN_WORD_COUNT, MAX_WORDS, MAX_SHAPES = 8, 50_000, 4096
 #: Words whose ids a worker keeps, and characters of the longest of them.
 CACHED_WORDS, CACHED_CHARS = 400_000, 256
 
@@ -103,7 +103,7 @@ def fit_vectors(texts: list[str]) -> Model:
         words.update(t.lower() for t in tokens)
         shapes.update(map(shape, set(tokens)))
     known = [w for w, n in words.most_common(MAX_WORDS) if n >= MIN_WORD_COUNT]
-    outlines = [s for s, n in shapes.most_common(4096) if n >= 2]
+    outlines = [s for s, n in shapes.most_common(MAX_SHAPES) if n >= 2]
     # id 0: unknown; shape id 1: a word equal to the one before
     model = Model({w: i + 1 for i, w in enumerate(known)}, {s: i + 2 for i, s in enumerate(outlines)})
     own = np.array([index_vector("?"), index_vector("="), *map(index_vector, outlines)])
@@ -174,8 +174,10 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """Fit on at most ``rows`` labelled texts that are not held out: those of the smallest hash of doc_id.
 
-    Only this bounded sample reaches the driver: the first of these texts, in that order, that have ``chars``
-    characters or fewer together. Labels other than 0 and 1 and contradictory labels of one doc_id are left out.
+    Only this bounded sample reaches the driver, in that order and with ``chars`` characters or fewer together: a text
+    that does not fit beside those before it is left out of the fit, and those after it are not, so one very long text
+    costs the model no other. Labels other than 0 and 1 and contradictory labels of one doc_id are left out. The model
+    knows MAX_WORDS words and MAX_SHAPES outlines of words at most, the most frequent ones of the sample.
     """
     usable = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
@@ -186,10 +188,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows:
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows + rows // 4)
     order = (F.xxhash64("doc_id"), "doc_id", "mark")
     joined = texts.join(chosen.select("doc_id", "label"), "doc_id").withColumn("mark", F.xxhash64("text"))
-    # the window runs over at most ``rows`` rows of an id and a length
-    fitting = joined.select("doc_id", "mark", F.char_length("text").alias("n")).orderBy(*order).limit(rows)
-    fitting = fitting.withColumn("sum", F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= chars)
-    found = joined.join(fitting.select("doc_id", "mark").distinct(), ["doc_id", "mark"]).orderBy(*order).limit(rows).collect()
+    taken, left = [], chars
+    for r in joined.select("doc_id", "mark", F.char_length("text").alias("n")).orderBy(*order).limit(rows).collect():  # ids and lengths only
+        if r["n"] <= left:
+            taken.append((r["doc_id"], r["mark"]))
+            left -= r["n"]
+    fitting = docs.sparkSession.createDataFrame(taken, "doc_id long, mark long").distinct()
+    found = joined.join(F.broadcast(fitting), ["doc_id", "mark"]).orderBy(*order).limit(len(taken)).collect()
     return fit([r["text"] for r in found], np.array([r["label"] for r in found], dtype=np.int64))
 
 

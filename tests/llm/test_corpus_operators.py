@@ -289,6 +289,24 @@ def test_long_labelled_texts_train_within_the_sum_of_characters(spark):
     assert sum(seen[1]) <= 200
 
 
+def test_a_text_above_the_bound_in_first_place_costs_no_other(spark):
+    rng = random.Random(19)
+    texts = [junk(rng, 8) if i % 4 == 0 else words(rng, 8) for i in range(300)]
+    order = [r["doc_id"] for r in spark.range(300).withColumnRenamed("id", "doc_id").where(~quality.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).collect()]
+    for i in (order[0], order[40]):
+        texts[i] = words(rng, 30_000)
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs_of(spark, texts), labels, chars=20_000)
+    assert len(model.layers) and model.scores([junk(rng, 20)])[0] < 0.5 < model.scores([words(rng, 20)])[0]
+    seen = []
+    fit, quality.fit = quality.fit, lambda found, y: seen.extend(found) or fit(found, y)
+    try:
+        quality.train(docs_of(spark, texts), labels, chars=20_000)
+    finally:
+        quality.fit = fit
+    assert seen == [texts[i] for i in order if i not in (order[0], order[40])]
+
+
 def test_classifier_odd_tables(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.classify(docs_of(spark, [(None, None), (1, ""), (1, ""), (2, "x" * 100_000)]), none).toPandas()
