@@ -29,3 +29,11 @@ def materialize(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one."""
     return f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again. Unlike a checkpoint it also drops what the planner
+    knows of the columns' origin, which would grow with every turn of a loop."""
+    path = shared_folder(df.sparkSession, "turn")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .._session import materialize
+from .._session import written
 from ..functions.columns import safe_ratio
+from ..functions.ranking import global_row_number
 
 
 def nodes_of(edges: DataFrame, *keys: str) -> DataFrame:
@@ -36,58 +39,114 @@ def graph_stats(edges: DataFrame, directed: bool = True, keys: tuple[str, ...] =
     )
 
 
+def _ends_known(edges: DataFrame) -> DataFrame:
+    return edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
+
+
+def _ordered_by_name(edges: DataFrame) -> bool:
+    """True if all edges run from the smaller to the larger name, or all the other way: no cycle, by one scan."""
+    r = edges.agg(F.bool_and(F.col("src") < F.col("dst")).alias("up"), F.bool_and(F.col("src") > F.col("dst")).alias("down")).first()
+    return r["up"] is None or r["up"] or r["down"]
+
+
+def _follow(parents: DataFrame) -> DataFrame:
+    """(node, end, steps) of ``parents(node, parent)``: where each node's chain of parents ends and after how many steps.
+
+    Both are null for chains that run into a cycle. A round follows four times as many steps as the one before, so rounds
+    grow with the logarithm of the longest chain.
+    """
+    go = F.col("parent").isNotNull()
+    now = written(parents.select("node", F.col("parent").alias("to"), F.when(~go, F.col("node")).alias("end"), go.cast("long").alias("steps")))
+    n, reach = now.count(), 1
+    while reach <= n and not now.where(F.col("to").isNotNull()).isEmpty():
+        step = now
+        for _ in range(3):
+            ahead = now.select(F.col("node").alias("__n"), F.col("to").alias("__to"), F.col("end").alias("__end"), F.col("steps").alias("__steps"))
+            step = step.join(ahead, F.col("to") == F.col("__n"), "left").select(
+                "node", F.col("__to").alias("to"), F.coalesce("end", "__end").alias("end"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps")
+            )
+        now, reach = written(step), reach * 4
+    return now.select("node", "end", F.when(F.col("end").isNotNull(), F.col("steps")).alias("steps"))
+
+
+def layers(edges: DataFrame) -> DataFrame:
+    """(node, layer): the edges of the longest path that ends in each node, null for nodes that a cycle leads to.
+
+    Every node first picks any of its predecessors; the chains of picks are followed (``_follow``), nodes whose other
+    predecessor is deeper pick that one, and so on until none is. Layers of acyclic nodes are then a certificate: each
+    edge ascends. Picks that run in a circle are a cycle. The orders tried here settle in five to fifteen turns, whatever
+    their depth; a turn takes rounds in the logarithm of the depth. There is no limit on either.
+
+    Edges with a null end and repeated edges are ignored; a loop is a cycle. No edges give no rows.
+    """
+    pairs = written(_ends_known(edges).select("src", "dst").distinct())
+    first = pairs.groupBy(F.col("dst").alias("node")).agg(F.max("src").alias("parent"))
+    parents = written(nodes_of(pairs).join(first, "node", "left"))
+    endless = F.lit(1 << 62)
+    while True:
+        found = _follow(parents)
+        depth = found.select(F.col("node").alias("src"), F.coalesce("steps", endless).alias("depth"))
+        best = pairs.join(depth, "src").groupBy(F.col("dst").alias("node")).agg(F.max(F.struct("depth", "src")).alias("best"))
+        better = written(found.join(best, "node").where(F.col("steps").isNotNull() & (F.col("best.depth") >= F.col("steps"))).select("node", F.col("best.src").alias("deeper")))
+        if better.isEmpty():
+            return found.select("node", F.col("steps").alias("layer"))
+        parents = written(parents.join(better, "node", "left").select("node", F.coalesce("deeper", "parent").alias("parent")))
+
+
 def is_dag(edges: DataFrame) -> bool:
-    return cyclic_core(edges).isEmpty()
+    """True if no cycle exists: all edges ascend by name or descend, or every node has a layer. An empty graph has none."""
+    known = _ends_known(edges)
+    return _ordered_by_name(known) or layers(known).where(F.col("layer").isNull()).isEmpty()
+
+
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """(src, dst, weight): the edges that a cycle leads to and that lead to a cycle, which is what peeling nodes without an
+    incoming or an outgoing edge leaves. Empty exactly if the graph has no cycle, whatever its depth (``layers``).
+
+    Repeated edges stay repeated; edges with a null end are left out.
+    """
+    now = written(_ends_known(edges).select("src", "dst", "weight"))
+    if _ordered_by_name(now):
+        return now.limit(0)
+    for src, dst in (("src", "dst"), ("dst", "src")):
+        behind = layers(now.select(F.col(src).alias("src"), F.col(dst).alias("dst"))).where(F.col("layer").isNull())
+        now = written(now.join(behind.select(F.col("node").alias("src")), "src", "left_semi").join(behind.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "weight"))
+        if now.isEmpty():
+            break
+    return now
 
 
-def cyclic_core(edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """The edges that remain after peeling nodes without an incoming or without an outgoing edge until none is left.
+def _least_reaching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, label): of the nodes that reach each node along the edges, itself included, the least by hash and name.
 
-    Empty exactly if the graph has no cycle. Each round is two semi-joins, checkpointed.
+    What reaches the node of a label reaches its holder too, so labels leap, and by hashes the rounds do not follow the
+    order of the names.
     """
-    now = materialize(edges.select("src", "dst", "weight"))
-    before = now.count()
-    for _ in range(rounds):
-        if before == 0:
-            return now
-        fed = now.select(F.col("dst").alias("src")).distinct()
-        feeding = now.select(F.col("src").alias("dst")).distinct()
-        now = materialize(now.join(fed, "src", "left_semi").join(feeding, "dst", "left_semi").select("src", "dst", "weight"))
-        after = now.count()
-        if after == before:
-            return now
-        before = after
-    raise RuntimeError(f"peeling did not end in {rounds} rounds")
-
-
-def _least_reachable(edges: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
-    """(node, label): the least node that reaches each node along the edges, itself included."""
-    label = materialize(nodes.select("node", F.col("node").alias("label")))
-    for _ in range(rounds):
-        pushed = edges.join(label, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "label")
-        new = materialize(label.unionByName(pushed).groupBy("node").agg(F.min("label").alias("label")))
-        changed = new.alias("n").join(label.alias("l"), "node").where(F.col("n.label") != F.col("l.label")).limit(1).count()
+    label = written(nodes.select("node", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n")).alias("label")))
+    while True:
+        other = label.select(F.col("node").alias("__n"), F.col("label").alias("__l"))
+        pushed = edges.join(other, F.col("src") == F.col("__n")).select(F.col("dst").alias("node"), F.col("__l").alias("label"))
+        leapt = label.join(other, F.col("label.n") == F.col("__n")).select("node", F.col("__l").alias("label"))
+        new = written(label.unionByName(pushed).unionByName(leapt).groupBy("node").agg(F.min("label").alias("label")))
+        changed = new.join(label.select("node", F.col("label").alias("old")), "node").where(F.col("label") != F.col("old"))
+        if changed.isEmpty():
+            return new.select("node", F.col("label.n").alias("label"))
         label = new
-        if not changed:
-            return label
-    raise RuntimeError(f"labels did not settle in {rounds} rounds")
 
 
-def strongly_connected(edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """(node, component) of nodes in strongly connected components of two nodes or more, and of loops.
+def strongly_connected(edges: DataFrame) -> DataFrame:
+    """(node, component) of nodes in strongly connected components of two nodes or more, and of loops; named by the least node.
 
-    Forward and backward least labels: where both name one node, the nodes share its component; the
-    rest is searched again within equal label pairs.
+    Forward and backward labels: where both name one node, the nodes share its component; the rest is searched again
+    within equal label pairs, until no cycle is left.
     """
     left = cyclic_core(edges)
     found = None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         nodes = nodes_of(left)
-        ahead = _least_reachable(left, nodes, rounds).withColumnRenamed("label", "f")
-        back = _least_reachable(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")), nodes, rounds).withColumnRenamed("label", "b")
-        labels = materialize(ahead.join(back, "node"))
+        ahead = _least_reaching(left, nodes).withColumnRenamed("label", "f")
+        back = _least_reaching(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")), nodes).withColumnRenamed("label", "b")
+        labels = written(ahead.join(back, "node"))
         done = labels.where("f = b").select("node", F.col("f").alias("component"))
         found = done if found is None else found.unionByName(done)
         rest = labels.where("f <> b")
@@ -96,87 +155,166 @@ def strongly_connected(edges: DataFrame, rounds: int = 200) -> DataFrame:
     if found is None:
         return nodes_of(left).select("node", F.col("node").alias("component"))
     linked = edges.join(found.select(F.col("node").alias("src"), F.col("component").alias("cs")), "src").join(found.select(F.col("node").alias("dst"), F.col("component").alias("cd")), "dst").where("cs = cd")
-    return found.join(nodes_of(linked), "node", "left_semi")
+    kept = written(found.join(nodes_of(linked), "node", "left_semi"))
+    least = kept.groupBy("component").agg(F.min("node").alias("least"))
+    return kept.join(least, "component").select("node", F.col("least").alias("component"))
 
 
-#: Largest strongly connected component whose cycles one task breaks.
-COMPONENT_NODES, COMPONENT_EDGES = 20_000, 2_000_000
+#: Edges whose cycles one task breaks, and parts into which more are cut by weight at a time.
+TASK_EDGES, PARTS = 50_000, 8
 
 
-def _on_cycles(component: pd.DataFrame) -> pd.DataFrame:
-    """The edges of a component that close a cycle of heavier edges: from the heaviest down, those whose source their target reaches."""
-    ordered = component.sort_values(["weight", "src", "dst"], ascending=False)
-    number = {node: i for i, node in enumerate(sorted({*ordered["src"], *ordered["dst"]}))}
+def _on_cycles(group: pd.DataFrame) -> pd.DataFrame:
+    """The edges (a, b) of a group, if they are to be judged, that close a cycle of heavier ones: from the heaviest down, those whose b reaches their a."""
+    ordered = group.sort_values(["weight", "src", "dst"], ascending=False)
+    number = {node: i for i, node in enumerate(sorted({*ordered["a"], *ordered["b"]}))}
     reach = [1 << i for i in range(len(number))]  # the nodes that each node reaches, as bits
     closing = []
-    for src, dst in zip(ordered["src"].map(number), ordered["dst"].map(number)):
-        closing.append(bool(reach[dst] >> src & 1))
-        if not reach[src] >> dst & 1:
-            reach = [r | reach[dst] if r >> src & 1 else r for r in reach]
-    return ordered.loc[closing, ["src", "dst"]]
+    for a, b in zip(ordered["a"].map(number), ordered["b"].map(number)):
+        closing.append(bool(reach[b] >> a & 1))
+        if not reach[a] >> b & 1:
+            reach = [r | reach[b] if r >> a & 1 else r for r in reach]
+    return ordered.loc[closing & ordered["judge"], ["src", "dst", "weight"]]
+
+
+def _cut_by_weight(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges found to close a cycle of heavier ones, and smaller groups of those that are left to be told.
+
+    The edges of a group (g) that are to be judged are cut into PARTS by weight. Every edge goes where its ends first come
+    into one strongly connected component of the parts so far: an edge for which that is before its own part closes a
+    cycle of heavier ones; it is judged further if that is its own part; and if it is a later one, it closes none and goes
+    there as one of the heavier edges. In a part's group, what the parts before connect is one node.
+    """
+    order = ["g", F.desc("judge"), F.desc("weight"), F.desc("src"), F.desc("dst")]
+    numbered = written(global_row_number(rows, order))
+    sizes = numbered.groupBy("g").agg(F.min("rn").alias("lo"), F.sum(F.col("judge").cast("long")).alias("m"))
+    part = F.when(F.col("judge"), F.floor((F.col("rn") - F.col("lo")) * PARTS / F.col("m"))).otherwise(-1).cast("int")
+    placed = written(numbered.join(sizes, "g").withColumn("part", part).drop("lo", "m"))
+    upto = lambda low: placed.where(low < PARTS).withColumn("upto", F.explode(F.sequence(low, F.lit(PARTS - 1))))
+    node = lambda c: F.struct("g", "upto", F.col(c).alias("n"))
+    inside = strongly_connected(upto(F.greatest(F.col("part") + 1, F.lit(1))).select(node("a").alias("src"), node("b").alias("dst"), "weight"))
+    inside = written(inside.select(F.col("node.g").alias("g"), F.col("node.upto").alias("upto"), F.col("node.n").alias("n"), F.col("component.n").alias("c")))
+    at = lambda end: inside.select("g", "upto", F.col("n").alias(end), F.col("c").alias(f"c_{end}"))
+    met = upto(F.greatest("part", F.lit(1))).join(at("a"), ["g", "upto", "a"]).join(at("b"), ["g", "upto", "b"]).where("c_a = c_b")
+    met = met.groupBy("rn").agg(F.min(F.struct("upto", "c_a")).alias("met"))
+    told = placed.join(met, "rn", "left").select(*placed.columns, F.coalesce("met.upto", F.lit(PARTS)).alias("upto"), F.col("met.c_a").alias("own"))
+    told = written(told.withColumn("closes", F.col("judge") & (F.col("upto") <= F.col("part"))))
+    left = told.where(~F.col("closes")).withColumns({"judge": F.col("judge") & (F.col("upto") - 1 == F.col("part")), "upto": F.col("upto") - 1})
+    left = left.join(at("a"), ["g", "upto", "a"], "left").join(at("b"), ["g", "upto", "b"], "left")
+    named = F.to_json(F.struct("g", "upto", "own"))
+    left = written(left.select(named.alias("g"), F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"), "weight", "src", "dst", "judge"))
+    # the one edge of its part that comes into a component there comes in by itself
+    judged = left.where("judge").groupBy("g").agg(F.count("*").alias("m"))
+    alone = left.where("judge").join(judged.where("m = 1"), "g", "left_semi")
+    closing = told.where("closes").select("src", "dst", "weight").unionByName(alone.select("src", "dst", "weight"))
+    return closing, written(left.join(judged.where("m > 1"), "g", "left_semi"))
 
 
 def break_cycles(edges: DataFrame) -> DataFrame:
     """Edges without those that, by (weight, src, dst), are the least of a cycle: what is left when the least edge of each
     strongly connected component is removed again and again.
 
-    An edge goes exactly if its target reaches its source over heavier edges, which one task tells for all edges of a
-    component of up to COMPONENT_NODES nodes. In larger ones the lighter half of the edges goes first, round by round,
-    and the least edge in any case, so rounds grow with the logarithm of the edges.
+    An edge goes exactly if its target reaches its source over heavier edges, so if both are in one strongly connected
+    component of it and the heavier ones. That is found by cutting a component's edges at weights, all components at a
+    time (``_cut_by_weight``), until a group has TASK_EDGES edges at most, which one task tells. The rule is the same at
+    every size; the edges to be judged are divided by PARTS at each cut.
+
+    Loops go. Rows that repeat an edge and its weight share their fate. Edges with a null end are kept.
     """
-    now = materialize(edges)
+    now = written(edges)
+    core = cyclic_core(now)
+    if core.isEmpty():
+        return now
+    inside = written(strongly_connected(core))
+    rows = core.distinct().join(inside.select(F.col("node").alias("src"), F.col("component").alias("cs")), "src").join(inside.select(F.col("node").alias("dst"), F.col("component").alias("cd")), "dst").where("cs = cd")
+    rows = written(rows.select(F.to_json(F.struct("cs")).alias("g"), F.col("src").alias("a"), F.col("dst").alias("b"), "weight", "src", "dst", F.lit(True).alias("judge")))
+    schema = ", ".join(f"{c} {now.schema[c].dataType.simpleString()}" for c in ("src", "dst", "weight"))
+    gone = []
     while True:
-        core = cyclic_core(now)
-        if core.isEmpty():
-            return now
-        scc = materialize(strongly_connected(core))
-        inside = core.join(scc.select(F.col("node").alias("src"), F.col("component").alias("cs")), "src").join(scc.select(F.col("node").alias("dst"), F.col("component").alias("cd")), "dst").where("cs = cd")
-        least = F.min(F.struct("weight", "src", "dst")).alias("least")
-        sizes = inside.groupBy("cs").agg(F.count("*").alias("m"), F.countDistinct("src").alias("n"), F.percentile_approx("weight", 0.5).alias("half"), least)
-        inside = materialize(inside.join(sizes, "cs"))
-        small = (F.col("n") <= COMPONENT_NODES) & (F.col("m") <= COMPONENT_EDGES)
-        schema = "src {}, dst {}".format(*[edges.schema[c].dataType.simpleString() for c in ("src", "dst")])
-        exact = inside.where(small).select("cs", "src", "dst", "weight").groupBy("cs").applyInPandas(_on_cycles, schema)
-        light = (F.col("weight") < F.col("half")) | ((F.col("weight") == F.col("half")) & (F.col("src") >= F.col("dst"))) | (F.struct("weight", "src", "dst") == F.col("least"))
-        now = materialize(now.join(exact.unionByName(inside.where(~small & light).select("src", "dst")), ["src", "dst"], "left_anti"))
-
-
-def transitive_reduction(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """Edges of a DAG for which no longer path exists: those not in the product of the edges and their closure.
-
-    The closure doubles path lengths each round, so rounds grow with the logarithm of the depth.
+        large = written(rows.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > TASK_EDGES))
+        gone.append(rows.join(large, "g", "left_anti").groupBy("g").applyInPandas(_on_cycles, schema))
+        if large.isEmpty():
+            break
+        closing, rows = _cut_by_weight(rows.join(large, "g", "left_semi"))
+        gone.append(closing)
+    return now.join(reduce(DataFrame.unionByName, gone), ["src", "dst", "weight"], "left_anti").select(*edges.columns)
+
+
+def transitive_reduction(edges: DataFrame) -> DataFrame:
+    """Edges of a DAG for which no longer path exists.
+
+    Nodes are covered by chains of edges that climb one layer each (``layers``). A node's label is the least layer that it
+    reaches on each chain, which stands for all it reaches there: rows follow nodes times the chains met (one, where an
+    order is total), not pairs of nodes. Labels are handed down each chain, in rounds of the logarithm of its length, then
+    composed with themselves, until they hold. An edge goes if a successor of its source reaches its target. Edges that climb one layer always stay.
+
+    Raises if there is a cycle. Repeated edges stay or go together; edges with a null end are kept.
     """
-    pairs = edges.select("src", "dst").distinct()
-    closure = materialize(pairs)
-    size = closure.count()
-    for _ in range(rounds):
-        step = closure.alias("a").join(closure.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        closure = materialize(closure.unionByName(step).distinct())
-        now = closure.count()
-        if now == size:
+    pairs = written(_ends_known(edges).select("src", "dst").distinct())
+    layer = layers(pairs)
+    if not layer.where(F.col("layer").isNull()).isEmpty():
+        raise ValueError("the graph has a cycle")
+    of = lambda c, name: layer.select(F.col("node").alias(c), F.col("layer").alias(name))
+    ranked = written(pairs.join(of("src", "ls"), "src").join(of("dst", "ld"), "dst"))
+    up = ranked.where(F.col("ld") == F.col("ls") + 1).groupBy(F.col("dst").alias("node")).agg(F.max("src").alias("parent"))
+    only = up.groupBy("parent").agg(F.max("node").alias("node"))  # one successor on the chain
+    chains = _follow(layer.select("node").join(only, "node", "left")).select("node", F.col("end").alias("chain"))
+    label = written(chains.join(layer, "node").withColumnRenamed("layer", "at"))
+    place = label.select(F.col("node").alias("dst"), "chain", F.col("at").alias("low"))
+    own = label.select("node", F.col("chain").alias("own"), "at")
+    least = lambda rows: written(rows.groupBy("node", "own", "at", "chain").agg(F.min("low").alias("low")))
+    reached = least(pairs.join(place, "dst").select(F.col("src").alias("node"), "chain", "low").join(own, "node"))
+    deepest = label.agg(F.max("at")).first()[0] or 0
+    while True:
+        step = 1
+        while step <= deepest:  # what later nodes of its chain reach, a node reaches too: twice as far each time
+            before = own.select(F.col("node").alias("earlier"), "own", F.col("at").alias("at0"))
+            pushed = reached.withColumn("at0", F.col("at") - step).join(before, ["own", "at0"]).select(F.col("earlier").alias("node"), "own", F.col("at0").alias("at"), "chain", "low")
+            reached, step = least(reached.unionByName(pushed)), step * 2
+        size = tuple(reached.agg(F.count("*"), F.sum("low")).first())
+        via = own.select(F.col("node").alias("via"), F.col("own").alias("chain"), F.col("at").alias("low"))
+        further = reached.select(F.col("node").alias("via"), F.col("chain").alias("chain2"), F.col("low").alias("low2"))
+        composed = reached.join(via, ["chain", "low"]).join(further, "via").select("node", "own", "at", F.col("chain2").alias("chain"), F.col("low2").alias("low"))
+        reached = least(reached.unionByName(composed))
+        if tuple(reached.agg(F.count("*"), F.sum("low")).first()) == size:
             break
-        size = now
-    else:
-        raise RuntimeError(f"closure did not settle in {rounds} rounds")
-    longer = pairs.alias("a").join(closure.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")).distinct()
-    return edges.join(longer, ["src", "dst"], "left_anti")
-
-
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): least node of each weakly connected component, by least neighbours and pointer jumping."""
-    both = materialize(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    label = materialize(nodes_of(edges).select("node", F.col("node").alias("label")))
-    for _ in range(rounds):
-        near = both.join(label, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("label").alias("m"))
-        hooked = label.join(near, F.col("node") == F.col("src"), "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"))
-        hooked = materialize(hooked)
-        jump = hooked.alias("a").join(hooked.select(F.col("node").alias("n2"), F.col("label").alias("l2")), F.col("a.label") == F.col("n2")).select("node", F.least("label", "l2").alias("label"))
-        new = materialize(jump)
-        changed = new.join(label.select("node", F.col("label").alias("old")), "node").where("label <> old").limit(1).count()
-        label = new
-        if not changed:
-            return label.select("node", F.col("label").alias("component"))
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    reached = reached.select("node", "chain", "low")
+    far = ranked.where(F.col("ld") > F.col("ls") + 1)
+    twice = pairs.join(far.select("src").distinct(), "src", "left_semi").join(reached.withColumnRenamed("node", "dst"), "dst").groupBy("src", "chain").agg(F.min("low").alias("low"))
+    longer = far.join(chains.withColumnRenamed("node", "dst"), "dst").join(twice, ["src", "chain"]).where(F.col("low") <= F.col("ld"))
+    return edges.join(longer.select("src", "dst"), ["src", "dst"], "left_anti")
+
+
+def _toward_least(directed: DataFrame) -> DataFrame:
+    """(u, v, m) of (u, v): m is the least of u and all its v. A hub's least is found map-side, and its rows are split by the skew join."""
+    least = directed.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return directed.join(least, "u")
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component): the least node of each weakly connected component.
+
+    Alternating star rounds: the larger neighbours of each node, then the smaller ones, are linked to the least of all, and
+    in the end each component is a star around its least node. No round joins on the component, whose one key may hold most
+    nodes; rounds grow with the logarithm of the nodes.
+
+    Edges with a null end are ignored; a node with nothing but a loop is a component. No edges give no rows.
+    """
+    known = written(_ends_known(edges).select("src", "dst").distinct())
+    now = written(known.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    before = None
+    while True:
+        size = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+        if size == before:
+            break
+        before = size
+        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        large = _toward_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = _toward_least(large)
+        pairs = small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        now = written(pairs.where("a <> b").distinct())
+    rest = nodes_of(known).join(now.select(F.col("a").alias("node")), "node", "left_anti")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(rest.select("node", F.col("node").alias("component")))
 
 
 def edge_provenance_audit(edges: DataFrame, keys: tuple[str, ...] = ("relation_type",)) -> DataFrame:
