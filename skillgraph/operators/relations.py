@@ -25,7 +25,11 @@ def e_pre_raw(train: DataFrame, confidence: float = 0.5) -> DataFrame:
 
 
 def top_k_out(edges: DataFrame, k: int = 5, by: tuple[str, ...] = ("weight",), keys: tuple[str, ...] = ()) -> DataFrame:
-    """The ``k`` outgoing edges of each source with the largest ``by``, ties to the smaller dst."""
+    """The ``k`` outgoing edges of each source with the largest ``by``, ties to the smaller dst.
+
+    Two phases: as the bound is a literal, each task keeps k rows a source before the shuffle, so a hub with very many
+    edges sends k of them from each task. Sources with fewer edges keep all; null weights come last.
+    """
     w = Window.partitionBy(*keys, "src").orderBy(*[F.desc(c) for c in by], "dst")
     return edges.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
 
@@ -166,16 +170,16 @@ def mirror_edges(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return both.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def _in_either_top(pairs: DataFrame, k: Column, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs that are among the ``k`` of largest weight of either end."""
+def _in_either_top(pairs: DataFrame, k: Column, bound: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs that are among the ``k`` of largest weight of either end; ``bound`` is the largest k, by which tasks keep few rows of a hub."""
     ends = pairs.withColumn("__u", F.explode(F.array("src", "dst")))
     w = Window.partitionBy(*keys, "__u").orderBy(F.desc("weight"), "src", "dst")
-    return ends.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__u", "__r").distinct()
+    return ends.withColumn("__r", F.row_number().over(w)).where((F.col("__r") <= bound) & (F.col("__r") <= k)).drop("__u", "__r").distinct()
 
 
 def e_co_controlled(train: DataFrame, k_min: int = 3, pmi_min: float = 0.25, top_k: int = 50, mirrored: bool = True) -> DataFrame:
     """Co-occurrence of PMI >= ``pmi_min`` cut to the top-k neighbour lists of either endpoint, then mirrored."""
-    kept = _in_either_top(e_co(train, k_min, pmi_min, strict=False), F.lit(top_k))
+    kept = _in_either_top(e_co(train, k_min, pmi_min, strict=False), F.lit(top_k), top_k)
     return mirror_edges(kept) if mirrored else kept
 
 
@@ -190,7 +194,8 @@ def e_co_sensitivity(train: DataFrame, grid: list[tuple[int, float, int]]) -> Da
     pairs = co_pairs(train).withColumnRenamed("pmi", "weight")
     rows = pairs.crossJoin(F.broadcast(configs)).where((F.col("support_count") >= F.col("k_min")) & (F.col("weight") > 0) & (F.col("weight") >= F.col("pmi_min")))
     keys = ("k_min", "pmi_min", "top_k")
-    kept = _in_either_top(rows, F.when(F.col("top_k") == 0, F.lit(2**31 - 1)).otherwise(F.col("top_k")), keys)
+    ranked = _in_either_top(rows.where("top_k > 0"), F.col("top_k"), max(top for _, _, top in grid), keys)
+    kept = ranked.unionByName(rows.where("top_k = 0"))
     q = F.percentile("weight", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     stats = kept.groupBy(*keys).agg(F.count("*").alias("edges"), F.avg("weight").alias("pmi_mean"), q.alias("q"))
     covered = kept.select(*keys, F.explode(F.array("src", "dst")).alias("v")).distinct().groupBy(*keys).agg(F.count("*").alias("covered"))
@@ -266,7 +271,7 @@ def node_drop(edges: DataFrame, p: float, seed: int) -> DataFrame:
 def topk_similarity_table(edges: DataFrame, ks: tuple[int, ...] = (3, 5, 10, 20)) -> DataFrame:
     """Nodes, edges, density, mean and median weight of the top-k similarity graph, per k."""
     w = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
-    ranked = edges.withColumn("__r", F.row_number().over(w))
+    ranked = edges.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= max(ks))
     rows = ranked.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where(F.col("__r") <= F.col("k"))
     nodes = rows.select("k", F.explode(F.array("src", "dst")).alias("v")).distinct().groupBy("k").agg(F.count("*").alias("nodes"))
     stats = rows.groupBy("k").agg(F.count("*").alias("edges"), F.avg("weight").alias("avg_score"), F.median("weight").alias("median_score"))

@@ -324,3 +324,12 @@ def test_pairs_of_a_large_learner_are_dealt_in_blocks(spark, monkeypatch):
     got = sorted((r["src"], r["dst"]) for r in relations.pairs_sharing(own, "learner_id").collect())
     names = sorted(f"s{i}" for i in range(11))
     assert got == sorted([(a, b) for i, a in enumerate(names) for b in names[i + 1 :]] + [("s1", "s2")])
+
+
+def test_a_hub_sends_few_edges_of_each_task(spark):
+    hub = spark.range(20_000).select(F.when(F.col("id") % 1000 == 0, "other").otherwise("hub").alias("src"), F.format_string("n%05d", "id").alias("dst"), (F.col("id") * 7919 % 20_000).cast("double").alias("weight")).repartition(4)
+    top = relations.top_k_out(hub, 5)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan(top) and "WindowGroupLimit" in plan(relations.topk_similarity_table(hub))
+    assert sorted(r["weight"] for r in top.where("src = 'hub'").collect()) == [float(x) for x in range(19_995, 20_000)]
+    assert {r["k"]: r["edges"] for r in relations.topk_similarity_table(hub).collect()} == {3: 6, 5: 10, 10: 20, 20: 40}
