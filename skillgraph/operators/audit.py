@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,11 +193,37 @@ def validate_outputs(edge_audit: DataFrame, report: DataFrame, tables: dict[str,
 
 
 def phrase_scan(documents: DataFrame, phrases: list[tuple[str, str]], spark: SparkSession | None = None) -> DataFrame:
-    """(phrase, action, occurrences, documents, status) over all texts, counted without case and without overlap."""
+    """(phrase, action, occurrences, documents, status) over all texts, counted without case and without overlap of a phrase with itself.
+
+    One pass over each text finds all phrases together (Aho-Corasick), so more phrases cost little; a task sends one row
+    per phrase that it has seen. Phrases that stand nowhere have a row of zeros. Null texts hold none; an empty phrase
+    raises; phrases that differ in case only are counted each.
+    """
     spark = spark or documents.sparkSession
-    table = F.broadcast(spark.createDataFrame(phrases, "phrase string, action string"))
-    text = F.lower("text")
-    count = ((F.length(text) - F.length(F.replace(text, F.lower("phrase"), F.lit("")))) / F.length("phrase")).cast("long")
-    found = documents.select("text").crossJoin(table).select("phrase", "action", count.alias("c"))
-    sums = found.groupBy("phrase", "action").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("occurrences"), _count(F.col("c") > 0).alias("documents"))
-    return sums.withColumn("status", F.when(F.col("occurrences") == 0, "PASS").otherwise(F.col("action")))
+    if not all(p for p, _ in phrases):
+        raise ValueError("a phrase is empty")
+    numbered = spark.createDataFrame([(i, p, a) for i, (p, a) in enumerate(phrases)], "i int, phrase string, action string")
+    lowered = {r["i"]: r["low"] for r in numbered.select("i", F.lower("phrase").alias("low")).collect()}  # a row per given phrase
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder, named = ahocorasick.Automaton(), sorted(set(lowered.values()))
+        for k, low in enumerate(named):
+            finder.add_word(low, (k, len(low)))
+        finder.make_automaton()
+        occurrences, holding = [0] * len(named), [0] * len(named)
+        for batch in batches:
+            for text in batch.column(0):
+                free: dict[int, int] = {}  # by phrase, the place after its last occurrence
+                for end, (k, n) in finder.iter(text.as_py() or ""):
+                    if end - n + 1 >= free.get(k, 0):
+                        holding[k] += k not in free
+                        free[k] = end + 1
+                        occurrences[k] += 1
+        place = {low: k for k, low in enumerate(named)}
+        rows = [(i, occurrences[place[low]], holding[place[low]]) for i, low in lowered.items() if occurrences[place[low]]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([], [], []), (pa.int32(), pa.int64(), pa.int64()))], names=["i", "c", "d"])
+
+    found = documents.select(F.lower("text").alias("text")).mapInArrow(scan, "i int, c long, d long") if phrases else spark.createDataFrame([], "i int, c long, d long")
+    sums = found.groupBy("i").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
+    counts = numbered.join(sums, "i", "left").select("phrase", "action", F.coalesce("c", F.lit(0)).alias("occurrences"), F.coalesce("d", F.lit(0)).alias("documents"))
+    return counts.withColumn("status", F.when(F.col("occurrences") == 0, "PASS").otherwise(F.col("action")))

@@ -333,3 +333,16 @@ def test_a_hub_sends_few_edges_of_each_task(spark):
     assert "WindowGroupLimit" in plan(top) and "WindowGroupLimit" in plan(relations.topk_similarity_table(hub))
     assert sorted(r["weight"] for r in top.where("src = 'hub'").collect()) == [float(x) for x in range(19_995, 20_000)]
     assert {r["k"]: r["edges"] for r in relations.topk_similarity_table(hub).collect()} == {3: 6, 5: 10, 10: 20, 20: 40}
+
+
+def test_many_phrases_in_one_pass(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abAB ") for _ in range(rng.randrange(1, 5)))
+    texts = ["".join(word() for _ in range(60)) for _ in range(30)] + [None, "", "aaaaa", "ÀÉ straße ÀÉ"]
+    phrases = [(p, "FAIL") for p in sorted({word() for _ in range(400)} | {"aa", "AA", "àé", "nowhere"})]
+    got = {r["phrase"]: (r["occurrences"], r["documents"], r["status"]) for r in audit.phrase_scan(spark.createDataFrame([(t,) for t in texts], "text string"), phrases).collect()}
+    counts = {p: [(t or "").lower().count(p.lower()) for t in texts] for p, _ in phrases}
+    assert got == {p: (sum(c), sum(map(bool, c)), "FAIL" if sum(c) else "PASS") for p, c in counts.items()}
+    assert audit.phrase_scan(spark.createDataFrame([], "text string"), [("x", "WARN")]).collect()[0]["status"] == "PASS"
+    with pytest.raises(ValueError):
+        audit.phrase_scan(spark.createDataFrame([], "text string"), [("", "WARN")])
