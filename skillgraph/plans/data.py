@@ -113,7 +113,33 @@ def _(v: Views):
 @query("a14_resolve_columns", "SELECT l_suppkey AS src, l_partkey AS dst, count(*) AS weight FROM lineitem GROUP BY 1, 2")
 def _(v: Views):
     df = v.table("lineitem").groupBy(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target")).agg(F.count("*").alias("score"))
-    return tables.resolve_columns(df, {k: a for k, a in tables.schemas.ALIASES.items() if k in ("src", "dst", "weight")})
+    return tables.resolve_columns(df, "co_occurrence")
+
+
+@query("a14_resolve_scores", "SELECT l_suppkey AS src, l_partkey AS dst, max(l_quantity)::DOUBLE AS score, count(*) AS weight FROM lineitem GROUP BY 1, 2")
+def _(v: Views):
+    # a table with score and weight: prerequisite scores take the first, co-occurrence would take the second
+    df = v.table("lineitem").groupBy(F.col("l_suppkey").alias("pre"), F.col("l_partkey").alias("Target")).agg(F.max("l_quantity").cast("double").alias("score"), F.count("*").alias("weight"))
+    return tables.resolve_columns(df, "prerequisite_scores")
+
+
+@query("a14_resolve_predictions", "SELECT interaction_id, skill_id, y_true, y_pred, variant AS target FROM tp WHERE seed = 7", "tp")
+def _(v: Views):
+    df = v.test_preds.where("seed = 7").select("interaction_id", F.col("skill_id").alias("concept_id"), F.col("y_true").alias("label"), F.col("y_pred").alias("prob"), F.col("variant").alias("target"))
+    return tables.resolve_columns(df, "predictions")
+
+
+@query("a14_resolve_interactions", "SELECT learner_id, question_id, skill_id, interaction_id AS learner_id_given, correct FROM train", "train")
+def _(v: Views):
+    # user_id comes before learner_id, which is another column here and steps aside
+    df = v.train.select(F.col("learner_id").alias("user_id"), F.col("interaction_id").alias("learner_id"), F.col("question_id").alias("problem_id"), F.col("skill_id").alias("KC_id"), "correct")
+    return tables.resolve_columns(df, "interactions")
+
+
+@query("a14_resolve_degree_edges", "SELECT src, dst, step AS src_given FROM pre", "pre")
+def _(v: Views):
+    df = v.pre.select(F.col("src").alias("src_skill_id"), F.col("dst").alias("target"), F.col("step").alias("src"))
+    return tables.resolve_columns(df, "degree_edges")
 
 
 _TREE = "dataset", "fold", "seed", "model", "variant"
@@ -152,14 +178,15 @@ def _(v: Views):
 
 @query(
     "a18_union_edge_tables",
-    "SELECT relation_type, count(*) AS n_edges, sum(support_count)::BIGINT AS support, min(construction_method) AS construction_method FROM (SELECT 'sim' AS relation_type, support_count, 'default' AS construction_method FROM sim UNION ALL SELECT 'co', 0, 'pmi' FROM co) GROUP BY 1",
+    "SELECT relation_type, count(*) AS n_edges, sum(support_count)::BIGINT AS support, min(construction_method) AS construction_method, count(DISTINCT src) AS sources FROM (SELECT 'sim' AS relation_type, src, support_count, 'default' AS construction_method FROM sim UNION ALL SELECT 'co', src, 0, 'pmi' FROM co) GROUP BY 1",
     "sim", "co",
 )
 def _(v: Views):
     a = v.sim.withColumn("relation_type", F.lit("sim"))
     b = v.co.select(F.col("src").alias("from"), F.col("dst").alias("to"), F.col("weight").alias("pmi"), F.lit("co").alias("relation_type"), F.lit("pmi").alias("construction_method"))
-    both = tables.union_edge_tables(a, b, renamed={k: tables.schemas.ALIASES[k] for k in ("src", "dst", "weight")}, defaults={"support_count": 0, "construction_method": "default"})
-    return both.groupBy("relation_type").agg(F.count("*").alias("n_edges"), F.sum("support_count").alias("support"), F.min("construction_method").alias("construction_method"))
+    names = tables.schemas.CONTEXTS["prerequisite_scores"]
+    both = tables.union_edge_tables(a, b, renamed={"src": names["src"], "dst": names["dst"], "weight": tables.schemas.CONTEXTS["co_occurrence"]["weight"]}, defaults={"support_count": 0, "construction_method": "default"})
+    return both.groupBy("relation_type").agg(F.count("*").alias("n_edges"), F.sum("support_count").alias("support"), F.min("construction_method").alias("construction_method"), F.countDistinct("src").alias("sources"))
 
 
 @query(
@@ -218,6 +245,58 @@ def _(v: Views):
     return splits.fingerprint(v.split, ["split"], ["interaction_id", "learner_id", "skill_id", "correct"])
 
 
+def _digest_sql(rows: str, keys: str, columns: list[str]) -> str:
+    """The order-free SHA-256 of ``rows`` per ``keys``: sums of 16-bit limbs, carried from the last to the first."""
+    text = " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in columns)
+    sums = ", ".join(f"sum(('0x' || substr(h, {4 * i + 1}, 4))::BIGINT)::BIGINT AS v{i}" for i in range(16))
+    sql = f"SELECT {keys}, count(*) AS n_rows, {sums} FROM (SELECT {keys}, sha256({text}) AS h FROM {rows}) GROUP BY ALL"
+    for i in reversed(range(15)):
+        sql = f"SELECT * REPLACE (v{i} + v{i + 1} // 65536 AS v{i}) FROM ({sql})"
+    digits = " || ".join(f"format('{{:04x}}', v{i} % 65536)" for i in range(16))
+    return f"SELECT {keys}, n_rows, sha256(n_rows || '|' || {digits}) AS sha256 FROM ({sql})"
+
+
+_ROW_COLUMNS = ["interaction_id", "learner_id", "question_id", "skill_id", "timestamp", "correct"]
+_EDGE_COLUMNS = ["src", "dst", "support_count"]
+
+
+@query("b5_content_digest", _digest_sql("sp", "fold, split", _ROW_COLUMNS), "sp")
+def _(v: Views):
+    return splits.content_digest(v.split, ["fold", "split"], _ROW_COLUMNS)
+
+
+def _manifest_sql(edges: str) -> str:
+    splits_of = ", ".join(f"max(sha256) FILTER (split = '{s}') AS {s}_hash" for s in ("train", "valid", "test"))
+    return f"""SELECT fold, relation_type, coalesce(e.n_rows, 0) AS num_edges, coalesce(e.sha256, sha256('0|' || repeat('0', 64))) AS edges_sha256, train_interactions_count, train_hash, valid_hash, test_hash
+FROM (SELECT fold, max(n_rows) FILTER (split = 'train') AS train_interactions_count, {splits_of} FROM ({_digest_sql("sp", "fold, split", _ROW_COLUMNS)}) GROUP BY 1)
+CROSS JOIN (VALUES ('pre'), ('sim'), ('co'), ('none')) r(relation_type) LEFT JOIN ({_digest_sql(edges, "fold, relation_type", _EDGE_COLUMNS)}) e USING (fold, relation_type)"""
+
+
+_FOLD_EDGES = "(SELECT 0 AS fold, * FROM edges)"
+
+
+@query("b5_provenance_manifest", _manifest_sql(_FOLD_EDGES), "edges", "sp")
+def _(v: Views):
+    return splits.provenance_manifest(v.edges.withColumn("fold", F.lit(0)), v.split, ["fold"], ["pre", "sim", "co", "none"], _EDGE_COLUMNS)
+
+
+_OTHER_EDGES = "(SELECT 0 AS fold, * REPLACE (CASE WHEN relation_type = 'co' THEN support_count + 1 ELSE support_count END AS support_count) FROM edges)"
+
+
+@query(
+    "b5_compare_manifests",
+    f"""SELECT fold, relation_type, CASE WHEN a.edges_sha256 = b.edges_sha256 THEN 'SAME' ELSE 'CHANGED' END AS edges, CASE WHEN a.train_hash = b.train_hash THEN 'SAME' ELSE 'CHANGED' END AS train,
+CASE WHEN a.edges_sha256 = b.edges_sha256 AND a.train_hash = b.train_hash THEN 'PASS' ELSE 'CHANGED' END AS status FROM ({_manifest_sql(_FOLD_EDGES)}) a JOIN ({_manifest_sql(_OTHER_EDGES)}) b USING (fold, relation_type)""",
+    "edges", "sp",
+)
+def _(v: Views):
+    # the same graphs after the supports of one relation were changed
+    split, edges = materialize(v.split), materialize(v.edges.withColumn("fold", F.lit(0)))
+    other = edges.withColumn("support_count", F.when(F.col("relation_type") == "co", F.col("support_count") + 1).otherwise(F.col("support_count")))
+    manifest = lambda e: splits.provenance_manifest(e, split, ["fold"], ["pre", "sim", "co", "none"], _EDGE_COLUMNS)
+    return splits.compare_manifests(manifest(edges), manifest(other), ["fold"])
+
+
 @query(
     "b6_split_overlap_audit",
     """SELECT c AS id_column, count(*) FILTER (n > 1) AS overlapping, CASE WHEN count(*) FILTER (n > 1) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (

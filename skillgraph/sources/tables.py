@@ -87,8 +87,29 @@ def head_sample(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def resolve_columns(df: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
-    return with_columns_named(df, aliases or schemas.ALIASES)
+def resolve_columns(df: DataFrame, context: str) -> DataFrame:
+    """``df`` with the columns of a kind of table (``schemas.CONTEXTS``) under their standard names.
+
+    The first alternative that is present is taken, in any case of letters. Where the standard name belongs to another
+    column, that one moves to ``<name>_given``. Columns of other kinds stay: ``target`` is an end of an edge in edge
+    tables and nothing in predictions. What is missing is told by ``missing_columns``.
+    """
+    have = {c.lower(): c for c in df.columns}
+    chosen = {have[found.lower()]: name for name, found in _chosen(df, context).items()}
+    taken = {name.lower() for name in chosen.values()}
+    return df.select(*[F.col(f"`{c}`").alias(chosen[c] if c in chosen else c + "_given" if c.lower() in taken else c) for c in df.columns])
+
+
+def missing_columns(df: DataFrame, context: str) -> list[str]:
+    """Standard names of a kind of table for which ``df`` has no column, in the order of the kind; only the schema is read."""
+    found = _chosen(df, context)
+    return [name for name in schemas.CONTEXTS[context] if name not in found]
+
+
+def _chosen(df: DataFrame, context: str) -> dict[str, str]:
+    have = {c.lower() for c in df.columns}
+    firsts = {name: next((n for n in names if n.lower() in have), None) for name, names in schemas.CONTEXTS[context].items()}
+    return {name: found for name, found in firsts.items() if found is not None}
 
 
 def read_run_tree(spark: SparkSession, root: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Hand fixtures: small graphs, logs and statistics worked out on paper."""
 
+import hashlib
 import math
 import random
 
@@ -346,3 +347,52 @@ def test_many_phrases_in_one_pass(spark):
     assert audit.phrase_scan(spark.createDataFrame([], "text string"), [("x", "WARN")]).collect()[0]["status"] == "PASS"
     with pytest.raises(ValueError):
         audit.phrase_scan(spark.createDataFrame([], "text string"), [("", "WARN")])
+
+
+def test_columns_are_named_by_the_kind_of_table(spark):
+    one = lambda columns: spark.createDataFrame([tuple(range(len(columns)))], columns)
+    scores = tables.resolve_columns(one(["pre", "target", "weight", "score"]), "prerequisite_scores")
+    assert scores.first().asDict() == {"src": 0, "dst": 1, "weight": 2, "score": 3}
+    co = tables.resolve_columns(one(["kc_i", "kc_j", "score", "PMI", "split"]), "co_occurrence")
+    assert co.first().asDict() == {"src": 0, "dst": 1, "score": 2, "weight": 3, "support_split": 4}
+    # target is no truth of a prediction; from and to are no ends of a co-occurrence
+    assert tables.missing_columns(one(["target", "prob", "kc_id"]), "predictions") == ["y_true"]
+    assert tables.missing_columns(one(["from", "to", "weight"]), "co_occurrence") == ["src", "dst", "support_split"]
+    clash = tables.resolve_columns(one(["learner_id", "user_id", "qid"]), "interactions")
+    assert clash.first().asDict() == {"learner_id_given": 0, "learner_id": 1, "question_id": 2}
+    assert tables.resolve_columns(one(["a.b", "uid"]), "interactions").columns == ["a.b", "learner_id"]
+
+
+def plain_digest(found):
+    texts = ["".join("-" if x is None else f"{len(str(x))}:{x}" for x in row) for row in found]
+    total = sum(int(hashlib.sha256(t.encode()).hexdigest(), 16) for t in texts) % 2**256
+    return hashlib.sha256(f"{len(found)}|{total:064x}".encode()).hexdigest()
+
+
+def test_content_digest(spark):
+    rng = random.Random(5)
+    data = [("k", rng.choice(["a", "é", None, "", "1:a", "🜂x"]), rng.choice([None, 1, 22])) for _ in range(3000)] + [("j", "a", 1)]
+    df = spark.createDataFrame(data, "k string, a string, b int")
+    got = {r["k"]: (r["n_rows"], r["sha256"]) for r in splits.content_digest(df.repartition(7), ["k"], ["a", "b"]).collect()}
+    want = {k: [r[1:] for r in data if r[0] == k] for k in "kj"}
+    assert got == {k: (len(v), plain_digest(v)) for k, v in want.items()}
+    digest = lambda found: splits.content_digest(spark.createDataFrame(found, "a string, b string"), [], ["a", "b"]).first()["sha256"]
+    # repeats, nulls and the border between columns count; order does not
+    assert digest([("x", "y"), ("z", None)]) == digest([("z", None), ("x", "y")])
+    assert len({digest(t) for t in ([("ab", "c")], [("a", "bc")], [("a", None)], [("a", "")], [(None, "a")], [("ab", "c")] * 2, [])}) == 7
+
+
+def test_manifest_finds_what_changed(spark, log):
+    named = log.withColumn("split", F.when(F.col("learner_id") == "d", "test").otherwise("train")).withColumn("fold", F.lit(0))
+    edges = relations.e_co(log, 1, -9.0).withColumns({"relation_type": F.lit("co"), "fold": F.lit(0)})
+    manifest = lambda e, r, names=("co", "sim"): splits.provenance_manifest(e, r, ["fold"], list(names), ["src", "dst", "support_count"])
+    first = manifest(edges, named)
+    got = {r["relation_type"]: r for r in first.collect()}
+    assert (got["co"]["num_edges"], got["sim"]["num_edges"], got["co"]["train_interactions_count"]) == (3, 0, 6)
+    assert got["sim"]["edges_sha256"] == got["co"]["valid_hash"] == plain_digest([])
+    status = lambda other: {r["relation_type"]: r["status"] for r in splits.compare_manifests(first, other, ["fold"]).collect()}
+    assert status(manifest(edges.repartition(5), named.repartition(3))) == {"co": "PASS", "sim": "PASS"}
+    assert status(manifest(edges.where("src <> 'x'"), named)) == {"co": "CHANGED", "sim": "PASS"}
+    flipped = named.withColumn("correct", F.when(F.col("interaction_id") == "1", 0).otherwise(F.col("correct")))
+    assert status(manifest(edges, flipped)) == {"co": "STALE", "sim": "STALE"}
+    assert status(manifest(edges, named, ("co", "pre"))) == {"co": "PASS", "sim": "MISSING", "pre": "NEW"}
