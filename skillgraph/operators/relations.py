@@ -95,28 +95,41 @@ def e_pre_variants(
 PAIR_BLOCK = 2000
 
 
-def pairs_sharing(own: DataFrame, key: str) -> DataFrame:
+def pairs_sharing(own: DataFrame, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """(src, dst) with src < dst, once for every ``key`` that holds both skills, of distinct rows ``own(key, skill_id)``.
 
     A key with more than PAIR_BLOCK skills is cut into blocks, and each pair of its blocks is a group of its own.
+    Columns in ``carry`` come along as src_<column> and dst_<column>.
     """
-    large = own.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > PAIR_BLOCK)
-    blocks = F.coalesce(F.ceil(F.col("n") / PAIR_BLOCK), F.lit(1).cast("long"))
-    dealt = own.join(large, key, "left").select(key, "skill_id", F.pmod(F.xxhash64("skill_id"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    dealt = dealt.select(key, "skill_id", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    large = own.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > PAIR_BLOCK).select(key, F.ceil(F.col("n") / PAIR_BLOCK).alias("blocks"))
+    blocks = F.coalesce("blocks", F.lit(1).cast("long"))
+    dealt = own.join(large, key, "left").select(key, "skill_id", *carry, F.pmod(F.xxhash64("skill_id"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    dealt = dealt.select(key, "skill_id", *carry, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     a, b = dealt.where("own = i").alias("a"), dealt.where("own = j").alias("b")
-    met = a.join(b, [key, "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("a.skill_id") < F.col("b.skill_id")))
-    return met.select(F.least("a.skill_id", "b.skill_id").alias("src"), F.greatest("a.skill_id", "b.skill_id").alias("dst"))
+    ascending = F.col("a.skill_id") < F.col("b.skill_id")
+    met = a.join(b, [key, "i", "j"]).where((F.col("i") < F.col("j")) | ascending)
+    carried = [F.when(ascending == first, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(f"{end}_{c}") for end, first in (("src", F.lit(True)), ("dst", F.lit(False))) for c in carry]
+    return met.select(F.least("a.skill_id", "b.skill_id").alias("src"), F.greatest("a.skill_id", "b.skill_id").alias("dst"), *carried)
+
+
+#: From this similarity on, prefixes leave out enough of the sets to be worth placing their elements.
+PREFIX_FROM = 0.5
 
 
 def e_sim(train: DataFrame, theta: float = 0.1) -> DataFrame:
     """Jaccard similarity of the skills' question sets, at least ``theta`` > 0, src < dst; support is the intersection.
 
-    Only pairs that share a question meet, by an equi-join on it.
+    Only pairs that share a question meet, by an equi-join on it; from PREFIX_FROM on only those that share one of the
+    rare questions by which a pair of that similarity must meet (``similarity.similar_sets``). Both give the same rows.
+    Rows without a skill or a question do not count.
     """
     if theta <= 0:
         raise ValueError("theta must be above 0: pairs without a shared question are not built")
-    own = train.select("skill_id", "question_id").distinct()
+    if theta >= PREFIX_FROM:
+        from .similarity import similar_sets
+
+        return similar_sets(train, theta)
+    own = train.select("skill_id", "question_id").na.drop().distinct()
     sizes = own.groupBy("skill_id").agg(F.count("*").alias("n"))
     shared = pairs_sharing(own, "question_id").groupBy("src", "dst").agg(F.count("*").alias("support_count"))
     both = shared.join(sizes.select(F.col("skill_id").alias("src"), F.col("n").alias("n1")), "src").join(sizes.select(F.col("skill_id").alias("dst"), F.col("n").alias("n2")), "dst")

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .._session import materialize
+from ..functions.columns import hashed_unit
 from ..functions.ranking import global_row_number
-from ..operators import graph, relations
+from ..operators import graph, relations, similarity
 from .fixtures import SEED, Views, four_places_sql, query, unit_sql
 
 
@@ -100,6 +101,48 @@ def _(v: Views):
     return v.sim
 
 
+# learners as sets of questions, and a copy of each that lacks about a tenth of them
+_COPIES = f"""lq AS (SELECT DISTINCT learner_id AS skill_id, question_id FROM ix UNION ALL SELECT DISTINCT learner_id || '-copy', question_id FROM ix WHERE {unit_sql("learner_id || '|' || question_id")} >= 0.1::DOUBLE),
+lqn AS (SELECT skill_id, count(*) AS n FROM lq GROUP BY 1)"""
+_THETA = 0.7
+
+
+def _learner_sets(v: Views):
+    own = v.ix.select(F.col("learner_id").alias("skill_id"), "question_id").distinct()
+    copies = own.where(hashed_unit(F.col("skill_id"), F.col("question_id")) >= 0.1).withColumn("skill_id", F.concat("skill_id", F.lit("-copy")))
+    return own.unionByName(copies)
+
+
+_SHARING = """(SELECT a.skill_id AS src, b.skill_id AS dst, x.n AS n1, y.n AS n2, count(*) AS c FROM lq a JOIN lq b ON a.question_id = b.question_id AND a.skill_id < b.skill_id
+JOIN lqn x ON x.skill_id = a.skill_id JOIN lqn y ON y.skill_id = b.skill_id GROUP BY 1, 2, 3, 4)"""
+
+
+@query(
+    "d9_e_sim_prefix",
+    f"WITH {_COPIES} SELECT src, dst, c::DOUBLE / (n1 + n2 - c) AS weight, c AS support_count FROM {_SHARING} WHERE c::DOUBLE / (n1 + n2 - c) >= {_THETA}::DOUBLE", "ix", digits=("weight",),
+)
+def _(v: Views):
+    return relations.e_sim(_learner_sets(v), _THETA)
+
+
+_LEAST = f"ceil({_THETA / (1 + _THETA)!r}::DOUBLE * (n1 + n2) * (1 - 1e-12::DOUBLE))"
+
+
+@query(
+    "d9_similarity_work",
+    f"""WITH {_COPIES}, pl AS (SELECT skill_id, question_id, n, row_number() OVER (PARTITION BY skill_id ORDER BY f, question_id) - 1 AS pos FROM lq JOIN lqn USING (skill_id) JOIN (SELECT question_id, count(*) AS f FROM lq GROUP BY 1) USING (question_id)),
+px AS (SELECT * FROM pl WHERE pos < n - ceil({_THETA}::DOUBLE * n * (1 - 1e-12::DOUBLE)) + 4),
+mt AS (SELECT * FROM (SELECT a.skill_id AS src, b.skill_id AS dst, a.n AS n1, b.n AS n2, a.pos AS i, b.pos AS j FROM px a JOIN px b ON a.question_id = b.question_id AND a.skill_id < b.skill_id)
+WHERE least(n1, n2) >= {_THETA}::DOUBLE * greatest(n1, n2) * (1 - 1e-12::DOUBLE) AND least(i, j) + least(n1 - i, n2 - j) >= {_LEAST})
+SELECT (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM mt)) AS pairs_met,
+(SELECT count(*) FROM (SELECT src, dst, n1, n2, count(*) AS c, max(i) AS i, max(j) AS j FROM mt GROUP BY ALL) WHERE c >= least(4, {_LEAST}) AND c + least(n1 - i, n2 - j) - 1 >= {_LEAST}) AS pairs_verified,
+(SELECT count(*) FROM {_SHARING} WHERE c::DOUBLE / (n1 + n2 - c) >= {_THETA}::DOUBLE) AS pairs_at_theta, (SELECT count(*) FROM {_SHARING}) AS pairs_sharing_a_question""", "ix",
+)
+def _(v: Views):
+    sets = materialize(_learner_sets(v))
+    return similarity.similarity_work(sets, _THETA).crossJoin(relations.pairs_sharing(sets, "question_id").distinct().agg(F.count("*").alias("pairs_sharing_a_question")))
+
+
 @query("d10_e_sim_topk", "SELECT src, dst, weight, support_count FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM sim) WHERE r <= 20", "sim", digits=("weight",))
 def _(v: Views):
     return relations.e_sim_topk(v.sim, 20)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skillgraph.functions.columns import normalize_correct, normalize_id
 from skillgraph.functions.ranking import global_row_number, prefix_sums, quantiles
-from skillgraph.operators import audit, features, graph, metrics, profile, relations, runs, splits
+from skillgraph.operators import audit, features, graph, metrics, profile, relations, runs, similarity, splits
 from skillgraph.sources import tables
 
 LOG = [("1", "a", "q1", "x", 1, 1), ("2", "a", "q2", "y", 2, 0), ("3", "b", "q1", "x", 1, 1), ("4", "b", "q1", "y", 3, 1), ("5", "c", "q3", "z", 5, 0), ("6", "c", "q2", "y", 4, 1), ("7", "d", "q4", "x", 2, 0), ("8", "d", "q5", "z", 9, 1)]
@@ -396,3 +396,42 @@ def test_manifest_finds_what_changed(spark, log):
     flipped = named.withColumn("correct", F.when(F.col("interaction_id") == "1", 0).otherwise(F.col("correct")))
     assert status(manifest(edges, flipped)) == {"co": "STALE", "sim": "STALE"}
     assert status(manifest(edges, named, ("co", "pre"))) == {"co": "PASS", "sim": "MISSING", "pre": "NEW"}
+
+
+def plain_similar(sets, theta):
+    found = {}
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and both / len(sets[a] | sets[b]) >= theta:
+                found[a, b] = both
+    return found
+
+
+@pytest.mark.parametrize("theta", [0.3, 0.5, 0.7, 2 / 3, 1.0])
+def test_similar_sets_match_brute_force(spark, monkeypatch, theta):
+    rng = random.Random(theta)
+    base = [rng.sample(range(60), rng.choice([1, 3, 10, 20])) for _ in range(12)]
+    sets = {f"s{i}": {q if rng.random() > 0.15 else rng.randrange(60) for q in rng.choice(base)} | {99} for i in range(50)}
+    data = [(s, f"q{q}") for s, found in sets.items() for q in found] * 2 + [(None, "q1"), ("s1", None), (None, None)]
+    df = spark.createDataFrame(data, "skill_id string, question_id string")
+    want = plain_similar(sets, theta)
+    assert want
+    for block in (2000, 7):  # question 99 is in every set, and more blocks deal it out
+        monkeypatch.setattr(relations, "PAIR_BLOCK", block)
+        got = {(r["src"], r["dst"]): r["support_count"] for r in similarity.similar_sets(df, theta).collect()}
+        assert got == want
+    assert {(r["src"], r["dst"]): r["support_count"] for r in relations.e_sim(df, theta).collect()} == want
+    work = similarity.similarity_work(df, theta).first()
+    assert work["pairs_at_theta"] == len(want) <= work["pairs_verified"] <= work["pairs_met"] <= 50 * 49 // 2
+    assert similarity.similar_sets(df.limit(0), theta).count() == 0
+
+
+def test_thresholds_on_the_border(spark):
+    # 0.7 x 10 is a hair above 7 in doubles; these sets have exactly 7 of 10 in common
+    data = [("a", f"{q}") for q in range(10)] + [("b", f"{q}") for q in range(7)]
+    df = spark.createDataFrame(data, "skill_id string, question_id string")
+    assert rows(similarity.similar_sets(df, 0.7), "src", "dst", "support_count") == {("a", "b", 7)}
+    assert similarity.similar_sets(df, 0.71).count() == 0
+    with pytest.raises(ValueError):
+        similarity.similar_sets(df, 0)
