@@ -300,14 +300,33 @@ def _(v: Views):
     return features.prior_features(v.ix).select("interaction_id", "skill_id", "prior_correct", "prior_attempts", "success_rate")
 
 
-@query("g6_lr_predict", None)
-def _(v: Views):
+def _lr_rows(v: Views):
     split = materialize(v.split)
     degrees = graph.degree_feature(v.co.withColumn("relation_type", F.lit("co")), v.train, ["co"])
-    rows = materialize(features.prior_features(split, degrees).withColumn("skill_code", F.col("skill_id").cast("double")))
+    return materialize(features.prior_features(split, degrees).withColumn("skill_code", F.col("skill_id").cast("double")))
+
+
+@query("g6_lr_predict", None)
+def _(v: Views):
+    rows = _lr_rows(v)
     return features.lr_predict(rows.where("split = 'train'"), rows.where("split = 'test'"))
 
 
+# At the optimum the fitted probabilities give each feature the sum that the correct answers give it, less the pull of
+# its weight; SQL knows that sum without the fit. Shares of it are compared, as the fit ends within a tolerance.
+@query(
+    "g6_lr_moments",
+    """WITH dg AS (SELECT skill_id, coalesce(d, 0)::DOUBLE / (max(coalesce(d, 0)) OVER ()) AS degree FROM fq LEFT JOIN (SELECT skill_id, count(*) AS d FROM (SELECT unnest([src, dst]) AS skill_id FROM co) GROUP BY 1) USING (skill_id)),
+pr AS (SELECT skill_id, correct, coalesce(sum(correct) OVER w, 0)::DOUBLE / greatest(count(*) OVER w, 1) AS success_rate, count(*) OVER w AS prior_attempts FROM train WINDOW w AS (PARTITION BY learner_id, skill_id ORDER BY timestamp, interaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT feature, sum(x * correct) AS observed, 1.0::DOUBLE AS expected_share FROM (
+SELECT correct, unnest(['skill_code', 'success_rate', 'prior_attempts', 'degree', 'intercept']) AS feature, unnest([skill_id::DOUBLE, success_rate, prior_attempts::DOUBLE, coalesce(degree, 0), 1.0::DOUBLE]) AS x FROM pr LEFT JOIN dg USING (skill_id)) GROUP BY 1""",
+    "fq", "co", digits={"observed": 4, "expected_share": 3},
+)
+def _(v: Views):
+    moments = features.lr_moments(_lr_rows(v).where("split = 'train'"))
+    return moments.select("feature", "observed", (F.col("expected") / F.col("observed")).alias("expected_share"))
+
+
 @query(
     "g7_export_predictions",
     "SELECT interaction_id, skill_id, y_true, y_pred, learner_id AS user_id, question_id AS item_id, 'tpch' AS dataset, 0 AS fold, 'proxy' AS backbone FROM tp JOIN test USING (interaction_id, skill_id) WHERE variant = 'full' AND seed = 7", "tp", "test",

@@ -286,6 +286,34 @@ def test_logistic_predictor(spark):
     assert len(one) == 1 and one[0][0] == pytest.approx(1 - 1e-6)
 
 
+def test_logistic_optimum(spark):
+    rng = random.Random(3)
+    data = [(float(rng.randrange(50)), rng.random(), rng.randrange(9), rng.random()) for _ in range(400)]
+    df = spark.createDataFrame([(*x, int(rng.random() < 1 / (1 + math.exp(1 - 2 * x[1] - x[0] / 60)))) for x in data], "skill_code double, success_rate double, prior_attempts int, degree double, correct int")
+    got = features.lr_moments(df).collect()
+    assert {r["feature"] for r in got} == {*features.FEATURES, "intercept"}
+    assert all(r["expected"] == pytest.approx(r["observed"], rel=1e-3) for r in got)
+    assert features.lr_moments(df.where("correct = 1")).count() == 0
+
+
+def test_one_learner_with_most_rows(spark, monkeypatch):
+    rng = random.Random(9)
+    data = [(f"i{i:04}", None if i % 97 == 0 else "a" if i % 2 else f"l{i % 31}", "q", rng.choice("xy"), rng.randrange(40), rng.randrange(2)) for i in range(1500)]
+    df = spark.createDataFrame(data, COLS)
+    columns = ["interaction_id", "learner_id", "skill_id", "prior_correct", "prior_attempts", "success_rate"]
+    plain = rows(features.prior_features(df), *columns)
+    monkeypatch.setattr(features, "LONG_HISTORY", 100)
+    long = features.prior_features(df)
+    assert rows(long, *columns) == plain and len(plain) == 1500 and long.columns[:6] == df.columns
+    own = sorted((d[4], d[0], d[3], d[5]) for d in data if d[1] == "a")
+    got = {r["learner_id"]: r for r in features.learner_sequences(df).collect()}
+    assert got["a"]["skills"] == [d[2] for d in own[-200:]] and got["a"]["corrects"] == [d[3] for d in own[-200:]] and None not in got
+    steps = {r["place"]: (r["skill_id"], r["next_skill"], r["next_interaction"]) for r in features.next_step_examples(df).where("learner_id = 'a'").collect()}
+    assert steps == {i + 1: (x[2], y[2], y[1]) for i, (x, y) in enumerate(zip(own[-200:], own[-199:]))}
+    plan = features.learner_sequences(df)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan  # rows are cut before the shuffle
+
+
 def test_noise_is_reproducible(spark, log):
     a = rows(relations.inject_label_noise(log, 0.5, 3), "interaction_id", "correct")
     assert a == rows(relations.inject_label_noise(log.repartition(3), 0.5, 3), "interaction_id", "correct")
