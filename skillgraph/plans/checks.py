@@ -38,24 +38,37 @@ def _one_way(v: Views):
     return co.unionByName(back)
 
 
+# edges with another split and edges without a support, planted by the support
+_MARKED = "SELECT src, dst, weight, CASE WHEN support_count % 11 = 0 THEN 'valid' ELSE 'train' END AS source_split, CASE WHEN support_count % 7 <> 0 THEN support_count END AS support_count"
+_MARKS = """count(*) AS edges, avg((source_split = 'train')::INTEGER::DOUBLE) AS train_only_rate, count(*) FILTER (support_count IS NULL) AS unknown_support"""
+_UNPAIRED = "(SELECT count(*) FROM mk a ANTI JOIN mk b ON a.src = b.dst AND a.dst = b.src)"
+
+
+def _marked(edges):
+    n = F.col("support_count")
+    return edges.withColumn("source_split", F.when(n % 11 == 0, "valid").otherwise("train")).withColumn("support_count", F.when(n % 7 != 0, n))
+
+
 @query(
     "f3_symmetry_audit",
-    f"SELECT count(*) AS edges, (SELECT count(*) FROM co WHERE support_count % 5 = 0) AS missing_reverse, 1.0::DOUBLE AS train_only_rate, 0::BIGINT AS unknown_support, CASE WHEN (SELECT count(*) FROM co WHERE support_count % 5 = 0) = 0 THEN 'PASS' ELSE 'FLAG' END AS status FROM {_ONE_WAY}", "co",
+    f"""WITH mk AS ({_MARKED} FROM {_ONE_WAY}), au AS (SELECT {_MARKS}, {_UNPAIRED} AS missing_reverse FROM mk)
+SELECT edges, missing_reverse, train_only_rate, unknown_support, CASE WHEN missing_reverse = 0 AND train_only_rate = 1 AND unknown_support = 0 THEN 'PASS' ELSE 'FLAG' END AS status FROM au""",
+    "co", digits=("train_only_rate",),
 )
 def _(v: Views):
-    return audit.symmetry_audit(_one_way(v))
+    return audit.symmetry_audit(materialize(_marked(_one_way(v))))
 
 
 @query(
     "f4_e_co_provenance",
-    """SELECT 2 * count(*) AS edges, 0::BIGINT AS missing_reverse, 1.0::DOUBLE AS train_only_rate, 0::BIGINT AS unknown_support, avg(weight) AS weight_mean, (SELECT stddev_samp(weight) FROM (SELECT weight FROM co UNION ALL SELECT weight FROM co)) AS weight_std, median(weight) AS weight_median,
-max(weight) AS weight_max, any_value(k) AS sparse_skills, any_value(c) AS covered, any_value(c)::DOUBLE / any_value(k) AS sparse_coverage, 'PASS' AS train_only, 'PASS' AS status
-FROM co, (SELECT count(*) AS k, count(u) AS c FROM fq LEFT JOIN (SELECT DISTINCT unnest([src, dst]) AS u FROM co) ON u = skill_id WHERE n <= 450)""",
-    "co", "fq", digits=("weight_mean", "weight_std", "weight_median", "weight_max", "sparse_coverage"),
+    f"""WITH mk AS ({_MARKED} FROM (SELECT src, dst, weight, support_count FROM co UNION ALL SELECT dst, src, weight, support_count FROM co)), au AS (SELECT {_MARKS}, {_UNPAIRED} AS missing_reverse,
+avg(weight) AS weight_mean, stddev_samp(weight) AS weight_std, median(weight) AS weight_median, max(weight) AS weight_max, bool_and(source_split = 'train') AS ok FROM mk),
+sk AS (SELECT count(*) AS sparse_skills, count(u) AS covered FROM fq LEFT JOIN (SELECT DISTINCT src AS u FROM mk) ON u = skill_id WHERE n <= 450)
+SELECT au.* EXCLUDE (ok), sparse_skills, covered, covered::DOUBLE / sparse_skills AS sparse_coverage, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS train_only, CASE WHEN ok AND missing_reverse = 0 AND edges > 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM au, sk""",
+    "co", "fq", digits=("train_only_rate", "weight_mean", "weight_std", "weight_median", "weight_max", "sparse_coverage"),
 )
 def _(v: Views):
-    mirrored = relations.mirror_edges(v.co).withColumn("source_split", F.lit("train"))
-    return audit.e_co_provenance(materialize(mirrored), v.train, 450)
+    return audit.e_co_provenance(materialize(_marked(relations.mirror_edges(v.co))), v.train, 450)
 
 
 _LEAKY_SKILL = "'leak-' || skill_id"
