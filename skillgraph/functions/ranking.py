@@ -50,7 +50,7 @@ def quantiles(df: DataFrame, keys: list[str], column: str, shares: dict[str, flo
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("__c"))
     placed = prefix_sums(counts, keys, [column], ["__c"])
-    total = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
+    total = placed.groupBy(*keys).agg(F.sum("__c").alias("__n"))  # of the counted table, so ``df`` is read once
     if keys:
         total = total.select(*[F.col(k).alias(f"__t_{k}") for k in keys], "__n")
         same = F.lit(True)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_ratio
+from ..functions.ranking import quantiles
 from .graph import nodes_of, sparse_coverage
 from .relations import pairs_sharing
 
@@ -29,16 +30,16 @@ def q_matrix_provenance(q: DataFrame) -> DataFrame:
 
 def e_co_audit(edges: DataFrame) -> DataFrame:
     """One row: undirected, train-only, support above zero, support quartiles, positive weights, status."""
-    q = F.percentile("support_count", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    middle = quantiles(edges, [], "support_count", {"support_q25": 0.25, "support_median": 0.5, "support_q75": 0.75})  # one row
     row = edges.agg(
         F.count("*").alias("edges"), F.coalesce(F.bool_and(~F.col("directed")), F.lit(True)).alias("undirected"),
         F.coalesce(F.bool_and(F.col("source_split") == "train"), F.lit(True)).alias("train_only"), F.coalesce(F.bool_and(F.col("support_count") > 0), F.lit(True)).alias("supported"),
-        F.min("support_count").alias("support_min"), q.alias("q"), F.avg("support_count").alias("support_mean"), F.max("support_count").alias("support_max"), _count(F.col("weight") > 0).alias("positive_weights"),
-    )
+        F.min("support_count").alias("support_min"), F.avg("support_count").alias("support_mean"), F.max("support_count").alias("support_max"), _count(F.col("weight") > 0).alias("positive_weights"),
+    ).crossJoin(middle)
     ok = F.col("undirected") & F.col("train_only") & F.col("supported")
     return row.select(
-        "edges", "undirected", "train_only", "supported", "support_min", F.col("q")[0].alias("support_q25"), F.col("q")[1].alias("support_median"), "support_mean",
-        F.col("q")[2].alias("support_q75"), "support_max", "positive_weights", F.when(ok, "PASS").otherwise("FAIL").alias("status"),
+        "edges", "undirected", "train_only", "supported", "support_min", "support_q25", "support_median", "support_mean",
+        "support_q75", "support_max", "positive_weights", F.when(ok, "PASS").otherwise("FAIL").alias("status"),
     )
 
 
@@ -53,7 +54,8 @@ def symmetry_audit(edges: DataFrame) -> DataFrame:
 
 def e_co_provenance(edges: DataFrame, train: DataFrame, at_most: int = 100) -> DataFrame:
     """Symmetry, weight statistics and coverage of sparse skills; unknown train-only marks are allowed."""
-    w = edges.agg(F.avg("weight").alias("weight_mean"), F.stddev_samp("weight").alias("weight_std"), F.median("weight").alias("weight_median"), F.max("weight").alias("weight_max"))
+    w = edges.agg(F.avg("weight").alias("weight_mean"), F.stddev_samp("weight").alias("weight_std"), F.max("weight").alias("weight_max"))
+    w = w.crossJoin(quantiles(edges, [], "weight", {"weight_median": 0.5}))  # one row each
     known = edges.agg(F.bool_and(F.col("source_split") == "train").alias("ok"))
     row = symmetry_audit(edges).drop("status").crossJoin(w).crossJoin(sparse_coverage(edges, train, at_most)).crossJoin(known)
     train_only = F.when(F.col("ok").isNull(), "UNKNOWN").when(F.col("ok"), "PASS").otherwise("FAIL")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .._session import written
 from ..functions.columns import safe_ratio
-from ..functions.ranking import global_row_number
+from ..functions.ranking import global_row_number, quantiles
 
 
 def nodes_of(edges: DataFrame, *keys: str) -> DataFrame:
@@ -318,25 +318,31 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def edge_provenance_audit(edges: DataFrame, keys: tuple[str, ...] = ("relation_type",)) -> DataFrame:
-    """Rows, unique directed and undirected edges, mirrored pairs, loops, duplicates, support and weight statistics, limit check."""
-    loop = F.col("src") == F.col("dst")
-    base = edges.groupBy(*keys).agg(
-        F.count("*").alias("raw_rows"), F.countDistinct("src", "dst").alias("unique_directed"),
-        F.countDistinct(F.when(~loop, F.struct(F.least("src", "dst"), F.greatest("src", "dst")))).alias("unique_undirected"),
-        F.sum(F.when(loop, 1).otherwise(0)).alias("self_loops"), F.sum("support_count").alias("support_sum"), F.avg("support_count").alias("support_mean"),
-        F.median("support_count").alias("support_median"), F.min("weight").alias("weight_min"), F.max("weight").alias("weight_max"), F.avg("weight").alias("weight_mean"),
+    """Rows, unique directed and undirected edges, mirrored pairs, loops, duplicates, support and weight statistics, limit check.
+
+    Rows are collapsed map-side to one per pair of ends, with marks of the directions that occur, and then per key.
+    Edges with a null end count as rows only. No edges give no rows.
+    """
+    mark = lambda condition: F.max(F.when(condition, 1).otherwise(0))
+    src, dst = F.col("src"), F.col("dst")
+    pairs = edges.groupBy(*keys, F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v")).agg(
+        F.count("*").alias("rows"), mark(src < dst).alias("up"), mark(src > dst).alias("down"), F.sum(F.when(src == dst, 1).otherwise(0)).alias("loops"), F.sum("support_count").alias("s"),
+        F.count("support_count").alias("s_n"), F.min("weight").alias("lo"), F.max("weight").alias("hi"), F.sum("weight").alias("w"), F.count("weight").alias("w_n"),
+    )
+    base = pairs.groupBy(*keys).agg(
+        F.sum("rows").alias("raw_rows"), F.sum(F.col("up") + F.col("down") + F.least("loops", F.lit(1))).alias("unique_directed"), F.sum(F.greatest("up", "down")).alias("unique_undirected"),
+        F.sum(F.col("up") * F.col("down")).alias("mirrored_pairs"), F.sum("loops").alias("self_loops"), F.sum("s").alias("support_sum"), safe_ratio(F.sum("s"), F.sum("s_n")).alias("support_mean"),
+        F.min("lo").alias("weight_min"), F.max("hi").alias("weight_max"), safe_ratio(F.sum("w"), F.sum("w_n")).alias("weight_mean"),
     )
-    pairs = edges.where(~loop).select(*keys, "src", "dst").distinct()
-    mirrored = pairs.groupBy(*keys, F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.count("*").alias("n"))
-    mirrored = mirrored.groupBy(*keys).agg(F.sum(F.when(F.col("n") == 2, 1).otherwise(0)).alias("mirrored_pairs"))
+    middle = quantiles(edges, list(keys), "support_count", {"support_median": 0.5})
     n = nodes_of(edges, *keys).groupBy(*keys).agg(F.count("*").alias("nodes"))
-    out = base.join(n, list(keys)).join(mirrored, list(keys), "left")
+    out = base.join(n, list(keys)).join(middle, list(keys), "left")
     limit = F.floor(F.col("nodes") * (F.col("nodes") - 1) / 2)
     return out.select(
-        *keys, "raw_rows", "unique_directed", "unique_undirected", F.coalesce("mirrored_pairs", F.lit(0)).alias("mirrored_pairs"), "self_loops",
+        *keys, "raw_rows", "unique_directed", "unique_undirected", "mirrored_pairs", "self_loops",
         (F.col("raw_rows") - F.col("unique_directed")).alias("duplicate_rows"), "support_sum", "support_mean", "support_median", "weight_min", "weight_max", "weight_mean", "nodes",
         (F.col("unique_undirected") <= limit).alias("within_limit"),
-        F.when(F.coalesce("mirrored_pairs", F.lit(0)) == F.col("unique_undirected"), "mirrored").when(F.coalesce("mirrored_pairs", F.lit(0)) > 0, "partly mirrored").otherwise("one row per edge").alias("interpretation"),
+        F.when(F.col("mirrored_pairs") == F.col("unique_undirected"), "mirrored").when(F.col("mirrored_pairs") > 0, "partly mirrored").otherwise("one row per edge").alias("interpretation"),
     )
 
 

@@ -14,11 +14,18 @@ def auc(preds: DataFrame, keys: list[str]) -> DataFrame:
 
     Rows are counted per distinct score first; those counts are summed over range partitions of (keys, score).
     """
-    counts = preds.groupBy(*keys, "y_pred").agg(F.sum("y_true").alias("pos"), F.sum(1 - F.col("y_true")).alias("neg"))
-    ranked = prefix_sums(counts, keys, ["y_pred"], ["neg"])
-    wins = ranked.withColumn("won", F.col("pos") * (F.col("before_neg") + F.col("neg") / F.lit(2.0)))
-    sums = wins.groupBy(*keys).agg(F.sum("won").alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return sums.select(*keys, safe_ratio(F.col("won"), F.col("p").cast("double") * F.col("n")).alias("auc"))
+    return _scored(preds, keys).groupBy(*keys).agg(_auc_of_scores().alias("auc"))
+
+
+def _scored(preds: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, y_pred, rows, pos, neg, before_neg): one row per distinct score, with the negatives below it."""
+    counts = preds.groupBy(*keys, "y_pred").agg(F.count("*").alias("rows"), F.sum("y_true").alias("pos"), F.sum(1 - F.col("y_true")).alias("neg"))
+    return prefix_sums(counts, keys, ["y_pred"], ["neg"])
+
+
+def _auc_of_scores() -> Column:
+    won = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / F.lit(2.0)))
+    return safe_ratio(won, F.sum("pos").cast("double") * F.sum("neg"))
 
 
 def _clipped(eps: float) -> Column:
@@ -60,9 +67,18 @@ def brier(preds: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def metrics(preds: DataFrame, keys: list[str]) -> DataFrame:
-    """n, AUC, accuracy, NLL and RMSE per key."""
-    rest = preds.groupBy(*keys).agg(F.count("*").alias("n"), accuracy_of().alias("acc"), nll_of().alias("nll"), rmse_of().alias("rmse"))
-    return rest.join(auc(preds, keys), keys)
+    """n, AUC, accuracy, NLL and RMSE per key, from one pass: ``preds`` are counted per distinct score and label.
+
+    Rows without a score or label count in n only.
+    """
+    p = _clipped(1e-7)
+    known = F.sum(F.when(F.col("y_pred").isNotNull(), F.col("pos") + F.col("neg")))
+    mean = lambda of_one, of_zero: safe_ratio(F.sum(F.col("pos") * of_one + F.col("neg") * of_zero), known)
+    over = (F.col("y_pred") >= 0.5).cast("double")
+    square = lambda label: F.pow(F.col("y_pred") - label, F.lit(2.0))
+    return _scored(preds, keys).groupBy(*keys).agg(
+        F.sum("rows").alias("n"), mean(over, 1 - over).alias("acc"), (-mean(F.log(p), F.log(1 - p))).alias("nll"), F.sqrt(mean(square(1), square(0))).alias("rmse"), _auc_of_scores().alias("auc"),
+    )
 
 
 def reliability_table(preds: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
@@ -87,9 +103,10 @@ def prediction_stats(preds: DataFrame, keys: list[str]) -> DataFrame:
 
 def stratified_metrics(preds: DataFrame, strata: DataFrame, keys: list[str]) -> DataFrame:
     """``metrics`` per key and stratum; strata without rows have n = 0 and null metrics."""
-    placed = preds.join(strata.select("skill_id", "stratum"), "skill_id")
-    every = preds.select(*keys).distinct().crossJoin(strata.select("stratum").distinct())
-    joined = every.join(metrics(placed, [*keys, "stratum"]), [*keys, "stratum"], "left")
+    placed = preds.join(strata.select("skill_id", "stratum"), "skill_id", "left")
+    found = metrics(placed, [*keys, "stratum"])  # skills without a stratum keep their keys here and meet no stratum below
+    every = found.select(*keys).distinct().crossJoin(strata.select("stratum").distinct())
+    joined = every.join(found, [*keys, "stratum"], "left")
     return joined.select(*keys, "stratum", F.coalesce("n", F.lit(0)).alias("n"), "auc", "acc", "nll", "rmse")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_ratio
+from ..functions.ranking import global_row_number
 
 
 def dataset_stats(df: DataFrame, q_source: str = "provided_static") -> DataFrame:
@@ -63,7 +64,10 @@ def skill_profile(train: DataFrame) -> DataFrame:
 
 
 def strata_percentile(profile: DataFrame, low: float = 0.33, high: float = 0.66) -> DataFrame:
-    """Profile with strata: up to the low percentile sparse, up to the high one medium, else dense."""
+    """Profile with strata: up to the low percentile sparse, up to the high one medium, else dense.
+
+    The percentile holds one entry per distinct size, of which n rows have about sqrt(2 n) at most.
+    """
     cuts = profile.agg(F.percentile("n_interactions", F.array(F.lit(low), F.lit(high))).alias("__c"))
     n = F.col("n_interactions")
     return profile.crossJoin(F.broadcast(cuts)).withColumn("strata", F.when(n <= F.col("__c")[0], "sparse").when(n <= F.col("__c")[1], "medium").otherwise("dense")).drop("__c")
@@ -72,10 +76,11 @@ def strata_percentile(profile: DataFrame, low: float = 0.33, high: float = 0.66)
 def strata_rank(train: DataFrame, cuts: tuple[float, float, float] = (0.10, 0.33, 0.66)) -> DataFrame:
     """(skill_id, n_interactions, stratum) by rank of frequency, ties by id; slices end at int(q n).
 
-    The window runs over one row per skill.
+    Skills are ranked over range partitions. A table without rows gives none.
     """
     sizes = train.groupBy("skill_id").agg(F.count("*").alias("n_interactions"))
-    ranked = sizes.withColumn("__r", F.row_number().over(Window.orderBy("n_interactions", "skill_id"))).crossJoin(F.broadcast(sizes.agg(F.count("*").alias("__n"))))
+    placed = global_row_number(sizes, ["n_interactions", "skill_id"], "__r")
+    ranked = placed.crossJoin(F.broadcast(placed.agg(F.max("__r").alias("__n"))))  # one row
     stratum = F.lit("frequent")
     for name, q in reversed(list(zip(("very_sparse", "sparse", "medium"), cuts))):
         stratum = F.when(F.col("__r") <= F.floor(F.col("__n") * F.lit(q)), name).otherwise(stratum)

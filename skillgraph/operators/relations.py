@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .._session import materialize
+from .._session import materialize, written
 from ..functions.columns import four_places, hashed_unit, safe_ratio
-from ..functions.ranking import prefix_sums, quantiles
+from ..functions.ranking import global_row_number, prefix_sums, quantiles
 
 
 def _skill_order(train: DataFrame) -> DataFrame:
-    """(skill_id, r): skills by median time, ties by id; the window runs over one row per skill."""
-    medians = quantiles(train, ["skill_id"], "timestamp", {"t": 0.5})
-    return medians.select("skill_id", "t", F.row_number().over(Window.orderBy("t", "skill_id")).alias("r"))
+    """(skill_id, t, r): skills by median time, ties by id, ranked over range partitions; skills without a time have no place."""
+    return global_row_number(quantiles(train, ["skill_id"], "timestamp", {"t": 0.5}), ["t", "skill_id"], "r")
 
 
 def e_pre_raw(train: DataFrame, confidence: float = 0.5) -> DataFrame:
@@ -42,9 +41,8 @@ def e_pre_topk(train: DataFrame, k: int = 5) -> DataFrame:
 
 
 def e_pre_chain(train: DataFrame) -> DataFrame:
-    """The transitive reduction of the order's edges: each skill to the next one."""
-    nxt = F.lead("skill_id").over(Window.orderBy("r"))
-    return _skill_order(train).select(F.col("skill_id").alias("src"), nxt.alias("dst")).where(F.col("dst").isNotNull())
+    """The transitive reduction of the order's edges: each skill to the next one, by an equi-join on rank."""
+    return e_pre_topk(train, 1).select("src", "dst")
 
 
 def e_pre_support(edges: DataFrame, train: DataFrame) -> DataFrame:
@@ -199,26 +197,34 @@ def e_co_controlled(train: DataFrame, k_min: int = 3, pmi_min: float = 0.25, top
 def e_co_sensitivity(train: DataFrame, grid: list[tuple[int, float, int]]) -> DataFrame:
     """One row per (k_min, pmi_min, top_k; 0: no top-k): rows, edges, density, PMI moments and quartiles, coverage, flags.
 
-    Pairs are counted once; the grid is a small table joined to them.
+    Pairs are counted once and written, and ranked at their ends once per ``k_min``: a least PMI only cuts the end of a
+    ranking, so all configurations of a ``k_min`` share it. The grid is a small table joined to both. Configurations
+    without edges have null PMI statistics.
     """
     spark = train.sparkSession
     configs = spark.createDataFrame(grid, "k_min int, pmi_min double, top_k int")
     n_skills = train.agg(F.countDistinct("skill_id").alias("n"))
-    pairs = co_pairs(train).withColumnRenamed("pmi", "weight")
-    rows = pairs.crossJoin(F.broadcast(configs)).where((F.col("support_count") >= F.col("k_min")) & (F.col("weight") > 0) & (F.col("weight") >= F.col("pmi_min")))
-    keys = ("k_min", "pmi_min", "top_k")
-    ranked = _in_either_top(rows.where("top_k > 0"), F.col("top_k"), max(top for _, _, top in grid), keys)
-    kept = ranked.unionByName(rows.where("top_k = 0"))
-    q = F.percentile("weight", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    stats = kept.groupBy(*keys).agg(F.count("*").alias("edges"), F.avg("weight").alias("pmi_mean"), q.alias("q"))
+    pairs = written(co_pairs(train).withColumnRenamed("pmi", "weight").where((F.col("weight") > 0) & (F.col("support_count") >= min(k for k, _, _ in grid))))
+    keys, bound = ("k_min", "pmi_min", "top_k"), max(top for _, _, top in grid)
+    meets = lambda df, small: df.crossJoin(F.broadcast(small)).where((F.col("support_count") >= F.col("k_min")) & (F.col("weight") >= F.col("pmi_min")))
+    supported = pairs.crossJoin(F.broadcast(configs.select("k_min").distinct())).where(F.col("support_count") >= F.col("k_min"))
+    w = Window.partitionBy("k_min", "__u").orderBy(F.desc("weight"), "src", "dst")
+    ends = supported.withColumn("__u", F.explode(F.array("src", "dst"))).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= bound)
+    ranked = written(ends.groupBy("k_min", "src", "dst", "weight").agg(F.min("__r").alias("__r")))
+    top = ranked.join(F.broadcast(configs.where("top_k > 0")), "k_min").where((F.col("weight") >= F.col("pmi_min")) & (F.col("__r") <= F.col("top_k")))
+    columns = [*keys, "src", "dst", "weight"]
+    kept = top.select(*columns).unionByName(meets(pairs, configs.where("top_k = 0")).select(*columns))
+    middle = quantiles(kept, list(keys), "weight", {"pmi_p25": 0.25, "pmi_median": 0.5, "pmi_p75": 0.75})
+    stats = kept.groupBy(*keys).agg(F.count("*").alias("edges"), F.avg("weight").alias("pmi_mean")).join(middle, list(keys))
     covered = kept.select(*keys, F.explode(F.array("src", "dst")).alias("v")).distinct().groupBy(*keys).agg(F.count("*").alias("covered"))
-    support = rows.groupBy(*keys).agg(F.count("*").alias("support_rows"))
-    joined = F.broadcast(configs).crossJoin(F.broadcast(n_skills)).join(support, list(keys), "left").join(stats, list(keys), "left").join(covered, list(keys), "left")
+    limits = ["k_min", "pmi_min"]
+    support = meets(pairs, configs.select(*limits).distinct()).groupBy(*limits).agg(F.count("*").alias("support_rows"))
+    joined = F.broadcast(configs).crossJoin(F.broadcast(n_skills)).join(support, limits, "left").join(stats, list(keys), "left").join(covered, list(keys), "left")
     edges = F.coalesce("edges", F.lit(0))
     density = F.coalesce(safe_ratio(2 * edges, F.col("n") * (F.col("n") - 1)), F.lit(0.0))
     return joined.select(
         *keys, F.coalesce("support_rows", F.lit(0)).alias("support_rows"), edges.alias("edges"), density.alias("density"), "pmi_mean",
-        F.col("q")[1].alias("pmi_median"), F.col("q")[0].alias("pmi_p25"), F.col("q")[2].alias("pmi_p75"),
+        "pmi_median", "pmi_p25", "pmi_p75",
         F.coalesce(safe_ratio(F.coalesce("covered", F.lit(0)), F.col("n")), F.lit(0.0)).alias("covered_share"),
         *[(density < t).alias(f"density_lt_{int(t * 100)}") for t in (0.8, 0.5, 0.25)],
     )
@@ -259,19 +265,20 @@ def inject_label_noise(df: DataFrame, rate: float, seed: int) -> DataFrame:
 def inject_edge_noise(edges: DataFrame, rate: float, seed: int) -> DataFrame:
     """``edges`` with dst rewired, where the md5 number of (src, dst, seed) is below ``rate``, to a node chosen by md5.
 
-    Nodes are numbered over one row per node; a rewired edge that would be a loop keeps its dst.
+    Nodes are numbered over range partitions; a rewired edge that would be a loop keeps its dst.
     """
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    numbered = nodes.withColumn("__i", F.row_number().over(Window.orderBy("node")) - 1)
-    total = nodes.agg(F.count("*").alias("__n"))
+    numbered = global_row_number(nodes, ["node"], "__i").withColumn("__i", F.col("__i") - 1)
+    total = numbered.agg((F.max("__i") + 1).alias("__n"))
     picked = edges.crossJoin(F.broadcast(total)).withColumn("noisy", hashed_unit(F.col("src"), F.col("dst"), F.lit(seed)) < rate)
-    picked = picked.withColumn("__i", F.floor(hashed_unit(F.col("dst"), F.col("src"), F.lit(seed + 1)) * F.col("__n")).cast("int"))
+    picked = picked.withColumn("__i", F.floor(hashed_unit(F.col("dst"), F.col("src"), F.lit(seed + 1)) * F.col("__n")))
     joined = picked.join(numbered, "__i", "left")
     dst = F.when(F.col("noisy") & (F.col("node") != F.col("src")), F.col("node")).otherwise(F.col("dst"))
     return joined.withColumn("dst", dst).select(*edges.columns, "noisy")
 
 
 def edge_drop(edges: DataFrame, p: float, seed: int) -> DataFrame:
+    """Edges whose md5 number of (src, dst, seed) is ``p`` or more, so equal rows go together. Edges with a null end go by the other end."""
     return edges.where(hashed_unit(F.col("src"), F.col("dst"), F.lit(seed)) >= p)
 
 
@@ -282,11 +289,12 @@ def node_drop(edges: DataFrame, p: float, seed: int) -> DataFrame:
 
 
 def topk_similarity_table(edges: DataFrame, ks: tuple[int, ...] = (3, 5, 10, 20)) -> DataFrame:
-    """Nodes, edges, density, mean and median weight of the top-k similarity graph, per k."""
+    """Nodes, edges, density, mean and median weight of the top-k similarity graph, per k. The edges are ranked once; no edges give no rows."""
     w = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
     ranked = edges.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= max(ks))
     rows = ranked.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where(F.col("__r") <= F.col("k"))
     nodes = rows.select("k", F.explode(F.array("src", "dst")).alias("v")).distinct().groupBy("k").agg(F.count("*").alias("nodes"))
-    stats = rows.groupBy("k").agg(F.count("*").alias("edges"), F.avg("weight").alias("avg_score"), F.median("weight").alias("median_score"))
+    stats = rows.groupBy("k").agg(F.count("*").alias("edges"), F.avg("weight").alias("avg_score"))
+    stats = stats.join(quantiles(rows, ["k"], "weight", {"median_score": 0.5}), "k", "left")
     n = F.col("nodes")
     return stats.join(nodes, "k").select("k", "nodes", "edges", safe_ratio(F.col("edges"), n * (n - 1)).alias("density"), "avg_score", "median_score")

@@ -21,7 +21,7 @@ def learner_split(df: DataFrame, ratios: tuple[float, float, float] = (0.7, 0.15
     """
     learners = df.select("learner_id").distinct().withColumn("__h", F.md5(F.concat(F.col("learner_id"), F.lit(f"|{seed + fold}"))))
     ranked = global_row_number(learners, ["__h", "learner_id"])
-    total = learners.agg(F.count("*").alias("__n"))
+    total = ranked.agg(F.max("rn").alias("__n"))
     named = ranked.crossJoin(F.broadcast(total)).select("learner_id", F.lit(fold).alias("fold"), _named(F.col("rn"), F.col("__n"), ratios).alias("split"))
     return df.join(named, "learner_id")
 
@@ -31,7 +31,7 @@ def make_folds(df: DataFrame, folds: int, seed: int = 2026, ratios: tuple[float,
     learners = df.select("learner_id").distinct().select("learner_id", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
     learners = learners.withColumn("__h", F.md5(F.concat(F.col("learner_id"), F.lit("|"), (F.col("fold") + seed).cast("string"))))
     ranked = global_row_number(learners, ["fold", "__h", "learner_id"])
-    sizes = learners.groupBy("fold").agg(F.count("*").alias("__n"))
+    sizes = ranked.groupBy("fold").agg(F.count("*").alias("__n"))
     first = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("fold")) - F.col("__n"))  # one row per fold
     placed = ranked.join(first, "fold")
     return placed.select("learner_id", "fold", _named(F.col("rn") - F.col("__before"), F.col("__n"), ratios).alias("split"))

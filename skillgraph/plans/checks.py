@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .._session import materialize
+from ..functions.ranking import quantiles
 from ..operators import audit, features, graph, relations
 from .fixtures import ACC_SQL, NLL_SQL, P_SQL, RMSE_SQL, RUN_SQL, Views, auc_sql, query
 
@@ -103,7 +104,7 @@ def _(v: Views):
 
 @query("f7_audit_l3", _status("L3", "(SELECT count(*) FROM train WHERE timestamp > (SELECT quantile_cont(timestamp, 0.9) FROM train))"), "train")
 def _(v: Views):
-    return audit.audit_l3(v.train, v.train.agg(F.percentile("timestamp", F.lit(0.9)).alias("cutoff")))
+    return audit.audit_l3(v.train, quantiles(v.train, [], "timestamp", {"cutoff": 0.9}))
 
 
 @query("f8_audit_l4", f"WITH {_PLANTED} {_status('L4', '(SELECT count(*) FROM lk)')}", "sp")
@@ -142,8 +143,7 @@ def _(v: Views):
 
 def _report(v: Views):
     """All checks over the planted splits and edges, a map with some unverified sources, and selections by test AUC."""
-    split = materialize(v.split)
-    v.split = split  # relations are built from the materialised split
+    split = v.keep().split
     leaky, edges = _planted(v)
     leaky, edges = materialize(leaky), materialize(edges)
     train = split.where("split = 'train'")
@@ -151,7 +151,7 @@ def _report(v: Views):
     runs = materialize(v.runs)
     chosen = runs.groupBy(*_GROUP).agg(F.max_by("variant", F.struct("test_auc", F.col("order") * -1)).alias("variant"))
     return audit.leakage_report([
-        audit.audit_l1(edges, leaky), audit.audit_l2(q), audit.audit_l3(train, train.agg(F.percentile("timestamp", F.lit(0.9)).alias("cutoff"))),
+        audit.audit_l1(edges, leaky), audit.audit_l2(q), audit.audit_l3(train, quantiles(train, [], "timestamp", {"cutoff": 0.9})),
         audit.audit_l4(edges, leaky), audit.audit_l5(v.co, split.where("split = 'train' or length(learner_id) <= 2"), split), audit.audit_l6(runs, chosen, _GROUP),
     ])
 
@@ -314,7 +314,7 @@ def _(v: Views):
 
 
 def _lr_rows(v: Views):
-    split = materialize(v.split)
+    split = v.keep().split
     degrees = graph.degree_feature(v.co.withColumn("relation_type", F.lit("co")), v.train, ["co"])
     return materialize(features.prior_features(split, degrees).withColumn("skill_code", F.col("skill_id").cast("double")))
 

@@ -291,7 +291,7 @@ CASE WHEN a.edges_sha256 = b.edges_sha256 AND a.train_hash = b.train_hash THEN '
 )
 def _(v: Views):
     # the same graphs after the supports of one relation were changed
-    split, edges = materialize(v.split), materialize(v.edges.withColumn("fold", F.lit(0)))
+    split, edges = v.keep().split, materialize(v.edges.withColumn("fold", F.lit(0)))
     other = edges.withColumn("support_count", F.when(F.col("relation_type") == "co", F.col("support_count") + 1).otherwise(F.col("support_count")))
     manifest = lambda e: splits.provenance_manifest(e, split, ["fold"], ["pre", "sim", "co", "none"], _EDGE_COLUMNS)
     return splits.compare_manifests(manifest(edges), manifest(other), ["fold"])

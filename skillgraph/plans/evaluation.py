@@ -63,7 +63,7 @@ LEFT JOIN {auc_sql('(SELECT * FROM tp JOIN strata USING (skill_id))', 'variant,
 
 @query("h8_stratified_metrics", _SM, "tp", "strata", digits=("auc", "acc", "nll", "rmse"))
 def _(v: Views):
-    return metrics.stratified_metrics(materialize(v.test_preds), materialize(v.strata), ["variant"])
+    return metrics.stratified_metrics(v.test_preds, materialize(v.strata), ["variant"])
 
 
 @query("h9_reliability_flag", "SELECT skill_id, count(*) AS n, CASE WHEN count(*) >= 1000 THEN 'Reliable' WHEN count(*) >= 100 THEN 'Limited' ELSE 'Insufficient' END AS flag FROM test GROUP BY 1", "test")

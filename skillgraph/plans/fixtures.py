@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .._session import written
 from ..functions.columns import hashed_unit
 from ..operators import features, metrics, relations, splits
 
@@ -35,7 +36,15 @@ class Views:
     """The views over one folder of tables; each is a lazy DataFrame."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._kept = spark, sf_dir, False
+
+    def keep(self) -> Views:
+        """Writes the split once, for views and queries that read it several times; each then reads the columns it needs."""
+        if not self._kept:
+            self.split, self._kept = written(self.split), True
+            for name in ("train", "test"):
+                vars(self).pop(name, None)
+        return self
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -88,21 +97,22 @@ class Views:
     @cached_property
     def theta(self) -> float:
         """The Jaccard similarity expected of two skills spread over the questions by chance; about half of all pairs reach it."""
-        n = self.train.agg(F.count("*"), F.countDistinct("question_id"), F.countDistinct("skill_id")).first()
+        n = self.keep().train.agg(F.count("*"), F.countDistinct("question_id"), F.countDistinct("skill_id")).first()
         p = 1 - math.exp(-n[0] / max(1, n[1] * n[2]))
         return p / (2 - p)
 
     @cached_property
     def sim(self) -> DataFrame:
-        return relations.e_sim(self.train, self.theta)
+        return relations.e_sim(self.keep().train, self.theta)
 
     @cached_property
     def co(self) -> DataFrame:
-        return relations.e_co(self.train)
+        return relations.e_co(self.keep().train)
 
     @cached_property
     def edges(self) -> DataFrame:
         """All relations: relation_type, src, dst, weight, support_count, directed, source_split."""
+        self.keep()
         pre = relations.e_pre_support(self.pre.drop("step"), self.train).select(F.lit("pre").alias("relation_type"), "src", "dst", "weight", "support_count", F.lit(True).alias("directed"))
         named = lambda df, name: df.select(F.lit(name).alias("relation_type"), "src", "dst", "weight", "support_count", F.lit(False).alias("directed"))
         return pre.unionByName(named(self.sim, "sim")).unionByName(named(self.co, "co")).withColumn("source_split", F.lit("train"))

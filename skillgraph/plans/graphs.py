@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .._session import materialize
+from .._session import materialize, written
 from ..functions.columns import hashed_unit
 from ..functions.ranking import global_row_number
 from ..operators import graph, relations, similarity
@@ -212,7 +212,7 @@ FROM (SELECT count(DISTINCT skill_id) AS n FROM trains) LEFT JOIN {kept} ON true
     "pairss", digits=("density", "pmi_mean", "pmi_median", "pmi_p25", "pmi_p75", "covered_share"),
 )
 def _(v: Views):
-    return relations.e_co_sensitivity(v.train_sparse, _GRID)
+    return relations.e_co_sensitivity(written(v.train_sparse), _GRID)
 
 
 @query(
