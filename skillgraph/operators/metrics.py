@@ -29,7 +29,8 @@ def _auc_of_scores() -> Column:
 
 
 def _clipped(eps: float) -> Column:
-    return F.greatest(F.least(F.col("y_pred"), F.lit(1 - eps)), F.lit(eps))
+    p = F.col("y_pred")
+    return F.when(p.isNotNull(), F.greatest(F.least(p, F.lit(1 - eps)), F.lit(eps)))  # greatest and least pass over nulls
 
 
 def accuracy_of(cut: float = 0.5, strict: bool = False) -> Column:
@@ -39,7 +40,7 @@ def accuracy_of(cut: float = 0.5, strict: bool = False) -> Column:
 
 def nll_of(eps: float = 1e-7) -> Column:
     p = _clipped(eps)
-    return -F.avg(F.when(F.col("y_true") == 1, F.log(p)).otherwise(F.log(1 - p)))
+    return -F.avg(F.when(F.col("y_true") == 1, F.log(p)).when(F.col("y_true") == 0, F.log(1 - p)))
 
 
 def brier_of() -> Column:

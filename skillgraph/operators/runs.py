@@ -316,3 +316,24 @@ def diagnostic_report(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, n_rows, available) of each result table."""
     rows = [t.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows", (F.col("n_rows") > 0).alias("available")) for n, t in tables.items()]
     return reduce(DataFrame.unionByName, rows)
+
+
+def _shown(df: DataFrame, name: str) -> Column:
+    """A column as text; fractions have six decimals."""
+    text = F.col(name).cast("string")
+    if dict(df.dtypes)[name] in ("double", "float"):
+        return F.coalesce(F.round(F.col(name), 6).try_cast("decimal(38,6)").cast("string"), text)
+    return text
+
+
+def report_rows(tables: dict[str, tuple[DataFrame, list[str]]], n: int = 20) -> DataFrame:
+    """(table_name, row, column_name, value): the first ``n`` rows of each table in its order, one row per value, as text.
+
+    Each task keeps n rows of its own; the order must name ties apart. Nulls stay null, an empty table has no rows.
+    """
+    shown = []
+    for name, (df, order) in tables.items():
+        first = df.orderBy(*order).limit(n).withColumn("__row", F.row_number().over(Window.orderBy(*order)))  # n rows
+        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), _shown(df, c).alias("value")) for c in df.columns])
+        shown.append(first.select(F.lit(name).alias("table_name"), F.col("__row").alias("row"), F.explode(cells).alias("c")).select("table_name", "row", "c.column_name", "c.value"))
+    return reduce(DataFrame.unionByName, shown)

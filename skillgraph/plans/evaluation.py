@@ -375,3 +375,21 @@ def _(v: Views):
 @query("i28_diagnostic_report", "SELECT 'interactions' AS table_name, count(*) AS n_rows, count(*) > 0 AS available FROM ix UNION ALL SELECT 'similarity', count(*), count(*) > 0 FROM sim UNION ALL SELECT 'runs', count(*), count(*) > 0 FROM runs", "ix", "sim", "runs")
 def _(v: Views):
     return runs.diagnostic_report({"interactions": v.ix, "similarity": v.sim, "runs": v.runs})
+
+
+_SHOWN = {
+    "interactions": ("ix", ["interaction_id"], {"interaction_id": "", "learner_id": "", "question_id": "", "skill_id": "", "timestamp": "", "correct": ""}),
+    "similarity": ("sim", ["src", "dst"], {"src": "", "dst": "", "weight": "::DECIMAL(38, 6)", "support_count": ""}),
+    "runs": ("runs", ["variant", "seed", "fold"], {"variant": "", "seed": "", "fold": "", "valid_auc": "::DECIMAL(38, 6)", "test_auc": "::DECIMAL(38, 6)"}),
+}
+
+
+def _shown_sql(name: str, table: str, order: list[str], columns: dict[str, str]) -> str:
+    by = ", ".join(order)
+    values = ", ".join(f"{'round(' + c + ', 6)' if cast else c}{cast}::VARCHAR" for c, cast in columns.items())
+    return f"SELECT '{name}' AS table_name, row, unnest([{', '.join(repr(c) for c in columns)}]) AS column_name, unnest([{values}]) AS value FROM (SELECT *, row_number() OVER (ORDER BY {by}) AS row FROM {table}) WHERE row <= 20"
+
+
+@query("i28_report_rows", " UNION ALL ".join(_shown_sql(name, *rest) for name, rest in _SHOWN.items()), "ix", "sim", "runs")
+def _(v: Views):
+    return runs.report_rows({name: (getattr(v, table).select(*columns), order) for name, (table, order, columns) in _SHOWN.items()})

@@ -463,3 +463,65 @@ def test_thresholds_on_the_border(spark):
     assert similarity.similar_sets(df, 0.71).count() == 0
     with pytest.raises(ValueError):
         similarity.similar_sets(df, 0)
+def test_metrics_of_one_pass_equal_the_single_ones(spark):
+    rng = random.Random(5)
+    data = [(f"m{i % 3}", rng.choice([0, 1]), round(rng.random(), 1)) for i in range(300)] + [("m0", None, 0.4), ("m1", 1, None), ("m4", 1, 0.0), ("m5", None, None), (None, 0, 0.5), (None, 1, 0.6)]
+    preds = spark.createDataFrame(data, "model string, y_true int, y_pred double")
+    got = {r["model"]: r for r in metrics.metrics(preds, ["model"]).collect()}
+    assert {m: r["n"] for m, r in got.items()} == {"m0": 101, "m1": 101, "m2": 100, "m4": 1, "m5": 1, None: 2}
+    for name, single in (("acc", metrics.accuracy), ("nll", metrics.nll), ("rmse", metrics.rmse), ("auc", metrics.auc)):
+        for r in single(preds, ["model"]).collect():
+            assert got[r["model"]][name] == (None if r[name] is None else pytest.approx(r[name])), (name, r)
+    assert metrics.metrics(preds.limit(0), ["model"]).count() == 0
+    strata = spark.createDataFrame([("a", "low"), ("b", "high")], "skill_id string, stratum string")
+    placed = preds.where("model in ('m0', 'm1', 'm4')").withColumn("skill_id", F.when(F.col("model") == "m0", "a").when(F.col("model") == "m1", "b").otherwise("unknown"))
+    assert rows(metrics.stratified_metrics(placed, strata, ["model"]), "model", "stratum", "n") == {("m0", "low", 101), ("m0", "high", 0), ("m1", "low", 0), ("m1", "high", 101), ("m4", "low", 0), ("m4", "high", 0)}
+
+
+def test_provenance_of_odd_rows(spark):
+    data = [("co", "a", "b", 1.0, 1), ("co", "a", "b", 3.0, 4), ("co", "b", None, 2.0, 2), ("co", None, None, None, None), ("co", "c", "c", 5.0, 9), ("co", "c", "c", 5.0, 9), ("sim", "a", "b", 0.5, None)]
+    e = spark.createDataFrame(data, "relation_type string, src string, dst string, weight double, support_count long")
+    r = {x["relation_type"]: x for x in graph.edge_provenance_audit(e).collect()}
+    co, sim = r["co"], r["sim"]
+    assert (co["raw_rows"], co["unique_directed"], co["unique_undirected"], co["mirrored_pairs"], co["self_loops"]) == (6, 2, 1, 0, 2)
+    assert (co["support_sum"], co["support_mean"], co["support_median"], co["weight_min"], co["weight_max"], co["weight_mean"]) == (25, 5.0, 4.0, 1.0, 5.0, pytest.approx(3.2))
+    assert (sim["raw_rows"], sim["support_mean"], sim["support_median"], sim["interpretation"]) == (1, None, None, "one row per edge")
+    assert graph.edge_provenance_audit(e.limit(0)).count() == 0
+
+
+def test_orders_of_skills_use_no_window_over_all_rows(spark, log):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    pairs = edges_of(spark, [(f"n{i}", f"n{i * 7 % 50}", i) for i in range(50)])
+    for df in (relations.e_pre_topk(log, 2), relations.e_pre_chain(log), relations.e_pre_raw(log)):
+        assert " Window [row_number" not in plan(df) and " Window [lead" not in plan(df)
+    noisy = relations.inject_edge_noise(pairs, 0.5, 3)
+    assert "row_number" not in plan(noisy) and noisy.count() == 50 and rows(noisy, "src") == rows(pairs, "src")
+    assert relations.e_pre_chain(log.limit(0)).count() == profile.strata_rank(log.limit(0)).count() == 0
+
+
+def test_configurations_share_a_ranking(spark):
+    rng = random.Random(8)
+    log = spark.createDataFrame([(str(i), f"u{rng.randrange(30)}", "q", f"s{rng.choice([0, 1, 2, rng.randrange(14)])}", i, 1) for i in range(500)], COLS)
+    grid = [(1, 0.0, 0), (1, 0.0, 2), (1, 0.1, 2), (3, 0.1, 1), (4, 0.05, 0), (99, 0.0, 3)]
+    got = {(r["k_min"], r["pmi_min"], r["top_k"]): r for r in relations.e_co_sensitivity(log, grid).collect()}
+    assert set(got) == set(grid)
+    positive = relations.co_pairs(log).where("pmi > 0").toPandas()
+    for k_min, pmi_min, top_k in grid:
+        held = positive[(positive["support_count"] >= k_min) & (positive["pmi"] >= pmi_min)].sort_values(["pmi", "src", "dst"], ascending=[False, True, True])
+        lists = {}
+        for src, dst in zip(held["src"], held["dst"]):
+            for end in (src, dst):
+                lists.setdefault(end, []).append((src, dst))
+        kept = {p for found in lists.values() for p in (found[:top_k] if top_k else found)}
+        weights = held.loc[[p in kept for p in zip(held["src"], held["dst"])], "pmi"]
+        r = got[(k_min, pmi_min, top_k)]
+        assert (r["support_rows"], r["edges"]) == (len(held), len(kept))
+        assert r["pmi_median"] == (pytest.approx(weights.median()) if kept else None)
+        assert r["pmi_p25"] == (pytest.approx(weights.quantile(0.25)) if kept else None)
+
+
+def test_first_rows_of_a_report(spark):
+    t = spark.createDataFrame([(f"k{i:02d}", float(i) / 3, i) for i in range(30)] + [("a", float("nan"), None)], "k string, x double, n int")
+    got = runs.report_rows({"t": (t, ["k"]), "none": (t.limit(0), ["k"])}, 3)
+    assert rows(got, "table_name", "row", "column_name", "value") == {
+        ("t", 1, "k", "a"), ("t", 1, "x", "NaN"), ("t", 1, "n", None), ("t", 2, "k", "k00"), ("t", 2, "x", "0.000000"), ("t", 2, "n", "0"), ("t", 3, "k", "k01"), ("t", 3, "x", "0.333333"), ("t", 3, "n", "1")}
