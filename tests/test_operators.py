@@ -525,3 +525,32 @@ def test_first_rows_of_a_report(spark):
     got = runs.report_rows({"t": (t, ["k"]), "none": (t.limit(0), ["k"])}, 3)
     assert rows(got, "table_name", "row", "column_name", "value") == {
         ("t", 1, "k", "a"), ("t", 1, "x", "NaN"), ("t", 1, "n", None), ("t", 2, "k", "k00"), ("t", 2, "x", "0.000000"), ("t", 2, "n", "0"), ("t", 3, "k", "k01"), ("t", 3, "x", "0.333333"), ("t", 3, "n", "1")}
+
+
+def test_shared_counts(spark, monkeypatch):
+    """Counts of pairs by brute force, with a key of very many skills, null rows and several tasks."""
+    from itertools import combinations
+
+    monkeypatch.setattr(relations, "PAIR_BLOCK", 6)
+    monkeypatch.setattr(relations, "TASK_PAIRS", 10)
+    held = {f"l{i}": [f"s{(i * j) % 17}" for j in range(i % 6 + 1)] for i in range(40)} | {"hub": [f"s{j}" for j in range(17)]}
+    rows = {(k, s) for k, skills in held.items() for s in skills} | {(None, "s1"), ("l1", None)}
+    expected, sizes = {}, {}
+    for k in held:
+        for pair in combinations(sorted({s for key, s in rows if key == k and s}), 2):
+            expected[pair] = expected.get(pair, 0) + 1
+    for _, s in rows:
+        sizes[s] = sizes.get(s, 0) + 1
+    found = relations.shared_counts(spark.createDataFrame(sorted(rows, key=str), "learner_id string, skill_id string"), "learner_id").collect()
+    assert {(r["src"], r["dst"]): r["support_count"] for r in found} == expected
+    assert len(found) == len(expected)
+    assert all((r["n_src"], r["n_dst"]) == (sizes[r["src"]], sizes[r["dst"]]) for r in found)
+
+
+def test_materialize_is_parquet(spark):
+    """What is read again is compressed and of known size, not a checkpoint of rows as they are in memory."""
+    from skillgraph._session import materialize
+
+    df = materialize(spark.range(200_000).selectExpr("id % 10 as a", "'some text that repeats' as b"))
+    assert df.count() == 200_000 and df.inputFiles()
+    assert int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 2_000_000
