@@ -554,3 +554,10 @@ def test_materialize_is_parquet(spark):
     df = materialize(spark.range(200_000).selectExpr("id % 10 as a", "'some text that repeats' as b"))
     assert df.count() == 200_000 and df.inputFiles()
     assert int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 2_000_000
+
+
+def test_raw_order_is_dealt_over_tasks(spark):
+    train = spark.createDataFrame([(f"s{i}", i % 50) for i in range(200)], "skill_id string, timestamp long")
+    raw = relations.e_pre_raw(train)
+    assert raw.count() == sum((i % 50) < (j % 50) for i in range(200) for j in range(200))
+    assert raw.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
