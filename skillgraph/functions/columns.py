@@ -49,3 +49,15 @@ def with_columns_named(df: DataFrame, aliases: dict[str, list[str]]) -> DataFram
         if found is not None and found != target:
             df = df.withColumnRenamed(found, target)
     return df
+
+
+def exact_mean(x: str) -> Column:
+    """The mean of a double column, summed in decimals of 18 places, so that it doesn't depend on the order of rows.
+
+    Values of a billion or more and those that are not finite are added as doubles; nulls do not count.
+    """
+    fits = F.abs(F.col(x)) < 1e9
+    n = F.count(x).cast("decimal(18,0)")
+    exact = F.sum(F.when(fits, F.col(x)).cast("decimal(28,18)"))
+    rest = F.sum(F.when(~fits, F.col(x)))
+    return F.when(rest.isNull(), F.try_divide(exact, n).cast("double")).otherwise((F.coalesce(exact, F.lit(0)).cast("double") + rest) / F.count(x))

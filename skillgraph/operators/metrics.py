@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import safe_ratio
+from ..functions.columns import exact_mean, safe_ratio
 from ..functions.ranking import prefix_sums
 
 
@@ -83,9 +83,9 @@ def metrics(preds: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def reliability_table(preds: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
-    """(bin, n, accuracy, confidence) of equal-width score bins; a score of 1 is in the last."""
+    """(bin, n, accuracy, confidence) of equal-width score bins; a score of 1 is in the last. Means do not depend on the order of rows."""
     place = F.least(F.floor(F.col("y_pred") * bins), F.lit(bins - 1)).cast("int")
-    return preds.groupBy(*keys, place.alias("bin")).agg(F.count("*").alias("n"), F.avg("y_true").alias("accuracy"), F.avg("y_pred").alias("confidence"))
+    return preds.groupBy(*keys, place.alias("bin")).agg(F.count("*").alias("n"), F.avg("y_true").alias("accuracy"), exact_mean("y_pred").alias("confidence"))
 
 
 def ece(preds: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skillgraph.functions.columns import normalize_correct, normalize_id
+from skillgraph.functions.columns import exact_mean, normalize_correct, normalize_id
 from skillgraph.functions.ranking import global_row_number, prefix_sums, quantiles
 from skillgraph.operators import audit, features, graph, metrics, profile, relations, runs, similarity, splits
 from skillgraph.sources import tables
@@ -561,3 +561,22 @@ def test_raw_order_is_dealt_over_tasks(spark):
     raw = relations.e_pre_raw(train)
     assert raw.count() == sum((i % 50) < (j % 50) for i in range(200) for j in range(200))
     assert raw.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_reliability_means_are_exact(spark):
+    """160 scores of three places whose mean is 0.7237375: a sum of doubles misses it, one way or the other by their order."""
+    choose = random.Random(0)
+    scores = [choose.randrange(700, 800) for _ in range(160)]
+    i = 0
+    while sum(scores) != 115798:
+        step = 1 if sum(scores) < 115798 else -1
+        scores[i % 160] += step if 700 <= scores[i % 160] + step < 800 else 0
+        i += 1
+    scores = [x / 1000 for x in scores]
+    for order in (scores, sorted(scores), sorted(scores, reverse=True)):
+        preds = spark.createDataFrame([("m", 1, x) for x in order], "model string, y_true int, y_pred double").coalesce(1)
+        table = metrics.reliability_table(preds, ["model"], 1).first()
+        assert (table["n"], table["confidence"]) == (160, 0.7237375)
+    odd = spark.createDataFrame([("a", 1, None), ("b", 1, float("inf")), ("b", 1, 0.5)], "model string, y_true int, y_pred double")
+    found = {r["model"]: r["confidence"] for r in odd.groupBy("model").agg(exact_mean("y_pred").alias("confidence")).collect()}
+    assert found == {"a": None, "b": float("inf")}
