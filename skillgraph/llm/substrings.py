@@ -249,7 +249,8 @@ def similar_passages(
 
     Runs of a's shingles that stand in b, each along the diagonal nearest to the one before, are joined
     over gaps; of the spans that start at a run the longest whose shingle sets have a Jaccard
-    similarity of ``similarity`` or more, counted exactly as the spans grow, is a passage.
+    similarity of ``similarity`` or more, counted exactly as the spans grow, is a passage. A run that lies elsewhere in b
+    counts in a only, and a span grows until shingles of a that b lacks rule the similarity out for all longer ones.
     """
     number: dict[tuple[bytes, ...], int] = {}
     ids = lambda w: [number.setdefault(s, len(number)) for s in zip(*(w[k:] for k in range(SHINGLE)))]
@@ -277,25 +278,28 @@ def similar_passages(
         x0, x1, y0, y1 = runs[k][0], runs[k][0], runs[k][2], runs[k][2]
         p: set[int] = set()
         q: set[int] = set()
-        shared, taken = 0, None
+        shared, lacking, taken = 0, 0, None
         for m in range(k, len(runs)):
             for s in mine[x1 : runs[m][1]]:
                 if s not in p:
                     p.add(s)
                     shared += s in q
+                    lacking += s not in place
+            x1 = runs[m][1]
+            # a union holds what is lacking, and grows by the shingles that are left at most
+            if lacking > (1 - similarity) * (len(p) + len(q) - shared + len(mine) - x1 + len(theirs) - (y1 - y0)) + 1e-9:
+                break
             low, high = min(y0, runs[m][2]), max(y1, runs[m][3])
             if high - low > (runs[m][1] - x0) / similarity + 2 * SHINGLE and high - low > shortest / similarity:
-                break  # the run lies elsewhere in b
+                continue  # the run lies elsewhere in b
             for s in theirs[low:y0] + theirs[y1:high]:
                 if s not in q:
                     q.add(s)
                     shared += s in p
-            x1, y0, y1 = runs[m][1], low, high
+            y0, y1 = low, high
             jaccard = shared / (len(p) + len(q) - shared)
             if jaccard >= similarity and x1 - x0 >= shortest:
                 taken = m, (x0, x1 + SHINGLE - 1, y0, y1 + SHINGLE - 1, jaccard)
-            elif jaccard < similarity * 0.8 and x1 - x0 >= shortest:
-                break
         if taken:
             out.append(taken[1])
             k = taken[0]

@@ -725,3 +725,19 @@ def test_repeats_within_a_document(spark):
 def test_without_words_keeps_the_rest():
     assert substrings.without_words(" a  b\nc d ", [(1, 3)]) == " a  d "
     assert substrings.without_words("a b", [(0, 2)]) == ""
+
+
+def test_passages_with_stray_runs_and_low_starts_are_whole():
+    """A run that lies elsewhere in the other text, or a stretch of low similarity, doesn't end a passage that is similar as a whole."""
+    from skillgraph.llm.substrings import similar_passages
+
+    words = lambda name, n: [f"{name}{i}".encode() for i in range(n)]
+    stray = words("stray", 6)
+    # halves of 45 words are no passages alone
+    a, b = words("x", 45) + stray + words("y", 45), words("x", 45) + words("y", 45) + words("z", 400) + stray
+    assert [p[:4] for p in similar_passages(a, b, 46, 0.8)] == [(0, 96, 0, 90)]
+    a, b = (words("h", 20) + words(other, 40) + words("t", 410) for other in ("n", "m"))
+    assert [p[:4] for p in similar_passages(a, b, 46, 0.8)] == [(0, 470, 0, 470)]
+    # what cannot become similar any more is left
+    a, b = (words("h", 60) + words(other, 900) + words("t", 60) for other in ("n", "m"))
+    assert [p[:4] for p in similar_passages(a, b, 46, 0.8)] == [(0, 60, 0, 60), (960, 1020, 960, 1020)]
