@@ -124,13 +124,13 @@ def pairs_sharing(own: DataFrame, key: str, carry: tuple[str, ...] = ()) -> Data
 TASK_PAIRS = 4_000_000
 
 
-def shared_counts(own: DataFrame, key: str) -> DataFrame:
-    """(src, dst, support_count, n_src, n_dst): all pairs of skills that share a ``key``, src < dst, and how many they share.
+def pair_counts(own: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """((pair, support_count), (skill_id, n, i)): a row per pair of skills that share a ``key``, with how many they share, and the numbers of skills.
 
-    ``own(key, skill_id)`` has distinct rows and is written, as it is read several times; n_src and n_dst are the rows of a
-    skill. Skills go by their place in the order of names, so a pair is one number. The sets of the keys are dealt by range
-    of their first skill: those that share skills are counted in one task, which sends a pair once however often it meets
-    it. Keys with more than PAIR_BLOCK skills go through ``pairs_sharing``.
+    ``own(key, skill_id)`` has distinct rows and is written, as it is read several times; n is a skill's rows. Skills go by
+    their place in the order of names, so a pair is one number, the smaller name's first. The sets of the keys are dealt by
+    range of their first skill: those that share skills are counted in one task, which sends a pair once however often it
+    meets it. Keys with more than PAIR_BLOCK skills go through ``pairs_sharing``.
     """
     known = own.where(F.col("skill_id").isNotNull())
     sizes = known.groupBy("skill_id").agg(F.count("*").alias("n"))
@@ -152,7 +152,12 @@ def shared_counts(own: DataFrame, key: str) -> DataFrame:
         hubs = coded.join(keys, key, "left_semi").withColumnRenamed("i", "skill_id")
         met = met.unionByName(pairs_sharing(hubs, key).select(F.col("src").alias("a"), F.col("dst").alias("b")))
     pair = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
-    counts = met.groupBy(pair.alias("pair")).agg(F.count("*").alias("support_count"))
+    return met.groupBy(pair.alias("pair")).agg(F.count("*").alias("support_count")), names
+
+
+def shared_counts(own: DataFrame, key: str) -> DataFrame:
+    """(src, dst, support_count, n_src, n_dst): the pairs of ``pair_counts`` by name, src < dst, with the rows of both skills."""
+    counts, names = pair_counts(own, key)
     named = lambda end: names.select(F.col("i").alias(f"__{end}"), F.col("skill_id").alias(end), F.col("n").alias(f"n_{end}"))
     ends = counts.select(F.shiftright("pair", 32).cast("int").alias("__src"), F.col("pair").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("__dst"), "support_count")
     return ends.join(named("src"), "__src").join(named("dst"), "__dst").select("src", "dst", "support_count", "n_src", "n_dst")

@@ -140,7 +140,7 @@ SELECT (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM mt)) AS pairs_met,
 )
 def _(v: Views):
     sets = materialize(_learner_sets(v))
-    return similarity.similarity_work(sets, _THETA).crossJoin(relations.pairs_sharing(sets, "question_id").distinct().agg(F.count("*").alias("pairs_sharing_a_question")))
+    return similarity.similarity_work(sets, _THETA).crossJoin(relations.pair_counts(sets, "question_id")[0].agg(F.count("*").alias("pairs_sharing_a_question")))
 
 
 @query("d10_e_sim_topk", "SELECT src, dst, weight, support_count FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM sim) WHERE r <= 20", "sim", digits=("weight",))
