@@ -580,3 +580,29 @@ def test_reliability_means_are_exact(spark):
     odd = spark.createDataFrame([("a", 1, None), ("b", 1, float("inf")), ("b", 1, 0.5)], "model string, y_true int, y_pred double")
     found = {r["model"]: r["confidence"] for r in odd.groupBy("model").agg(exact_mean("y_pred").alias("confidence")).collect()}
     assert found == {"a": None, "b": float("inf")}
+
+
+def test_pairs_of_repeated_rows(spark):
+    """Rows of a learner and skill may repeat: a pair counts a learner once, and n counts a learner once."""
+    rows = spark.createDataFrame([("l1", "a"), ("l1", "b"), ("l1", "a"), ("l2", "b"), ("l2", "a"), ("l3", "a"), (None, "a")], "learner_id string, skill_id string")
+    assert [tuple(r) for r in relations.shared_counts(rows, "learner_id").collect()] == [("a", "b", 2, 4, 2)]
+
+
+def test_quantiles_of_many_groups(spark, monkeypatch):
+    """Groups of few rows by percentiles in their tasks, larger ones over range partitions: the same numbers."""
+    import pandas as pd
+
+    from skillgraph.functions import ranking
+
+    monkeypatch.setattr(ranking, "GROUP_ROWS", 20)
+    choose = random.Random(5)
+    values = {f"s{i}": [choose.randrange(50) for _ in range(i + 1)] for i in range(40)} | {None: [3, 4]}
+    df = spark.createDataFrame([(k, x) for k, xs in values.items() for x in xs] + [("none", None)], "skill_id string, timestamp long")
+    found = {r["skill_id"]: (r["t"], r["q"]) for r in ranking.quantiles_of_many(df, ["skill_id"], "timestamp", {"t": 0.5, "q": 0.25}).collect()}
+    assert found == {k: (pd.Series(xs).median(), pytest.approx(pd.Series(xs).quantile(0.25))) for k, xs in values.items()}
+
+
+def test_views_write_the_order_once(spark):
+    from skillgraph.plans.fixtures import Views
+
+    assert all("sf0.001" not in path for path in Views(spark, "/root/testdata/sf0.001").pre.inputFiles())
