@@ -606,3 +606,15 @@ def test_views_write_the_order_once(spark):
     from skillgraph.plans.fixtures import Views
 
     assert all("sf0.001" not in path for path in Views(spark, "/root/testdata/sf0.001").pre.inputFiles())
+
+
+def test_both_ways_meet_in_a_task(spark):
+    """An edge follows its reverse in one task, so pairs of ends are as many before a shuffle as edges; one-way edges stay so."""
+    edges = spark.range(0, 1000, 1, 4).selectExpr("cast(id as string) as src", "cast(id + 1 as string) as dst", "id as support_count", "1.0D as weight", "'train' as source_split")
+    both = relations.both_ways(edges, F.col("support_count") % 5 != 0)
+    assert both.columns == edges.columns and both.count() == 1800
+    per_task = both.groupBy(F.spark_partition_id(), F.least("src", "dst"), F.greatest("src", "dst")).count()
+    assert per_task.count() == 1000
+    row = audit.symmetry_audit(both.unionByName(both.limit(10)).unionByName(edges.where("support_count = 1").withColumn("dst", F.col("src")))).first()
+    assert (row["edges"], row["missing_reverse"], row["status"]) == (1811, 200, "FLAG")
+    assert relations.both_ways(edges).count() == 2000 and audit.symmetry_audit(relations.both_ways(edges)).first()["status"] == "PASS"
