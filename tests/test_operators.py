@@ -618,3 +618,12 @@ def test_both_ways_meet_in_a_task(spark):
     row = audit.symmetry_audit(both.unionByName(both.limit(10)).unionByName(edges.where("support_count = 1").withColumn("dst", F.col("src")))).first()
     assert (row["edges"], row["missing_reverse"], row["status"]) == (1811, 200, "FLAG")
     assert relations.both_ways(edges).count() == 2000 and audit.symmetry_audit(relations.both_ways(edges)).first()["status"] == "PASS"
+
+
+def test_planted_splits_are_written_once(spark):
+    """Audits read the planted split three times; it comes from a narrow table, not from the log anew."""
+    from skillgraph.plans import checks
+    from skillgraph.plans.fixtures import Views
+
+    split, _ = checks._planted(Views(spark, "/root/testdata/sf0.001"))
+    assert split.columns == ["learner_id", "split", "skill_id"] and all("sf0.001" not in path for path in split.inputFiles())
