@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,33 @@ def test_cycles_of_dense_graphs(spark, monkeypatch, task_edges, parts):
     assert rows(graph.break_cycles(df), "src", "dst") == least_edges_removed((w, a, b) for (a, b), w in some.items())
 
 
+@pytest.mark.parametrize("task_edges", [1_000_000, 40])
+def test_cycles_in_many_components(spark, monkeypatch, task_edges):
+    """Components of a few edges are told by tasks, larger ones by their heaviest edges first; none of these is cut."""
+    rng = random.Random(5)
+    some = {(f"{c}{rng.randrange(9)}", f"{c}{rng.randrange(9)}"): rng.randrange(4) for c in "abc" for _ in range(50)}
+    some |= {("z", "z"): 1, ("y", "y"): 2, ("y", "x"): 1}
+    df = edges_of(spark, [(a, b, w) for (a, b), w in some.items()])
+    monkeypatch.setattr(graph, "_cut_to_the_end", None)
+    monkeypatch.setattr(graph, "TASK_EDGES", task_edges)
+    assert rows(graph.break_cycles(df), "src", "dst") == least_edges_removed((w, a, b) for (a, b), w in some.items())
+
+
+def test_closing_edges_of_random_graphs():
+    """Edges by halves against one edge after the other, with connections among them."""
+    rng = np.random.default_rng(4)
+    for n, m in ((3, 9), (8, 40), (30, 90), (60, 70), (60, 400)):
+        for _ in range(20):
+            a, b, judge = rng.integers(0, n, m), rng.integers(0, n, m), rng.random(m) < 0.8
+            reach, want = {v: {v} for v in range(n)}, []
+            for x, y, j in zip(a.tolist(), b.tolist(), judge.tolist()):
+                want.append(j and x in reach[y])
+                for v in reach:
+                    if x in reach[v]:
+                        reach[v] = reach[v] | reach[y]
+            assert graph._closing(a, b, judge.copy()).tolist() == want
+
+
 def test_deep_graphs(spark):
     names = [f"n{i * 7919 % 5000:04d}" for i in range(5000)]  # a chain of 5,000 nodes in no order of names
     chain = edges_of(spark, [(a, b, 1) for a, b in zip(names, names[1:])])
