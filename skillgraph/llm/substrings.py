@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -250,41 +251,57 @@ def similar_passages(
     Runs of a's shingles that stand in b, each along the diagonal nearest to the one before, are joined
     over gaps; of the spans that start at a run the longest whose shingle sets have a Jaccard
     similarity of ``similarity`` or more, counted exactly as the spans grow, is a passage. A run that lies elsewhere in b
-    counts in a only, and a span grows until shingles of a that b lacks rule the similarity out for all longer ones.
+    counts in a only, and a span grows until shingles of a that b lacks rule the similarity out for all longer ones. Runs
+    from which they rule it out for every span are passed over.
     """
     number: dict[tuple[bytes, ...], int] = {}
     ids = lambda w: [number.setdefault(s, len(number)) for s in zip(*(w[k:] for k in range(SHINGLE)))]
-    theirs, mine = ids(b), ids(a)
-    place: dict[int, list[int]] = {}
+    theirs = ids(b)
+    known = len(number)  # shingles that b lacks have this number or a later one
+    mine = ids(a)
+    place: list[list[int]] = [[] for _ in range(known)]
     for j, s in enumerate(theirs):
-        place.setdefault(s, []).append(j)
+        place[s].append(j)
     runs: list[tuple[int, int, int, int]] = []  # from, to in a's shingles; from, to in b's
-    i = 0
+    # shingles of a that b lacks, each where it first stands: in a passage they are a share of 1 - similarity at most, so from
+    # a run on only ends count whose excess over that share is no larger than at its start
+    excess: list[tuple[float, float]] = []
+    i, lacked = 0, 0
     while i < len(mine):
-        at = place.get(mine[i])
-        if at is None:
+        if mine[i] >= known:
+            lacked = max(lacked, mine[i] - known + 1)
             i += 1
             continue
+        at = place[mine[i]]
         ahead = runs[-1][3] + i - runs[-1][1] if runs else i
-        k = bisect_left(at, ahead)
-        j = min(at[max(0, k - 1) : k + 1], key=lambda x: abs(x - ahead))
+        if len(at) == 1:
+            j = at[0]
+        else:
+            k = bisect_left(at, ahead)
+            j = min(at[max(0, k - 1) : k + 1], key=lambda x: abs(x - ahead))
         n = 1
         while i + n < len(mine) and j + n < len(theirs) and mine[i + n] == theirs[j + n]:
             n += 1
         runs.append((i, i + n, j, j + n))
+        excess.append((lacked - (1 - similarity) * i, lacked - (1 - similarity) * (i + n)))
         i += n
+    least = list(accumulate((e for _, e in reversed(excess)), min))[::-1]
     out, k = [], 0
     while k < len(runs):
+        last = bisect_right(least, excess[k][0] + 1e-6)  # later ends are out of reach
+        if last <= k or runs[last - 1][1] - runs[k][0] < shortest:
+            k += 1
+            continue
         x0, x1, y0, y1 = runs[k][0], runs[k][0], runs[k][2], runs[k][2]
         p: set[int] = set()
         q: set[int] = set()
         shared, lacking, taken = 0, 0, None
-        for m in range(k, len(runs)):
-            for s in mine[x1 : runs[m][1]]:
-                if s not in p:
-                    p.add(s)
-                    shared += s in q
-                    lacking += s not in place
+        for m in range(k, last):
+            new = {*mine[x1 : runs[m][1]]} - p
+            shared += len(new & q)
+            if x1 < runs[m][0]:
+                lacking += sum(s >= known for s in new)
+            p |= new
             x1 = runs[m][1]
             # a union holds what is lacking, and grows by the shingles that are left at most
             if lacking > (1 - similarity) * (len(p) + len(q) - shared + len(mine) - x1 + len(theirs) - (y1 - y0)) + 1e-9:
@@ -292,10 +309,9 @@ def similar_passages(
             low, high = min(y0, runs[m][2]), max(y1, runs[m][3])
             if high - low > (runs[m][1] - x0) / similarity + 2 * SHINGLE and high - low > shortest / similarity:
                 continue  # the run lies elsewhere in b
-            for s in theirs[low:y0] + theirs[y1:high]:
-                if s not in q:
-                    q.add(s)
-                    shared += s in p
+            new = {*theirs[low:y0], *theirs[y1:high]} - q
+            shared += len(new & p)
+            q |= new
             y0, y1 = low, high
             jaccard = shared / (len(p) + len(q) - shared)
             if jaccard >= similarity and x1 - x0 >= shortest:

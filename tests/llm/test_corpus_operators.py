@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from base64 import b32encode
 
@@ -741,3 +742,16 @@ def test_passages_with_stray_runs_and_low_starts_are_whole():
     # what cannot become similar any more is left
     a, b = (words("h", 60) + words(other, 900) + words("t", 60) for other in ("n", "m"))
     assert [p[:4] for p in similar_passages(a, b, 46, 0.8)] == [(0, 60, 0, 60), (960, 1020, 960, 1020)]
+
+
+def test_hopeless_starts_are_passed_over():
+    """Runs from which the lacking words rule a passage out cost no look at the runs behind them; passages stay as they are."""
+    alone = [b"u%d" % i for i in range(60_000)]
+    shared = [b"s%d" % i for i in range(60)]
+    mine, theirs = [], []
+    for i in range(0, 60_000, 20):  # five shared words after every twenty of its own, 3,000 times
+        mine += [*alone[i : i + 20], *(b"r%d.%d" % (i, j) for j in range(5))]
+        theirs += [b"t%d" % i, *(b"r%d.%d" % (i, j) for j in range(5))]
+    began = time.process_time()
+    assert substrings.similar_passages(mine + shared, theirs + shared, 46, 0.8)[-1][:2] == (len(mine) - 5, len(mine) + 60)  # the last five shared words stand before it
+    assert time.process_time() - began < 5
