@@ -104,6 +104,16 @@ def test_cycles_in_many_components(spark, monkeypatch, task_edges):
     assert rows(graph.break_cycles(df), "src", "dst") == least_edges_removed((w, a, b) for (a, b), w in some.items())
 
 
+def test_cycles_behind_heavy_paths(spark, monkeypatch):
+    """The heaviest edges connect nothing strongly, so what they leave is cut by weight."""
+    some = {(f"n{i}", f"n{i + 1}"): 9 for i in range(8)} | {(f"n{i + 1}", f"n{i}"): i for i in range(8)} | {("n8", "n0"): 1, ("n3", "n0"): 4}
+    df = edges_of(spark, [(a, b, w) for (a, b), w in some.items()])
+    cuts, cut = [], graph._cut_to_the_end
+    monkeypatch.setattr(graph, "_cut_to_the_end", lambda *args: cuts.append(1) or cut(*args))
+    monkeypatch.setattr(graph, "TASK_EDGES", 8)
+    assert rows(graph.break_cycles(df), "src", "dst") == least_edges_removed((w, a, b) for (a, b), w in some.items()) and cuts
+
+
 def test_closing_edges_of_random_graphs():
     """Edges by halves against one edge after the other, with connections among them."""
     rng = np.random.default_rng(4)
