@@ -182,8 +182,8 @@ def _(v: Views):
     "sim", "co",
 )
 def _(v: Views):
-    a = v.sim.withColumn("relation_type", F.lit("sim"))
-    b = v.co.select(F.col("src").alias("from"), F.col("dst").alias("to"), F.col("weight").alias("pmi"), F.lit("co").alias("relation_type"), F.lit("pmi").alias("construction_method"))
+    a = v.sim_once.withColumn("relation_type", F.lit("sim"))
+    b = v.co_once.select(F.col("src").alias("from"), F.col("dst").alias("to"), F.col("weight").alias("pmi"), F.lit("co").alias("relation_type"), F.lit("pmi").alias("construction_method"))
     names = tables.schemas.CONTEXTS["prerequisite_scores"]
     both = tables.union_edge_tables(a, b, renamed={"src": names["src"], "dst": names["dst"], "weight": tables.schemas.CONTEXTS["co_occurrence"]["weight"]}, defaults={"support_count": 0, "construction_method": "default"})
     return both.groupBy("relation_type").agg(F.count("*").alias("n_edges"), F.sum("support_count").alias("support"), F.min("construction_method").alias("construction_method"), F.countDistinct("src").alias("sources"))

@@ -665,3 +665,42 @@ def test_planted_splits_are_written_once(spark):
 
     split, _ = checks._planted(Views(spark, "/root/testdata/sf0.001"))
     assert split.columns == ["learner_id", "split", "skill_id"] and all("sf0.001" not in path for path in split.inputFiles())
+
+
+def test_pairs_are_counted_in_blocks(spark, monkeypatch):
+    """Many skills that seldom meet twice, and a key with more skills than a block: pairs travel in blocks of many, not as a row each."""
+    from itertools import combinations
+
+    monkeypatch.setattr(relations, "PAIR_BLOCK", 30)
+    monkeypatch.setattr(relations, "TASK_PAIRS", 500)
+    choose = random.Random(3)
+    held = {f"k{i}": choose.sample(range(90), choose.randrange(1, 20)) for i in range(60)} | {"hub": list(range(70))}
+    expected = {}
+    for skills in held.values():
+        for a, b in combinations(sorted(f"s{s:02d}" for s in skills), 2):
+            expected[a, b] = expected.get((a, b), 0) + 1
+    rows = spark.createDataFrame([(k, f"s{s:02d}") for k, skills in held.items() for s in skills], "key string, skill_id string")
+    for least in (1, 2):
+        counts, names, _ = relations.pair_counts(rows, "key", least)
+        name = {r["i"]: r["skill_id"] for r in names.collect()}
+        found = [((name[r["pair"] >> 32], name[r["pair"] & (2**32 - 1)]), r["support_count"]) for r in counts.collect()]
+        assert len(found) == len(set(found)) and dict(found) == {p: c for p, c in expected.items() if c >= least}
+    assert "HashAggregate" not in counts._jdf.queryExecution().optimizedPlan().toString() and counts.rdd.getNumPartitions() > 4
+    few = spark.createDataFrame([("k", "a"), (None, "b")], "key string, skill_id string")
+    assert relations.pair_counts(few, "key")[0].count() == 0
+
+
+def test_edges_are_read_once(spark, tmp_path):
+    """What audits and the weight distribution still ask is answered from counts, so the edges need not be written."""
+    path = str(tmp_path / "edges")
+    rows = [("a", "b", 2.0, 1, False, "train"), ("a", "c", 2.0, 3, False, "train"), ("b", "c", 5.0, 4, None, "train"), ("b", "d", -1.0, None, False, None)]
+    spark.createDataFrame(rows, "src string, dst string, weight double, support_count long, directed boolean, source_split string").write.parquet(path)
+    edges = spark.read.parquet(path)
+    for df in (cdf := relations.weight_cdf(edges), found := audit.e_co_audit(edges)):
+        assert not any(path in f for f in df.inputFiles())
+    assert [tuple(r) for r in cdf.orderBy("weight").collect()] == [(-1.0, 0.25), (2.0, 0.75), (5.0, 1.0)]
+    row = found.first().asDict()
+    assert (row["edges"], row["support_min"], row["support_q25"], row["support_median"], row["support_q75"], row["support_max"]) == (4, 1, 2.0, 3.0, 3.5, 4)
+    assert row["support_mean"] == 8 / 3 and row["positive_weights"] == 3 and row["status"] == "PASS"
+    empty = audit.e_co_audit(edges.where("src = 'z'")).first()
+    assert (empty["edges"], empty["support_mean"], empty["positive_weights"], empty["status"]) == (0, None, 0, "PASS")
