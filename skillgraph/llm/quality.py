@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -16,8 +17,8 @@ DIMENSIONS = 64
 #: Labelled rows the model is fitted on at most, and characters of all of them together.
 SAMPLE_ROWS, SAMPLE_CHARS = 6000, 64_000_000
 MIN_WORD_COUNT, MAX_WORDS, MAX_SHAPES = 8, 50_000, 4096
-#: Words whose ids a worker keeps, and characters of the longest of them.
-CACHED_WORDS, CACHED_CHARS = 400_000, 256
+#: Words whose ids a worker keeps, or the driver while it fits, and characters of the longest of them.
+CACHED_WORDS, FITTING_WORDS, CACHED_CHARS = 400_000, 80_000, 256
 
 
 def shape(word: str) -> str:
@@ -56,9 +57,10 @@ class Model:
 
     def __post_init__(self):
         self.cache: dict[str, tuple[int, int]] = {}
+        self.room = CACHED_WORDS
 
     def ids(self, word: str) -> tuple[int, int]:
-        if len(self.cache) > CACHED_WORDS:
+        if len(self.cache) > self.room:
             self.cache.clear()
         found = self.words.get(word.lower(), 0), self.shapes.get(shape(word), 0)
         if len(word) <= CACHED_CHARS:
@@ -106,6 +108,8 @@ def fit_vectors(texts: list[str]) -> Model:
     outlines = [s for s, n in shapes.most_common(MAX_SHAPES) if n >= 2]
     # id 0: unknown; shape id 1: a word equal to the one before
     model = Model({w: i + 1 for i, w in enumerate(known)}, {s: i + 2 for i, s in enumerate(outlines)})
+    model.room = FITTING_WORDS
+    del words, shapes
     own = np.array([index_vector("?"), index_vector("="), *map(index_vector, outlines)])
     context = np.zeros((len(known) + 1, DIMENSIONS), dtype=np.float32)
     around = np.zeros_like(own)
@@ -163,10 +167,18 @@ def fit(texts: list[str], labels: np.ndarray, hidden: int = 32, epochs: int = 60
         return float(-np.mean(truth * np.log(p + 1e-12) + (1 - truth) * np.log(1 - p + 1e-12)))
 
     model.temperature = min(np.geomspace(0.5, 8, 41), key=loss)
-    model.cache.clear()
+    model.cache, model.room = {}, CACHED_WORDS
     return model
 
 
+def _give_back() -> None:
+    """Freed memory back to the system, where the C library can; else the driver would keep what the fit took."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -195,7 +207,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows:
             left -= r["n"]
     fitting = docs.sparkSession.createDataFrame(taken, "doc_id long, mark long").distinct()
     found = joined.join(F.broadcast(fitting), ["doc_id", "mark"]).orderBy(*order).limit(len(taken)).collect()
-    return fit([r["text"] for r in found], np.array([r["label"] for r in found], dtype=np.int64))
+    sample, truth = [r["text"] for r in found], np.array([r["label"] for r in found], dtype=np.int64)
+    del found
+    model = fit(sample, truth)
+    del sample
+    _give_back()
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:

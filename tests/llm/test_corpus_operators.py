@@ -539,6 +539,30 @@ def test_a_chain_of_near_copies_is_one_group(spark):
     assert {r["doc_id"] for r in nearcopies.one_of_each_group(docs_of(spark, texts)).collect()} == {0, 8}
 
 
+def test_candidates_of_the_least_similarity_are_not_ruled_out(spark):
+    rng, texts = random.Random(26), []
+    for _ in range(400):
+        w = words(rng, 94, 5000).split()
+        texts += [" ".join(w), " ".join(w[:-10] + [f"edit{rng.randrange(10**6)}" for _ in range(10)])]
+    assert similar(shingles(texts[0]), shingles(texts[1])) == 0.8
+    docs = docs_of(spark, texts).select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("mark"), "text")
+    classes = nearcopies._classes(docs, nearcopies.PRINTS).cache()
+    none = spark.createDataFrame([], "a long, b long")
+    found = nearcopies._other_pairs(classes, [(0, 0, 0)], none, none, classes.select("key"), nearcopies.most_differing(0.8), 0.8)
+    doc = {r["key"]: r["doc"] for r in classes.select("key", "doc").collect()}
+    assert {(i, i + 1) for i in range(0, 800, 2)} <= {tuple(sorted((doc[r["a"]], doc[r["b"]]))) for r in found.collect()}
+
+
+def test_near_copies_among_short_texts(spark):
+    rng, texts = random.Random(27), []
+    for n in (8, 8, 8, 12, 16, 30):  # a word more: 4 and 5 shingles have a similarity of exactly 0.8
+        for _ in range(60):
+            w = words(rng, n + 1, 5000).split()
+            texts += [" ".join(w[:-1]), " ".join(w)]
+    kept = nearcopies.one_of_each_group(docs_of(spark, texts))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, len(texts), 2))
+
+
 def test_near_copies_odd_tables(spark):
     rng = random.Random(23)
     text = words(rng, 60, 5000)
