@@ -8,12 +8,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import materialize, sorted_groups
+from ._spark import materialize
 from .vectordedup import usable
 
 #: Vectors the tree is fitted on at most and for each leaf, children of a node, and rows a leaf should hold.
@@ -21,6 +21,10 @@ SAMPLE_ROWS, LEAF_SAMPLE, BRANCH, LEAF_ROWS = 131_072, 32, 16, 256
 #: Queries whose true neighbours calibrate the number of leaves to visit.
 CALIBRATION_QUERIES = 128
 CHUNK = 4096
+#: Rows of the bins that one task searches, queries compared with them at a time, and pairs scored exactly at a time.
+TASK_ROWS, ASKED, SCORED = 16_384, 64, 32_768
+#: Rows of a batch of queries on their way to the tasks.
+ROUTED = 4096
 
 
 @dataclass
@@ -122,14 +126,15 @@ def _top(q: np.ndarray, q_id: int, x: np.ndarray, ids: np.ndarray, products: np.
     return ids[kept][order], scores[order]
 
 
-def _tops(q_ids: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """``_top`` of many queries at once: (ids, scores) of each."""
-    products, own = q @ x.T, ids[None, :] == q_ids[:, None]
-    products[own] = -np.inf
+def _tops(q: np.ndarray, excluded: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(ids, scores) of the k best rows of each query, without those that ``excluded`` (queries by rows) marks; all ties of
+    the last are scored exactly, SCORED at a time."""
+    products = q @ x.T
+    products[excluded] = -np.inf
     at = max(0, len(ids) - k)
     least = np.partition(products, at, axis=1)[:, at, None]
-    row, column = np.nonzero((products >= least - 1e-9 * np.maximum(1.0, np.abs(np.where(np.isinf(least), 0, least)))) & ~own)
-    scores = _exact(q[row], x[column])
+    row, column = np.nonzero((products >= least - 1e-9 * np.maximum(1.0, np.abs(np.where(np.isinf(least), 0, least)))) & ~excluded)
+    scores = np.concatenate([_exact(q[row[i : i + SCORED]], x[column[i : i + SCORED]]) for i in range(0, max(1, len(row)), SCORED)])
     order = np.lexsort((ids[column], -scores, row))
     starts = np.searchsorted(row, np.arange(len(q) + 1))
     found = [order[a : min(b, a + k)] for a, b in zip(starts, starts[1:])]
@@ -137,6 +142,7 @@ def _tops(q_ids: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: i
 
 
 _TOP = "query_id long, ids array<long>, scores array<double>"
+_SENT = "vec_id long, embedding array<double>, task int, bins array<int>, role int"
 
 
 def nearest_neighbours(
@@ -149,7 +155,8 @@ def nearest_neighbours(
     The tree is fitted on LEAF_SAMPLE vectors a leaf, at most ``sample_rows`` (those of the smallest hash of id),
     and indexes every row; leaves grow in number with the rows until the sample is spent, and in size from there on. Leaves are visited best bin first, as many as bring CALIBRATION_QUERIES queries, compared
     with brute force over all rows, to ``recall``, and for each query on until they hold ``k`` rows
-    besides its own. Large leaves are cut into chunks of CHUNK rows.
+    besides its own. Large leaves are cut into chunks of CHUNK rows; a task holds the chunks that are dealt to it, about
+    TASK_ROWS rows, and a query comes once to each task, with the chunks to search there.
 
     Null, empty, zero and non-finite vectors, rows with a null id and vectors of another length than
     the most common one take no part. Repeated rows of ``vectors`` are candidates once; fewer than k
@@ -178,69 +185,78 @@ def nearest_neighbours(
     placed = materialize(rows.mapInArrow(assign, "vec_id long, embedding array<double>, leaf long"))
     sizes = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # one number a leaf, 4096 at most
     leaf_sizes = spark.sparkContext.broadcast([sizes.get(i, 0) for i in range(tree.value.leaves)])
-    chunks_of = spark.sparkContext.broadcast([math.ceil(sizes.get(i, 0) / CHUNK) for i in range(tree.value.leaves)])
+    chunks = np.array([math.ceil(x / CHUNK) for x in leaf_sizes.value], dtype=np.int64)
+    first_bin = np.cumsum(chunks) - chunks
+    tasks = max(math.ceil(n / TASK_ROWS), min(spark.sparkContext.defaultParallelism, math.ceil(n / leaf_rows)))
     visits = _calibrate(placed, asked, tree, dims, k, recall, by_hash)
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf = batch.column(2).to_numpy()
+            mixed = (batch.column(0).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+            bins = first_bin[leaf] + (mixed % chunks[leaf].astype(np.uint64)).astype(np.int64)
+            yield _sent(batch.column(0), batch.column(1), bins % tasks, pa.array([[x] for x in (bins // tasks).tolist()], pa.list_(pa.int32())), 0)
+
     def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                found = tree.value.visit(_matrix(part.column(1), dims), visits, leaf_sizes.value, k + part.column(2).to_numpy())
-                bins = [[(leaf, c) for leaf in leaves for c in range(chunks_of.value[leaf])] for leaves in found]
-                taken = np.repeat(np.arange(part.num_rows), [len(b) for b in bins])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(taken)), part.column(1).take(pa.array(taken)), pa.array([x for b in bins for x, _ in b], pa.int64()), pa.array([x for b in bins for _, x in b], pa.int64())],
-                    names=["vec_id", "embedding", "leaf", "chunk"],
-                )
+            for at in range(0, batch.num_rows, ASKED):
+                part = batch.slice(at, ASKED)
+                taken, to, bins = [], [], []
+                for i, leaves in enumerate(tree.value.visit(_matrix(part.column(1), dims), visits, leaf_sizes.value, k + part.column(2).to_numpy())):
+                    own = np.sort(np.concatenate([first_bin[leaf] + np.arange(chunks[leaf]) for leaf in leaves]))
+                    own = own[np.argsort(own % tasks, kind="stable")]
+                    task, starts = np.unique(own % tasks, return_index=True)
+                    taken += [i] * len(task)
+                    to += task.tolist()
+                    bins += [x.tolist() for x in np.split(own // tasks, starts[1:])] if len(task) else []
+                for low in range(0, len(taken), ROUTED):
+                    rows_of = pa.array(taken[low : low + ROUTED])
+                    yield _sent(part.column(0).take(rows_of), part.column(1).take(rows_of), np.array(to[low : low + ROUTED]), pa.array(bins[low : low + ROUTED], pa.list_(pa.int32())), 1)
 
     owned = rows.groupBy("vec_id").agg(F.count("*").alias("own"))
     asked = asked.join(owned, "vec_id", "left").select("vec_id", "embedding", F.coalesce("own", F.lit(0).cast("long")).alias("own"))
-    asking = asked.mapInArrow(routes, "vec_id long, embedding array<double>, leaf long, chunk long").withColumn("role", F.lit(1))
-    counts = F.element_at(F.array(*[F.lit(c) for c in chunks_of.value]), (F.col("leaf") + 1).cast("int")) if len(set(chunks_of.value)) > 1 else F.lit(max(chunks_of.value))
-    chunk = F.pmod(F.xxhash64("vec_id"), F.greatest(counts, F.lit(1)).cast("long"))
-    held = placed.select("vec_id", "embedding", "leaf", chunk.alias("chunk"), F.lit(0).alias("role"))
-
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x = ids = None
-        for frame in _split_roles(frames):
-            if frame["role"].iloc[0] == 0:
-                x, ids, at = np.array(frame["embedding"].tolist()), frame["vec_id"].to_numpy(), (frame["leaf"].iloc[0], frame["chunk"].iloc[0])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, x, ids, bin_of, at = [], None, None, None, None
+        for role, task, part in _by_role(batches):
+            if role == 0:
+                if task != at:
+                    held, x, at = [], None, task
+                held.append((_matrix(part.column(1), dims), part.column(0).to_numpy(), part.column(3).flatten().to_numpy()))
                 continue
-            if x is None or at != (frame["leaf"].iloc[0], frame["chunk"].iloc[0]):
+            if task != at:
                 continue
-            q = np.array(frame["embedding"].tolist())
-            for low in range(0, len(q), 512):
-                asking = frame["vec_id"].to_numpy()[low : low + 512]
-                found, scores = _tops(asking, q[low : low + 512], x, ids, k)
-                yield pd.DataFrame({"query_id": asking, "ids": found, "scores": scores})
-
-    bins = held.unionByName(asking).repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk", "role")
-    tops = bins.mapInPandas(search, _TOP).groupBy("query_id").agg(F.flatten(F.collect_list(F.arrays_zip("scores", "ids"))).alias("all"))
+            if x is None:
+                x, ids, bin_of = (np.concatenate(c) for c in zip(*held))
+                held = []
+            for low in range(0, part.num_rows, ASKED):
+                some = part.slice(low, ASKED)
+                asking, lists = some.column(0).to_numpy(), some.column(3)
+                visited = np.zeros((len(asking), int(bin_of.max()) + 2), dtype=bool)
+                visited[np.repeat(np.arange(len(asking)), pc.list_value_length(lists).to_numpy()), np.minimum(pc.list_flatten(lists).to_numpy(), visited.shape[1] - 1)] = True
+                found, scores = _tops(_matrix(some.column(1), dims), ~visited[:, bin_of] | (ids[None, :] == asking[:, None]), x, ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(asking), pa.array(found, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
+
+    bins = placed.mapInArrow(deal, _SENT).unionByName(asked.mapInArrow(routes, _SENT)).repartitionById(tasks, "task").sortWithinPartitions("task", "role")
+    tops = bins.mapInArrow(search, _TOP).groupBy("query_id").agg(F.flatten(F.collect_list(F.arrays_zip("scores", "ids"))).alias("all"))
     best = F.slice(F.array_sort(F.transform("all", lambda e: F.struct((-e["scores"]).alias("s"), e["ids"].alias("v")))), 1, k)
     ranked = tops.select("query_id", F.posexplode(best).alias("rank", "e"))
     return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("e.v").alias("vec_id"), (-F.col("e.s")).alias("score"))
 
 
-def _split_roles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of a bin as one group, which its size bounds; then its queries frame by frame, of any number."""
+def _sent(ids: pa.Array, vectors: pa.Array, tasks: np.ndarray, bins: pa.Array, role: int) -> pa.RecordBatch:
+    columns = [ids, vectors, pa.array(tasks.astype(np.int32)), bins, pa.array(np.full(len(ids), role, dtype=np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=["vec_id", "embedding", "task", "bins", "role"])
 
-    def parts() -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            new = (frame[["leaf", "chunk", "role"]].diff().fillna(0) != 0).any(axis=1).cumsum()
-            yield from (part for _, part in frame.groupby(new, sort=False))
 
-    held: list[pd.DataFrame] = []
-    for part in parts():
-        key = (part["leaf"].iloc[0], part["chunk"].iloc[0])
-        if part["role"].iloc[0] == 0:
-            if held and (held[0]["leaf"].iloc[0], held[0]["chunk"].iloc[0]) != key:
-                held = []
-            held.append(part)
-            continue
-        if held:
-            yield pd.concat(held)
-            held = []
-        yield part
+def _by_role(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(role, task, rows) of batches sorted by task and role: each batch cut where one of them changes."""
+    for batch in batches:
+        task, role = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+        cuts = np.flatnonzero((np.diff(task) != 0) | (np.diff(role) != 0)) + 1
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            if high > low:
+                yield int(role[low]), int(task[low]), batch.slice(low, high - low)
 
 
 def brute_force(vectors: DataFrame, queries: list[tuple[int, list[float]]], dims: int, k: int) -> DataFrame:
@@ -249,7 +265,7 @@ def brute_force(vectors: DataFrame, queries: list[tuple[int, list[float]]], dims
     shared = spark.sparkContext.broadcast(([q for q, _ in queries], np.array([v for _, v in queries], dtype=np.float64)))
     schema = "query_id long, vec_id long, score double, leaf long"
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, q = shared.value
         best = {i: (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)) for i in range(len(q_ids))}
         for batch in batches:

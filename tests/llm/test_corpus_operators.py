@@ -215,6 +215,24 @@ def test_outlying_queries_get_all_ranks(spark, monkeypatch):
     assert {q: sorted(own["rank"]) for q, own in got.groupby("query_id")} == {q: list(range(1, 21)) for q in range(0, len(x), 20)}
 
 
+def test_a_query_comes_once_to_each_task(spark, monkeypatch):
+    """A query that visits many leaves was sent once for each of them, all rows of 1,024 queries in one batch."""
+    monkeypatch.setattr(ann, "TASK_ROWS", 300, raising=False)
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(1200, 8))
+    x[900:] = x[900]  # one vector many times, over several chunks
+    monkeypatch.setattr(ann, "CHUNK", 128)
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    df = ann.nearest_neighbours(v, v.where("vec_id % 20 = 0"), k=5, recall=1.0, leaf_rows=8)
+    got = df.toPandas().groupby("query_id")["vec_id"].apply(list)
+    scores = x @ x.T
+    hit = [len(set(got[q]) & set(sorted((i for i in range(1200) if i != q), key=lambda i: (-round(scores[q, i], 9), i))[:5])) for q in range(0, 1200, 20)]
+    assert sum(hit) >= 0.97 * 5 * 60
+
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "leaf" not in "".join(line for line in text.splitlines() if "Exchange" in line) and "Exchange" in text
+
+
 def test_neighbours_odd_rows(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [1.0]), (None, [1.0, 1.0]), (20, [0.0, 2.0]), (1, [1.0, 0.0]), (40, None)]
