@@ -690,6 +690,24 @@ def test_pairs_are_counted_in_blocks(spark, monkeypatch):
     assert relations.pair_counts(few, "key")[0].count() == 0
 
 
+def test_pairs_travel_as_gaps():
+    """A block of pairs that hardly repeat takes four bytes a pair at most, and gives the pairs and counts back."""
+    gen = np.random.default_rng(5)
+    for size, n, parts in ((60_000, 400_000, 7), (60_000, 400_000, 6), (50, 30_000, 5), (2, 1, 1), (3, 0, 4)):
+        a, b = (np.sort(gen.integers(0, size, (n, 2)), axis=1) + 1).T
+        pairs = a.astype(np.int64) << 32 | b
+        step = relations._step(size + 1, parts)
+        batch = relations._blocks(pairs.copy(), parts, step)
+        rows_of = list(zip(*(batch.column(c).to_pylist() for c in ("part", "n", "pairs", "counts"))))
+        got = [(relations._unblocked(p, m, data, parts, step), relations._widened(c, m) if c else np.ones(m, dtype=np.int64)) for p, m, data, c in rows_of]
+        want, times = np.unique(pairs, return_counts=True)
+        found = np.concatenate([g[0] for g in got] + [np.empty(0, dtype=np.int64)])
+        order = np.argsort(found)
+        assert found[order].tolist() == want.tolist() and np.concatenate([g[1] for g in got] + [np.empty(0, dtype=np.int64)])[order].tolist() == times.tolist()
+        assert sum(len(data) + len(c or b"") for _, _, data, c in rows_of) <= 4 * len(want) + 20 * parts or size < 100
+        assert len(want) < 1000 or max(m for _, m, _, _ in rows_of) < 1.2 * len(want) / parts
+
+
 def test_edges_are_read_once(spark, tmp_path):
     """What audits and the weight distribution still ask is answered from counts, so the edges need not be written."""
     path = str(tmp_path / "edges")
