@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -91,16 +92,25 @@ def e_pre_variants(
     from .graph import cyclic_core, nodes_of, transitive_reduction
 
     w = Window.partitionBy("src").orderBy(F.desc("confidence"), F.desc("weight"), "dst")
-    ranked = materialize(scores.withColumn("__r", F.row_number().over(w)))
-    names = [F.lit("raw")] + [F.when(F.col("__r") <= k, F.lit(f"top{k}_out")) for k in ks] + [F.when(F.col("confidence") >= t, F.lit(f"confidence_{t:.2f}")) for t in thresholds]
-    rows = ranked.select("src", "dst", "weight", F.explode(F.array_compact(F.array(*names))).alias("variant"))
-    # one search for cycles serves all variants, as their nodes have names of their own
-    apart = lambda c: F.concat_ws("|", "variant", c).alias(c)
-    cyclic = cyclic_core(rows.select(apart("src"), apart("dst"), "weight")).select(F.substring_index("src", "|", 1).alias("variant")).distinct()
-    top = ranked.where(F.col("__r") <= reduced).select("src", "dst", "weight")
+    most = max(*ks, reduced)
+    best = written(scores.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most))
+    passing = [("raw", F.lit(True))] + [(f"confidence_{t:.2f}", F.col("confidence") >= t) for t in thresholds]
+    leading = [(f"top{k}_out", F.col("__r") <= k) for k in ks]
+    counted = lambda df, tests, *more: df.agg(*[F.count(F.when(test, 1)).alias(name) for name, test in tests], *more).first()
+    total = counted(scores, passing, F.bool_and(F.col("src") < F.col("dst")).alias("__up"), F.bool_and(F.col("src") > F.col("dst")).alias("__down"))
+    sizes = total.asDict() | counted(best, leading).asDict()
+    top = best.where(F.col("__r") <= reduced).select("src", "dst", "weight")
+    if total["__up"] is None or total["__up"] or total["__down"]:
+        cyclic, acyclic = set(), True  # all edges run one way in the order of names, so those of each variant do
+    else:
+        rows = [edges.where(test).select("src", "dst", "weight", F.lit(name).alias("variant")) for edges, tests in ((scores, passing), (best, leading)) for name, test in tests]
+        # one search for cycles serves all variants, as their nodes have names of their own
+        apart = lambda c: F.concat_ws("|", "variant", c).alias(c)
+        core = cyclic_core(reduce(DataFrame.unionByName, rows).select(apart("src"), apart("dst"), "weight"))
+        cyclic = {r["variant"] for r in core.select(F.substring_index("src", "|", 1).alias("variant")).distinct().collect()}  # a row a variant
+        acyclic = cyclic_core(top).isEmpty()
     name = f"top{reduced}_transitive_reduced"
-    acyclic = cyclic_core(top).isEmpty()
-    counts = rows.groupBy("variant").agg(F.count("*").alias("edges")).join(cyclic.withColumn("cycle", F.lit(True)), "variant", "left").select("variant", "edges", F.col("cycle").isNull().alias("dag"))
+    counts = scores.sparkSession.createDataFrame([(v, sizes[v], v not in cyclic) for v, _ in passing + leading if sizes[v]], "variant string, edges long, dag boolean")
     m = transitive_reduction(top).agg(F.count("*").alias("edges")) if acyclic else top.agg(F.lit(None).cast("long").alias("edges"))
     counts = counts.unionByName(m.select(F.lit(name).alias("variant"), "edges", F.lit(acyclic).alias("dag")))
     n = F.col("nodes")

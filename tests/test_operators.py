@@ -690,6 +690,26 @@ def test_pairs_are_counted_in_blocks(spark, monkeypatch):
     assert relations.pair_counts(few, "key")[0].count() == 0
 
 
+def test_paths_of_a_dag_are_followed_in_tasks(spark, monkeypatch):
+    """Edges without a longer path, by numbers in tasks; this needed a row per node and chain."""
+    gen, some = random.Random(8), set()
+    for a in range(150):
+        some |= {(f"n{a:03d}", f"n{b:03d}") for b in gen.sample(range(a + 1, 151), min(5, 150 - a))}
+    after, reach = {}, {}
+    for a, b in some:
+        after.setdefault(a, set()).add(b)
+    for a in sorted({x for e in some for x in e}, reverse=True):  # edges ascend by name
+        reach[a] = after.get(a, set()).union(*(reach[b] for b in after.get(a, ())))
+    want = {(a, b) for a, b in some if not any(b in reach[c] for c in after[a])}
+    assert len(want) < len(some)
+    df = spark.createDataFrame([*sorted(some), (None, "n000")], "src string, dst string")
+    monkeypatch.setattr(graph, "TARGETS", 64)
+    got = graph.transitive_reduction(df)
+    assert {tuple(r) for r in got.collect()} == want | {(None, "n000")}
+    with pytest.raises(ValueError):
+        graph.transitive_reduction(df.unionByName(spark.createDataFrame([("n150", "n000")], df.schema)))
+
+
 def test_pairs_travel_as_gaps():
     """A block of pairs that hardly repeat takes four bytes a pair at most, and gives the pairs and counts back."""
     gen = np.random.default_rng(5)
